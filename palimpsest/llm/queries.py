@@ -58,3 +58,11 @@ SELECT doc_id, size, source_size, target,
        (passes * size + greatest(0, least(size, floor(target + 0.5)::BIGINT - passes * source_size - start)))::BIGINT AS taken
 FROM placed
 """
+
+
+@query
+def op4_flac_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as FLAC, decoded again."""
+    from palimpsest.llm.flac import encode_media, media_features
+
+    return media_features(encode_media(table(spark, sf_dir, "documents")))
