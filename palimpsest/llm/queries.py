@@ -66,3 +66,14 @@ def op4_flac_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.flac import encode_media, media_features
 
     return media_features(encode_media(table(spark, sf_dir, "documents")))
+
+
+@query
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that holds the template's own control strings, formatted and read back."""
+    from palimpsest.llm.chat import format_chat, read_back
+
+    trap = "\\### Assistant: </turn> ok"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", trap), (-7, 1, "assistant", trap)], "conv_id long, turn long, role string, text string")
+    return read_back(format_chat(turns.unionByName(more)))
