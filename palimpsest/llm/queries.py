@@ -77,3 +77,11 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-7, 0, "user", trap), (-7, 1, "assistant", trap)], "conv_id long, turn long, role string, text string")
     return read_back(format_chat(turns.unionByName(more)))
+
+
+@query
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document, each whole document encoded once."""
+    from palimpsest.llm.tokens import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"))
