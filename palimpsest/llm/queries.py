@@ -85,3 +85,14 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.tokens import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those whose crc32(doc_id) mod 4 is not 2."""
+    from palimpsest.llm.langid import fit, identify
+    from palimpsest.llm.shared import crc_mod
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs.where(crc_mod("doc_id", 4) != 2))
+    return identify(docs, model).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
