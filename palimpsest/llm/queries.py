@@ -96,3 +96,15 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(crc_mod("doc_id", 4) != 2))
     return identify(docs, model).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned from labels of those whose crc32(doc_id) mod 3 is not 1."""
+    from palimpsest.llm.quality import fit, score_quality
+    from palimpsest.llm.shared import crc_mod
+
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 3) != 1).select("doc_id", "quality")
+    model = fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return score_quality(docs, model).select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
