@@ -108,3 +108,11 @@ def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 3) != 1).select("doc_id", "quality")
     model = fit(docs.select("doc_id", "text").join(labels, "doc_id"))
     return score_quality(docs, model).select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+@query
+def op10_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's trigram stupid-backoff score under all other documents."""
+    from palimpsest.llm.ngram_lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
