@@ -116,3 +116,11 @@ def op10_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.ngram_lm import score_documents
 
     return score_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, by latent semantic retrieval and common subsequences."""
+    from palimpsest.llm.decontaminate import find_contaminated
+
+    return find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
