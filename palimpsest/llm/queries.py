@@ -124,3 +124,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.decontaminate import find_contaminated
 
     return find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op6_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under 80 % Jaccard similarity of 5-word shingles."""
+    from palimpsest.llm.jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
