@@ -132,3 +132,11 @@ def op6_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.jaccard import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without bytes of 400-byte strings that occur twice."""
+    from palimpsest.llm.substring_dedup import digest, remove_repeats
+
+    return digest(remove_repeats(table(spark, sf_dir, "documents")))
