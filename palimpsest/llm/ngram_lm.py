@@ -3,7 +3,7 @@
 The relations are kept packed, so that a shuffled row holds thousands of n-grams rather than one:
 
 1. blocks: runs of documents (compressed), dealt out by block id;
-2. n-grams of a block: its distinct 64-bit n-gram hashes of all orders, sorted, with counts, cut by leading bits of
+2. n-grams of a block: its distinct n-gram hashes of all orders, sorted, with counts, cut by leading bits of
    the hash into one row for each bucket - this is the map-side partial count and the probe side in one;
 3. count tables: a bucket gathers its rows, sums the counts of equal hashes, and answers each block with the totals of
    the n-grams that the block asked for;
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from palimpsest.llm.columns import flat, slices
 from palimpsest.llm.shared import chain, span_hashes, word_spans
 
-BLOCK = 16 << 20  # bytes of text
+BLOCK = 12 << 20  # bytes of text
+PASSES = 4  # a block's n-grams are handled in so many ranges of the hash, to bound memory
 
 
 def pack_counts(values: np.ndarray) -> bytes:
@@ -42,25 +43,24 @@ def unpack_counts(raw: bytes, n: int) -> np.ndarray:
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
-    """Ascending 64-bit numbers as differences of the fewest whole bytes that hold all of them."""
+    """Ascending numbers: the first, then differences in the fewest whole bytes that hold all of them."""
     if not len(values):
         return b""
-    steps = np.diff(values, prepend=values[:1] * np.uint64(0))
-    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) > 1 else 8
-    if width < 8 and int(steps[0]) >> (8 * width):
-        width = 8
-    return bytes([width]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    steps = np.diff(values)
+    width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + int(values[0]).to_bytes(8, "little") + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def unpack_sorted(raw: bytes) -> np.ndarray:
     if not raw:
         return np.zeros(0, np.uint64)
-    steps = np.zeros(((len(raw) - 1) // raw[0], 8), np.uint8)
-    steps[:, : raw[0]] = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, raw[0])
+    steps = np.zeros((1 + (len(raw) - 9) // raw[0], 8), np.uint8)
+    steps[0] = np.frombuffer(raw, np.uint8, 8, 1)
+    steps[1:, : raw[0]] = np.frombuffer(raw, np.uint8, offset=9).reshape(-1, raw[0])
     return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
 
 
-def _words(offsets: np.ndarray, data: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+def _words(offsets: np.ndarray, data: np.ndarray, order: int, bits: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """The document of each word, and for n = 1 to order the n-gram hashes and whether one starts at each word."""
     # A separator between documents keeps words apart.
     n = len(offsets) - 1
@@ -74,7 +74,7 @@ def _words(offsets: np.ndarray, data: np.ndarray, order: int) -> tuple[np.ndarra
         h = np.zeros(len(first), np.uint64)
         ok = np.zeros(len(first), bool)
         if len(first) >= k:
-            h[: len(first) - k + 1] = chain(first, k)
+            h[: len(first) - k + 1] = chain(first, k) >> np.uint64(64 - bits)
             ok[: len(first) - k + 1] = doc[k - 1 :] == doc[: len(doc) - k + 1]
         grams.append(h)
         fits.append(ok)
@@ -103,7 +103,7 @@ def backoff_scores(doc: np.ndarray, n_docs: int, fits: list[np.ndarray], others:
     return np.bincount(doc, weights=log, minlength=n_docs)
 
 
-def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 3, backoff: float = 0.4, buckets: int | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 3, backoff: float = 0.4, buckets: int | None = None, hash_bits: int = 56) -> DataFrame:
     """Stupid-backoff score of each whole text: S(w | context) = c(context w) / c(context) for the longest context of
     up to ``order`` - 1 words with c(context w) > 0, times ``backoff`` for each word the context was cut by. c counts
     all documents but the scored one (else every n-gram would be found); a word that no other document has counts as
@@ -112,14 +112,22 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Null and empty texts have no words, log_score 0 and a null mean. Rows with equal ids are documents of their own;
     equal texts see each other, so they score high and alike. An empty table gives no rows; other columns stay behind.
 
+    N-grams are known by ``hash_bits`` of a hash: n distinct ones are expected to hold n**2 / 2**(hash_bits + 1) pairs
+    that are taken for each other; give 64 for corpora beyond some 10**9 n-grams. Blocks are made twice from ``docs``,
+    so ``docs`` must give the same rows in the same partitions when read again (a table does); if it does not, the
+    job fails rather than give wrong scores.
+
     Returns doc_id, n_words, log_score (sum of natural logarithms), mean_log_score.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    B = buckets or 1 << (4 * parts - 1).bit_length()
+    B = max(PASSES, buckets or 1 << (4 * parts - 1).bit_length())
+    if B & (B - 1):
+        raise ValueError("buckets is a power of two")
     kind = docs.schema[id_col].dataType.simpleString()
-    shift = np.uint64(64 - (B - 1).bit_length()) if B > 1 else np.uint64(63)
-    edges = (np.arange(1, B, dtype=np.uint64) << shift) if B > 1 else np.zeros(0, np.uint64)
+    shift = np.uint64(hash_bits - (B - 1).bit_length())
+    edges = np.arange(1, B, dtype=np.uint64) << shift
+    top = np.uint64(hash_bits - (PASSES - 1).bit_length())
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -159,20 +167,22 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                _, grams, fits = _words(*opened(b.column(1)[i].as_py(), b.column(2)[i].as_py()), order)
-                ones = np.sort(grams[0])
-                every = np.concatenate([g[ok] for g, ok in zip(grams, fits)])
-                del grams, fits
-                every.sort()
-                at = _runs(every)
-                count, every = np.diff(np.append(at, len(every))), every[at]
-                cut = np.concatenate(([0], np.searchsorted(every, edges), [len(every)]))
-                words = np.diff(np.concatenate(([0], np.searchsorted(ones, edges), [len(ones)])))
-                made = [(pack_sorted(every[x:y]), pack_counts(count[x:y])) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(B)), b.column(0).take(pa.array(np.full(B, i))), pa.array(words), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.binary())],
-                    names=["bucket", "block", "words", "grams", "counts"],
-                )
+                _, grams, fits = _words(*opened(b.column(2)[i].as_py(), b.column(3)[i].as_py()), order, hash_bits)
+                words = np.bincount((grams[0] >> shift).astype(np.int64), minlength=B)
+                grams = [g[ok] for g, ok in zip(grams, fits)]
+                for k in range(PASSES):
+                    every = np.concatenate([g[g >> top == k] for g in grams])
+                    every.sort()
+                    at = _runs(every)
+                    count, every = np.diff(np.append(at, len(every))), every[at]
+                    own = np.arange(k * B // PASSES, (k + 1) * B // PASSES)
+                    cut = np.searchsorted(every, np.concatenate(([0], edges, [2**64 - 1])).astype(np.uint64)[[*own, own[-1] + 1]])
+                    cut[-1] = len(every)
+                    made = [(pack_sorted(every[x:y]), pack_counts(count[x:y])) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist())]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(own), b.column(0).take(pa.array(np.full(len(own), i))), pa.array(words[own]), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.binary())],
+                        names=["bucket", "block", "words", "grams", "counts"],
+                    )
 
     def answer(table: pa.Table) -> pa.Table:
         asked = [unpack_sorted(g) for g in table.column("grams").to_pylist()]
@@ -201,31 +211,33 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         right = right.sort_by("bucket").to_pydict()
         # Blocks that are equal in every byte have one name; each then reads the same answers, given once for each.
         copies = max(1, left.num_rows)
-        first = [i for i, b in enumerate(right["bucket"]) if i % copies == 0]
-        totals = np.concatenate([unpack_counts(right["totals"][i], right["n"][i]) for i in first]) if first else np.zeros(0, np.int64)
+        if len(right["bucket"]) != B * left.num_rows:
+            raise RuntimeError("the documents changed between two readings")
+        first = range(0, len(right["bucket"]), copies)
         corpus = sum(right["words"][i] for i in first)
         for i in range(left.num_rows):
             offsets, data = opened(left.column("sizes")[i].as_py(), left.column("texts")[i].as_py())
             n_docs = len(offsets) - 1
-            doc, grams, fits = _words(offsets, data, order)
-            every = np.concatenate([g[ok] for g, ok in zip(grams, fits)])
-            owner = np.concatenate([doc[ok] for ok in fits])
+            doc, grams, fits = _words(offsets, data, order, hash_bits)
+            others = [np.zeros(len(doc), np.int64) for _ in fits]
+            for k in range(PASSES):
+                here = [np.flatnonzero(ok & (g >> top == k)) for g, ok in zip(grams, fits)]
+                every = np.concatenate([g[h] for g, h in zip(grams, here)])
+                where = np.argsort(every, kind="stable")
+                gram, owner = every[where], np.concatenate([doc[h] for h in here])[where]
+                if not len(gram):
+                    continue
+                totals = np.concatenate([unpack_counts(right["totals"][j], right["n"][j]) for j in first[k * B // PASSES : (k + 1) * B // PASSES]])
+                new = np.concatenate(([True], gram[1:] != gram[:-1]))
+                own = np.flatnonzero(new | np.concatenate(([True], owner[1:] != owner[:-1])))
+                times = np.diff(np.append(own, len(gram)))
+                elsewhere = np.empty(len(gram), np.int64)
+                elsewhere[where] = totals[np.cumsum(new) - 1] - np.repeat(times, times)
+                at = 0
+                for other, h in zip(others, here):
+                    other[h] = elsewhere[at : at + len(h)]
+                    at += len(h)
             del grams
-            where = np.argsort(every, kind="stable")
-            gram, owner = every[where], owner[where]
-            del every
-            new = np.concatenate(([True], gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, bool)
-            own = np.flatnonzero(new | np.concatenate(([True], owner[1:] != owner[:-1]))) if len(gram) else np.zeros(0, np.int64)
-            elsewhere = np.empty(len(gram), np.int64)
-            elsewhere[where] = totals[np.cumsum(new) - 1] - np.repeat(np.diff(np.append(own, len(gram))), np.diff(np.append(own, len(gram))))
-            del where, gram, owner, new
-            others, at = [], 0
-            for ok in fits:
-                full = np.zeros(len(doc), np.int64)
-                n = int(ok.sum())
-                full[ok] = elsewhere[at : at + n]
-                at += n
-                others.append(full)
             n_words = np.bincount(doc, minlength=n_docs)
             log = backoff_scores(doc, n_docs, fits, others, (corpus - n_words).astype(np.float64), backoff)
             ids = left.column("ids").combine_chunks().slice(i, 1).flatten() if left.num_rows else None
@@ -236,8 +248,7 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     blocks = (
         docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
         .mapInArrow(block, f"block long, ids array<{kind}>, sizes binary, texts binary")
-        .repartition("block")
     )
-    asked = blocks.select("block", "sizes", "texts").mapInArrow(ask, "bucket long, block long, words long, grams binary, counts binary")
+    asked = blocks.mapInArrow(ask, "bucket long, block long, words long, grams binary, counts binary")
     answers = asked.groupBy("bucket").applyInArrow(answer, "block long, bucket long, words long, n long, totals binary")
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, f"doc_id {kind}, n_words long, log_score double, mean_log_score double")

@@ -73,12 +73,22 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
+CHUNK = 1 << 18  # bytes hashed at once: the working arrays are eight times as long
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, by prefix sums of a polynomial modulo 2**64."""
-    n = len(data)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_R, n, "r"), out=sums[1:])
-    return mix64((sums[end] - sums[start]) * _power(_R_INV, n + 1, "inv")[start])
+    """A 64-bit hash of each byte span (ascending, disjoint), by prefix sums of a polynomial modulo 2**64."""
+    out = np.empty(len(start), dtype=np.uint64)
+    at = 0
+    while at < len(start):
+        base = int(start[at])
+        to = max(at + 1, int(np.searchsorted(end, base + CHUNK, side="right")))
+        n = int(end[to - 1]) - base
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum((data[base : base + n].astype(np.uint64) + np.uint64(1)) * _power(_R, n, "r"), out=sums[1:])
+        out[at:to] = mix64((sums[end[at:to] - base] - sums[start[at:to] - base]) * _power(_R_INV, n + 1, "inv")[start[at:to] - base])
+        at = to
+    return out
 
 
 def chain(hashes: np.ndarray, n: int) -> np.ndarray:
