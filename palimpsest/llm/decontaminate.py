@@ -282,7 +282,7 @@ def find_contaminated(
     item_col: str = "item_id",
     item_text_col: str = "text",
     rank: int = 128,
-    min_cosine: float = 0.6,
+    min_cosine: float = 0.45,
     min_common: float = 0.7,
     answer_words: int = 5,
     min_answer: float = 0.6,
