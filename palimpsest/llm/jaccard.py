@@ -96,13 +96,51 @@ def boundary(list_length: float, most: int = 12) -> int:
     return best
 
 
+def sketch(grams: np.ndarray) -> bytes:
+    """Parities of a set's members by their low bits, about a bit for each member. Each member that only one of two
+    sets has flips one bit, so two sketches never differ in more bits than the sets differ in members."""
+    bits = max(64, 1 << (len(grams) - 1).bit_length())
+    odd = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound, from their sketches, of how many members only one of two sets has."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(a) > len(b):
+        a, b = b, a
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum())
+
+
 def _summaries(docs: DataFrame, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for b in slices(batches, "text", SLICE):
-            _, _, size, cls = sets_of(*flat(b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(cls)], names=["doc_id", "n_shingles", "cls"])
+            _, grams, size, cls = sets_of(*flat(b.column(1)))
+            to = np.cumsum(size)
+            made: list[bytes | None] = []
+            for i, c in enumerate(cls.tolist()):  # a task makes a class's sketch once
+                made.append(sketch(grams[to[i] - size[i] : to[i]]) if size[i] and c not in done else None)
+                done.add(c)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(cls), pa.array(made, pa.binary())], names=["doc_id", "n_shingles", "cls", "sketch"])
+
+    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, cls long, sketch binary")
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, cls long")
+
+def _screened(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs whose sketches leave room for a link: no link is lost, and few others come through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            total = np.asarray(b.column(2))
+            differ = [least_difference(x, y) for x, y in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
+            # 100 |x n y| >= 80 |x u y| is the same as 9 * (members that only one has) <= |x| + |y|.
+            keep = pa.array((OF + NEED) * np.array(differ, dtype=np.int64) <= (OF - NEED) * total)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
+
+    ends = [sketches.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in ("a", "b")]
+    both = pairs.join(ends[0], "a").join(ends[1], "b")
+    return both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
 def _frequent(docs: DataFrame) -> tuple[np.ndarray, float]:
@@ -309,19 +347,22 @@ def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def link_classes(docs: DataFrame) -> DataFrame:
-    """Links between classes that join all classes that hang together: (a, b), not every link within a component."""
+def link_classes(docs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Links between classes that join all classes that hang together: (a, b), not every link within a component.
+
+    ``sketches``: (cls, n, sketch) of every class with members.
+    """
     frequent, length = _frequent(docs)
     filed = _filed(docs, frequent, boundary(length)).withColumn("root", F.col("cls"))
     first = cut(_paired(filed, "first"))
-    links = cut(_linked(docs, first.where("b IS NOT NULL").select("a", "b").distinct()))
+    links = cut(_linked(docs, cut(_screened(first.where("b IS NOT NULL").select("a", "b").distinct(), sketches))))
     long = first.where("b IS NULL").select("token", F.col("a").alias("cls"), "n", "pos")
     if long.isEmpty():
         return links
     for how in ("some", "all"):
         roots = components(links)
         rooted = long.join(roots, F.col("cls") == F.col("node"), "left").select("token", "cls", "n", "pos", F.coalesce("root", "cls").alias("root"))
-        more = cut(_paired(rooted, how).select("a", "b").distinct())
+        more = cut(_screened(_paired(rooted, how).select("a", "b").distinct(), sketches))
         if more.isEmpty():
             continue
         links = links.unionByName(cut(_linked(docs, more)))
@@ -340,8 +381,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     summary = cut(_summaries(slim, kind))
-    roots = components(link_classes(slim))
     full = summary.where("n_shingles > 0")
+    sketches = cut(full.where("sketch IS NOT NULL").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
+    roots = components(link_classes(slim, sketches))
     classes = full.groupBy("cls").agg(F.min("doc_id").alias("least"))
     rooted = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

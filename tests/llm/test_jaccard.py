@@ -2,6 +2,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
 from palimpsest.llm import jaccard
@@ -94,3 +95,12 @@ def test_components(spark):
                 todo.append(x)
         assert got[node] == min(seen)
     assert set(got) == set(near)
+
+
+def test_sketches_never_overstate():
+    rng = np.random.default_rng(3)
+    for n, m, both in [(1, 1, 0), (5, 900, 5), (64, 65, 60), (700, 800, 690), (3000, 40, 10)]:
+        shared = rng.integers(0, 2**63, both).astype(np.uint64)
+        x, y = (np.concatenate((shared, rng.integers(0, 2**63, k - both).astype(np.uint64))) for k in (n, m))
+        assert jaccard.least_difference(jaccard.sketch(x), jaccard.sketch(y)) <= n + m - 2 * both
+        assert jaccard.least_difference(jaccard.sketch(x), jaccard.sketch(x[::-1])) == 0
