@@ -97,9 +97,9 @@ def boundary(list_length: float, most: int = 12) -> int:
 
 
 def sketch(grams: np.ndarray) -> bytes:
-    """Parities of a set's members by their low bits, about a bit for each member. Each member that only one of two
+    """Parities of a set's members by their low bits, two to four bits for each member. Each member that only one of two
     sets has flips one bit, so two sketches never differ in more bits than the sets differ in members."""
-    bits = max(64, 1 << (len(grams) - 1).bit_length())
+    bits = max(256, 2 << (len(grams) - 1).bit_length())
     odd = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
@@ -234,14 +234,14 @@ def _paired(filed: DataFrame, how: str) -> DataFrame:
     """Pairs to compare from lists of (token, cls, n, pos, root), read list by list.
 
     ``how``: "first" - short lists pair by pair, long ones each member with the least class; rows of long lists come
-    out again (b null). "some" - long lists, each member with one chosen by the token. "all" - every pair left. In
-    the last two only pairs of different roots count.
+    out again (b null). "some" - long lists, each member with one chosen by the token. "all" - every pair left
+    whose sketches leave room for a link. In the last two only pairs of different roots count.
     """
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         rest: list[np.ndarray] | None = None
         for b in batches:
-            now = [np.asarray(b.column(i)) for i in range(5)]
+            now = [np.asarray(b.column(i)) for i in range(5)] + [np.array(b.column(i).to_pylist() or [], dtype=object) for i in range(5, b.num_columns)]
             rest = [np.concatenate(x) for x in zip(rest, now)] if rest else now
             if not len(rest[0]):
                 continue
@@ -253,7 +253,7 @@ def _paired(filed: DataFrame, how: str) -> DataFrame:
             yield tuple(rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, cls, n, pos, root in lists(batches):
+        for token, cls, n, pos, root, *more in lists(batches):
             keep = np.ones(len(token), dtype=bool)
             keep[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
             token, cls, n, pos, root = (x[keep] for x in (token, cls, n, pos, root))
@@ -286,20 +286,41 @@ def _paired(filed: DataFrame, how: str) -> DataFrame:
                 i = np.arange(len(token))
                 made.append(pairs(begin[of] + (token % size), i))
             else:
-                mixed = np.maximum.reduceat(root, begin) != np.minimum.reduceat(root, begin)
-                for d in range(1, int(length[mixed].max(initial=1))):
-                    i = np.flatnonzero(mixed[of] & (np.arange(len(token)) - begin[of] + d < size))
-                    made.append(pairs(i, i + d))
+                # Screened here by the sketches, so that only pairs with room for a link leave the task.
+                sketches = np.asarray(more[0][keep], dtype=object)
+                for k in range(len(begin)):
+                    own = np.arange(begin[k], begin[k] + length[k])
+                    for i, j in _alike(own, n, root, sketches):
+                        made.append(pairs(i, j))
                     if len(made) > 64:
                         yield from (m for m in made if m is not None)
                         made = []
             yield from (m for m in made if m is not None)
 
     parts = int(filed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = filed.select("token", "cls", "n", "pos", "root").repartition(parts, "token").sortWithinPartitions("token", "cls")
+    columns = ["token", "cls", "n", "pos", "root", *(["sketch"] if how == "all" else [])]
+    dealt = filed.select(*columns).repartition(parts, "token").sortWithinPartitions("token", "cls")
     return dealt.mapInArrow(run, "a long, b long, token long, n int, pos int")
 
 
+def _alike(own: np.ndarray, n: np.ndarray, root: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of members of one list, of different roots, whose sketches leave room for a link. Linked sets differ in
+    size by a quarter at most, so a sketch meets those of its own length and of twice that, folded."""
+    width = np.array([len(s) for s in sketches[own]])
+    for w in np.unique(width).tolist():
+        small = own[width == w]
+        rows = np.frombuffer(b"".join(sketches[small]), np.uint64).reshape(len(small), -1)
+        large = own[width == 2 * w]
+        folded = np.bitwise_xor.reduce(np.frombuffer(b"".join(sketches[large]), np.uint64).reshape(len(large), 2, rows.shape[1]), axis=1)
+        others, theirs = np.concatenate((small, large)), np.concatenate((rows, folded))
+        for k in range(len(small)):
+            differ = np.bitwise_count(theirs[k + 1 :] ^ rows[k]).sum(axis=1, dtype=np.int64)
+            j = others[k + 1 :]
+            j = j[((OF + NEED) * differ <= (OF - NEED) * (n[small[k]].astype(np.int64) + n[j])) & (root[j] != root[small[k]])]
+            if len(j):
+                yield np.full(len(j), small[k]), j
+
+
 def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose sets do link. Only sets of classes in the pairs are sent, screened by a bitmap of fixed size."""
     spark = docs.sparkSession
@@ -362,7 +383,11 @@ def link_classes(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     for how in ("some", "all"):
         roots = components(links)
         rooted = long.join(roots, F.col("cls") == F.col("node"), "left").select("token", "cls", "n", "pos", F.coalesce("root", "cls").alias("root"))
-        more = cut(_screened(_paired(rooted, how).select("a", "b").distinct(), sketches))
+        if how == "all":  # only lists of different roots go on, and their members' sketches with them
+            mixed = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
+            rooted = rooted.join(mixed, "token").join(sketches.select("cls", "sketch"), "cls")
+        pairs = _paired(rooted, how).select("a", "b").distinct()
+        more = cut(_screened(pairs, sketches) if how == "some" else pairs)
         if more.isEmpty():
             continue
         links = links.unionByName(cut(_linked(docs, more)))
