@@ -122,10 +122,12 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     found = cut(named.select("key", "text").mapInArrow(find, "key long, place long, anchor long, context long"))
     # Equal contexts are summed first, so an anchor has a row for each different context, not for each occurrence.
     distinct = found.groupBy("anchor", "context").agg(F.count("*").alias("n"))
-    often = distinct.groupBy("anchor").agg(F.sum("n").alias("times")).where("times > 1")
-    wanted = distinct.join(often, "anchor", "left_semi")
+    often = distinct.groupBy("anchor").agg(F.sum("n").alias("times"), F.count("*").alias("contexts")).where("times > 1")
+    wanted = distinct.join(often.drop("times"), "anchor")
     spots = cut(found.join(wanted, ["anchor", "context"]))
-    by_doc = spots.groupBy("key").agg(F.collect_list(F.struct("place", "anchor", "context", "n")).alias("spots"))
+    # Where all occurrences of an anchor have one context, every window of it is repeated and nothing need be sorted.
+    whole = spots.where("contexts = 1").select("key", (F.col("place") - (length - gram)).alias("lo"), (F.col("place") + length).alias("hi"))
+    by_doc = spots.where("contexts > 1").groupBy("key").agg(F.collect_list(F.struct("place", "anchor", "context", "n")).alias("spots"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[tuple[int, int]] = set()
@@ -182,7 +184,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             yield solve(pa.Table.from_batches(held))
 
     found_in = pieces.repartition(parts, "anchor").sortWithinPartitions("anchor", "context").mapInArrow(sort, "anchor long, context long, lo long, hi long")
-    cuts = spots.join(found_in, ["anchor", "context"]).groupBy("key").agg(F.collect_set(F.struct((F.col("place") + F.col("lo")).alias("lo"), (F.col("place") + F.col("hi")).alias("hi"))).alias("cuts"))
+    part = spots.where("contexts > 1").join(found_in, ["anchor", "context"]).select("key", (F.col("place") + F.col("lo")).alias("lo"), (F.col("place") + F.col("hi")).alias("hi"))
+    cuts = part.unionByName(whole).groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("cuts"))
     joined = named.join(cuts, "key", "left").select("doc_id", "text", "cuts", *(["row"] if carry else []))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +196,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             for i, own in enumerate(b.column(2).to_pylist()):
                 at, spans, gone, kept = bounds[i], 0, 0, []
                 reach = -1
-                for lo, hi in sorted((c["lo"], c["hi"]) for c in own or ()):
+                size = int(bounds[i + 1] - bounds[i])
+                for lo, hi in sorted((max(0, c["lo"]), min(size, c["hi"])) for c in own or ()):
                     if lo > reach:
                         spans += 1
                         kept.append(raw[at : bounds[i] + lo])
