@@ -88,7 +88,7 @@ def localization(files: DataFrame, key: str = "relpath", text: str = "text") ->
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of log files with their number: the number is taken inside a file, never from partition order."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return whole.select("file", F.posexplode(F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n")).alias("i", "text")).select("file", (F.col("i") + 1).cast("long").alias("line"), "text")
 
 

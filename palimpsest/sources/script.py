@@ -75,9 +75,10 @@ def nodes_of(text: str) -> Iterator[list]:
             else:
                 op = token
         elif group == "open":
-            key = waiting[0].strip('"') if waiting and op else None
-            if waiting and not op:  # `key {` opens a block of that name too
-                key = waiting[0].strip('"')
+            if waiting is not None and op is None:  # a value before an unnamed list
+                yield bare(waiting)
+                rows, waiting = rows + 1, None
+            key = waiting[0].strip('"') if waiting is not None else None
             parent, depth, pos, path = place(key)
             opened = [rows, parent, depth, pos, "block" if key is not None else "list", key, op, None, None, waiting[3] if waiting else line, waiting[2] if waiting else at, None, path, None]
             stack.append([rows, path, depth, {}, 0, opened])
@@ -192,7 +193,7 @@ def printed(tree: DataFrame, key: str = "digest") -> DataFrame:
     opener = F.concat(F.when(F.col("key").isNotNull(), F.concat_ws(" ", "key", F.coalesce("op", F.lit("=")), F.lit(""))).otherwise(F.lit("")), F.lit("{"))
     tabs = F.repeat(F.lit("\t"), F.col("depth"))
     lines = tree.where("depth >= 0 AND node_type <> 'error'").select(
-        key, F.explode(F.when(F.col("node_type").isin("block", "list"), F.array(F.struct(F.col("start_off").alias("at"), F.col("node_id").alias("i"), F.concat(tabs, opener).alias("s")), F.struct(F.col("end_off").alias("at"), -F.col("node_id").alias("i"), F.concat(tabs, F.lit("}")).alias("s")))).otherwise(F.array(F.struct(F.col("start_off").alias("at"), F.col("node_id").alias("i"), F.concat(tabs, head).alias("s"))))).alias("l")
+        key, F.explode(F.when(F.col("node_type").isin("block", "list"), F.array(F.struct(F.col("start_off").alias("at"), F.col("node_id").alias("i"), F.concat(tabs, opener).alias("s")), F.struct(F.col("end_off").alias("at"), (-F.col("node_id")).alias("i"), F.concat(tabs, F.lit("}")).alias("s")))).otherwise(F.array(F.struct(F.col("start_off").alias("at"), F.col("node_id").alias("i"), F.concat(tabs, head).alias("s"))))).alias("l")
     )
     return lines.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list("l")), lambda x: x["s"]), "\n").alias("text"))
 
