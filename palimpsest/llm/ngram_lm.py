@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.columns import flat, slices
 from palimpsest.llm.shared import chain, span_hashes, word_spans
 
-BLOCK = 12 << 20  # bytes of text
+BLOCK = 7 << 20  # bytes of text
 PASSES = 4  # a block's n-grams are handled in so many ranges of the hash, to bound memory
 
 
