@@ -15,7 +15,7 @@ from palimpsest.llm.decontaminate import decontaminate
 from palimpsest.llm.jaccard import near_duplicates
 from palimpsest.llm.langid import UNDECIDED, fit, identify
 from palimpsest.llm.mixing import mix_sources
-from palimpsest.llm.shared import shared_dir
+from palimpsest.llm.shared import cut, row_key, shared_dir
 from palimpsest.llm.substring_dedup import remove_repeats
 from palimpsest.session import table
 
@@ -28,9 +28,22 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every component of near copies, the document of the least id. Documents without an id stay."""
-    copies = near_duplicates(docs).where("doc_id > component_id").select(F.col("doc_id").alias("__copy")).distinct()
-    return docs.join(copies, F.col("doc_id") == F.col("__copy"), "left_anti")
+    """Of every component of near copies, the row of the least id, nulls last, and of the least hash among those.
+
+    Rows are told apart by all their columns, so ids may repeat or lack; of equal rows one stays. Texts without a word
+    are no copies of each other and all stay.
+    """
+    named = docs.withColumn("__row", row_key(docs))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
+    told = near_duplicates(named.withColumn("__place", place), id_col="__place").where("n_shingles > 0")
+    rows = told.groupBy("doc_id", "component_id").agg(F.count("*").alias("n"))
+    rows = cut(rows.select(F.col("doc_id.row").alias("__row"), (F.col("doc_id") == F.col("component_id")).alias("least"), "n").where("n > 1 OR NOT least"))
+    kept = named.join(rows, "__row", "left_anti").drop("__row")
+    equal = rows.where("least").select("__row")
+    if equal.isEmpty():
+        return kept
+    once = named.join(equal, "__row", "left_semi").groupBy("__row").agg(F.first(F.struct(*docs.columns)).alias("one"))
+    return kept.unionByName(once.select("one.*"))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.columns import flat, slices
-from palimpsest.llm.shared import cut, span_hashes
+from palimpsest.llm.shared import cut, row_key, span_hashes
 
 STEP = 16  # words; a window is two steps
 SLICE = 1 << 20
@@ -362,7 +362,9 @@ def _find(docs, items, item_kind, id_col, text_col, rank, min_cosine, min_common
     return packed.mapInArrow(search, schema)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that hold no benchmark item, all columns kept. A null id is never taken as a hit's id."""
-    hits = find_contaminated(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hits, F.col(id_col) == F.col("__hit"), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The documents that hold no benchmark item, all columns kept. Rows are judged by their own text, whatever other
+    rows have the same id, or none."""
+    named = docs.withColumn("__row", row_key(docs))
+    hits = find_contaminated(named, benchmark, id_col="__row", **options).select(F.col("doc_id").alias("__row")).distinct()
+    return named.join(hits, "__row", "left_anti").drop("__row")

@@ -31,6 +31,13 @@ def crc_mod(column: str, k: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % k
 
 
+def row_key(docs: DataFrame) -> Column:
+    """128 bits of hash over all columns, nulls told apart: the same however often a row is computed, and shared only by
+    rows that are equal in every column, which no choice between them can tell apart."""
+    every = [F.col(c) for c in docs.columns] + [F.col(c).isNull() for c in docs.columns]
+    return F.struct(F.xxhash64(F.lit(1), *every).alias("a"), F.xxhash64(F.lit(2), *every).alias("b"))
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text, 0 for null, as a JVM expression."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

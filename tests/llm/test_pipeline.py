@@ -79,3 +79,30 @@ def test_stage_columns_and_empty_table(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).dtypes == docs.dtypes, name
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_and_not_ids_decide(spark, tmp_path):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghilmnop", k=rng.randint(3, 9))) for _ in range(1500)]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    items = [(i, text(30)) for i in range(3)]
+    a, b, c, d, e, f, g, h = (text(80) for _ in range(8))
+    row = lambda i, t, source="s": (i, t, "en", source, len(t))
+    equal, leak = row(1, a), f"{text(40)} {items[1][1]} {text(40)}"
+    rows = [equal, equal, equal]  # equal rows
+    rows += [row(2, b, "x"), row(2, b, "y"), row(2, c)]  # one id, two copies and another text
+    rows += [row(None, d), row(None, d), row(None, d + " tail"), row(None, e), row(None, f), row(3, f)]  # no id
+    rows += [row(4, g), row(5, g), row(5, h)]  # a clean row with the id of a copy
+    rows += [(None, "", "en", "s", 0)] * 2
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, DOCUMENTS).repartition(3)
+    got = [tuple(r) for r in corpus_pipeline.one_of_each_group(spark, docs, str(tmp_path)).collect()]
+    one = lambda *options: sum(got.count(r) for r in set(options)) == 1
+    assert one(equal) and one(row(2, b, "x"), row(2, b, "y")) and one(row(None, d), row(None, d + " tail"))
+    assert all(got.count(r) == 1 for r in (row(2, c), row(None, e), row(3, f), row(4, g), row(5, h)))
+    assert got.count((None, "", "en", "s", 0)) == 2 and len(got) == 10
+
+    rows = [row(None, leak), row(None, a), row(7, leak), row(7, b), row(8, c), row(8, c), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, DOCUMENTS).repartition(3)
+    got = [tuple(r) for r in corpus_pipeline.without_benchmark(spark, docs, str(tmp_path)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [row(None, a), row(7, b), row(8, c), row(8, c), (None,) * 5]))
