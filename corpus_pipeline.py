@@ -19,6 +19,9 @@ from palimpsest.llm.shared import cut, row_key, shared_dir
 from palimpsest.llm.substring_dedup import remove_repeats
 from palimpsest.session import table
 
+#: Bytes of a repeated passage. Of the 51-word passages of sf0.1, 98.6 % have as many (5.5 % have op1's 400).
+PASSAGE = 250
+
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told. Null texts and texts without a letter go; all others stay as they are."""
@@ -47,11 +50,12 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every text without its repeated passages; a character that a removed run cuts becomes U+FFFD. No row goes."""
+    """Every text without the passages of ``PASSAGE`` bytes or more that repeat; a character that a removed run cuts
+    becomes U+FFFD. No row goes."""
     text = F.make_valid_utf8(F.col("kept").cast("string"))
     # A row that lost nothing keeps its text, null included.
     cut = F.when(F.col("n_removed") > 0, text).otherwise(F.col("row.text"))
-    return remove_repeats(docs, carry=True).select(
+    return remove_repeats(docs, length=PASSAGE, carry=True).select(
         *[cut.alias("text") if c == "text" else F.coalesce(F.when(F.col("n_removed") > 0, F.length(text)), F.col("row.n_chars")).cast("long").alias("n_chars") if c == "n_chars" else F.col("row")[c].alias(c) for c in docs.columns]
     )
 

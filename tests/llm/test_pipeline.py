@@ -106,3 +106,17 @@ def test_rows_and_not_ids_decide(spark, tmp_path):
     docs = spark.createDataFrame(rows, DOCUMENTS).repartition(3)
     got = [tuple(r) for r in corpus_pipeline.without_benchmark(spark, docs, str(tmp_path)).collect()]
     assert sorted(map(str, got)) == sorted(map(str, [row(None, a), row(7, b), row(8, c), row(8, c), (None,) * 5]))
+
+
+def test_passages_of_just_over_50_words(spark, tmp_path):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghilmnop", k=rng.randint(3, 8))) for _ in range(1500)]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    passages = [text(n) for n in range(51, 61)]
+    assert sum(len(p) < 400 for p in passages) > 7
+    rows = [(3 * i + k, f"{text(90)} {p} {text(90)}", "en", "s", 0) for i, p in enumerate(passages) for k in range(3)]
+    rows += [(100 + i, text(120), "en", "s", 0) for i in range(5)]
+    docs = spark.createDataFrame(rows, DOCUMENTS).repartition(3)
+    got = {r.doc_id: r.text for r in corpus_pipeline.without_repeats(spark, docs, str(tmp_path)).collect()}
+    assert all(passages[d // 3] not in t and len(t.split()) in range(178, 183) for d, t in got.items() if d < 100)
+    assert all(got[d] == t for d, t, *_ in rows if d >= 100) and len(got) == len(rows)
