@@ -7,7 +7,7 @@ around the anchor can reach, and all windows that could be equal are in one shar
 1. Anchors of every document: place, hash, and a hash of the bytes around (the context). Equal contexts are counted
    together before they move; anchors with one occurrence in the corpus are done.
 2. Documents emit the contexts of their repeated anchors; each distinct context goes once to the shard of its anchor.
-3. A shard sorts its contexts' suffixes with their common prefixes (external induced sorting, see ``suffixes``). Runs
+3. A shard sorts its contexts' suffixes with their common prefixes (induced sorting in memory, see ``suffixes``). Runs
    of common prefix >= 400 are equal windows; a window is repeated if its run holds two places of the corpus.
 4. A context's repeated windows all hold its anchor, so they make one interval; intervals go back to the documents.
 """

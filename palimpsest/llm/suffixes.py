@@ -1,10 +1,10 @@
-"""Suffix arrays with common-prefix values by external induced sorting (after Bingmann, Fischer and Osipov, 2013).
+"""Suffix arrays with common-prefix values by induced sorting (after Bingmann, Fischer and Osipov, 2013), in memory.
 
 A suffix is of type S if it is less than the next one, else L; an S suffix after an L one is a seed (S*). Seeds are
 sorted by naming the pieces between them and sorting the string of names: by the same induction while there are few
-names, by prefix doubling beyond that. Then L suffixes are induced from the seeds in ascending order and S suffixes
+names, by prefix doubling beyond that, as for any shard of prose. Then L suffixes are induced from the seeds in ascending order and S suffixes
 from the L ones in descending order. Induced suffixes wait in a priority queue of buckets, one for each first symbol,
-whose entries go to disk when memory is short; as the scan only moves on, a bucket is read once, in the order of
+whose entries go to disk beyond MEMORY, which shards of a few MB do not reach; all else is held whole. As the scan only moves on, a bucket is read once, in the order of
 arrival. The common prefix of two induced suffixes that follow each other in a bucket is one more than the least
 common prefix met by the scan between the two that induced them, which is looked up in a table of range minima.
 """
