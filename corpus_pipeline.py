@@ -24,7 +24,11 @@ PASSAGE = 250
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told. Null texts and texts without a letter go; all others stay as they are."""
+    """Documents with a letter in their text: null texts and texts without one go, all others stay as they are.
+
+    The model's choice of a language and its score have no effect here, so texts in none of the learned languages stay.
+    Where ``docs`` has no language to learn from, every text goes.
+    """
     model = fit(docs)
     told = identify(docs, model, keep=docs.columns)
     return told.where(F.col("lang_pred") != UNDECIDED).select(*docs.columns)
