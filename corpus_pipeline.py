@@ -56,12 +56,13 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every text without the passages of ``PASSAGE`` bytes or more that repeat; a character that a removed run cuts
     becomes U+FFFD. No row goes."""
-    text = F.make_valid_utf8(F.col("kept").cast("string"))
+    removed = F.col("n_removed") > 0
     # A row that lost nothing keeps its text, null included.
-    cut = F.when(F.col("n_removed") > 0, text).otherwise(F.col("row.text"))
-    return remove_repeats(docs, length=PASSAGE, carry=True).select(
-        *[cut.alias("text") if c == "text" else F.coalesce(F.when(F.col("n_removed") > 0, F.length(text)), F.col("row.n_chars")).cast("long").alias("n_chars") if c == "n_chars" else F.col("row")[c].alias(c) for c in docs.columns]
-    )
+    text = F.when(removed, F.make_valid_utf8(F.col("kept").cast("string"))).when(~F.col("no_text"), F.col("kept").cast("string"))
+    n_chars = F.when(removed, F.length(text).cast("long"))
+    done = remove_repeats(docs, length=PASSAGE, carry=True)
+    row = lambda c: text if c == "text" else F.coalesce(n_chars, F.col("row.n_chars")).cast("long") if c == "n_chars" else F.col("row")[c]
+    return done.select(*[row(c).alias(c) for c in docs.columns])
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
