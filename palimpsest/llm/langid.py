@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.columns import flat, slices
+from palimpsest.llm.shared import row_struct
 
 HASH_BITS = 14
 SLICE = 1 << 20
@@ -140,8 +141,9 @@ def _sets(texts: list[str]) -> np.ndarray:
     return presence(*flat(pa.array(texts, type=pa.large_string())))[0]
 
 
-def identify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """lang_pred and score of every whole text, beside ``keep`` columns (the id by default).
+def identify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """lang_pred and score of every whole text, beside the id; with ``carry`` beside the text and,
+    as struct ``row``, all other columns, which so may have any name.
 
     The score is the softmax, times ``sharpness``, of the one-versus-rest values. Null texts, texts without a letter
     and, without a model, all texts are "und" with score 0. Ties go to the first language in code point order. Equal
@@ -149,25 +151,26 @@ def identify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", te
     """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)  # landmarks x 2**HASH_BITS floats, whatever the table's size
-    columns = keep if keep is not None else [id_col]
+    own = row_struct(docs, text_col) if carry else F.col(id_col)
+    names = ["row", "text"] if carry else [id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for b in slices(batches, "__text", SLICE):
+        for b in slices(batches, "text", SLICE):
             for at in range(0, b.num_rows, 512):  # a row of the presence matrix has a fixed size
                 part = b.slice(at, 512)
                 if m is None:
                     best, score, ok = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows), np.zeros(part.num_rows, bool)
-                    names = [UNDECIDED]
+                    known = [UNDECIDED]
                 else:
                     x, ok = presence(*flat(part.column(part.num_columns - 1)))
                     s = m.scores(x).astype(np.float64)
                     e = np.exp(m.sharpness * (s - s.max(axis=1, keepdims=True)))
-                    best, names = s.argmax(axis=1), m.languages
+                    best, known = s.argmax(axis=1), m.languages
                     score = np.where(ok, e.max(axis=1) / e.sum(axis=1), 0.0)
-                lang = [names[k] if o else UNDECIDED for k, o in zip(best.tolist(), ok.tolist())]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, type=pa.string()), pa.array(score)], names=[*columns, "lang_pred", "score"])
+                lang = [known[k] if o else UNDECIDED for k, o in zip(best.tolist(), ok.tolist())]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(lang, type=pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
 
-    fields = docs.select(*columns).schema.fields
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string, score double"])
-    return docs.select(*columns, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    rows = docs.select(own.alias("own"), F.col(text_col).alias("text"))
+    kinds = [rows.schema[c].dataType.simpleString() for c in rows.columns]
+    return rows.mapInArrow(run, ", ".join([*(f"`{n}` {k}" for n, k in zip(names, kinds)), "lang_pred string, score double"]))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.columns import flat, slices
-from palimpsest.llm.shared import span_hashes, word_spans
+from palimpsest.llm.shared import row_struct, span_hashes, word_spans
 
 SLICE = 1 << 20
 NAMES = ("length", "words", "word_length", "longest", "letters", "digits", "upper", "stops", "marks", "bars", "bangs", "distinct", "repeated", "ends", "capital", "odd_words", "first", "last")
@@ -211,20 +211,22 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return train(np.concatenate(parts), doc, np.array([int(r.label > 0) for r in got]), rounds=rounds)
 
 
-def score_quality(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """score and predicted (1 from 0.5 on) of every whole text, beside ``keep`` columns (the id by default).
+def score_quality(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """score and predicted (1 from 0.5 on) of every whole text, beside the id; with ``carry`` beside the text and,
+    as struct ``row``, all other columns, which so may have any name.
 
     Null and empty texts and texts without a word get the model's prior. Equal rows give equal rows; an empty table
     gives none; other columns stay behind.
     """
-    columns = keep if keep is not None else [id_col]
+    own = row_struct(docs, text_col) if carry else F.col(id_col)
+    names = ["row", "text"] if carry else [id_col]
     held = docs.sparkSession.sparkContext.broadcast(model)  # some 100 numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "__text", SLICE):
+        for b in slices(batches, "text", SLICE):
             score = np.clip(held.value.scores(*flat(b.column(b.num_columns - 1))), 0.0, 1.0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*columns, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
 
-    fields = docs.select(*columns).schema.fields
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "score double, predicted int"])
-    return docs.select(*columns, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    rows = docs.select(own.alias("own"), F.col(text_col).alias("text"))
+    kinds = [rows.schema[c].dataType.simpleString() for c in rows.columns]
+    return rows.mapInArrow(run, ", ".join([*(f"`{n}` {k}" for n, k in zip(names, kinds)), "score double, predicted int"]))

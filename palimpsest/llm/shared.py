@@ -31,6 +31,12 @@ def crc_mod(column: str, k: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % k
 
 
+def row_struct(docs: DataFrame, text_col: str) -> Column:
+    """All columns but the text as one struct, so that none of their names can clash with an operator's own."""
+    others = [c for c in docs.columns if c != text_col]
+    return F.struct(*others) if others else F.struct(F.lit(None).cast("int").alias("none"))
+
+
 def row_key(docs: DataFrame) -> Column:
     """128 bits of hash over all columns, nulls told apart: the same however often a row is computed, and shared only by
     rows that are equal in every column, which no choice between them can tell apart."""

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.columns import flat, slices
-from palimpsest.llm.shared import _R, _R_INV, _power, cut, mix64
+from palimpsest.llm.shared import _R, _R_INV, _power, cut, mix64, row_struct
 from palimpsest.llm.suffixes import suffix_array
 
 GRAM = 64  # bytes of an anchor
@@ -274,10 +274,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
     brought = ["row", "no_text"] if carry else []
-    others = [c for c in docs.columns if c != text_col]
     named = docs.select(
         F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text).alias("key"), F.col(id_col).alias("doc_id"), text.alias("text"),
-        *([F.struct(*others).alias("row") if others else F.struct(F.lit(0).alias("none")).alias("row"), F.col(text_col).isNull().alias("no_text")] if carry else []),
+        *([row_struct(docs, text_col).alias("row"), F.col(text_col).isNull().alias("no_text")] if carry else []),
     )
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,8 +289,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     # Equal contexts are summed first, so an anchor has a row for each different context, not for each occurrence.
     spot = F.xxhash64("key", "place")
     distinct = found.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(spot).alias("one"))
-    often = distinct.groupBy("anchor").agg(F.sum("n").alias("times"), F.count("*").alias("contexts")).where("times > 1")
-    wanted = distinct.join(often.drop("times"), "anchor")
+    # Written, so that the join with it is between two exchanges, which adaptive execution splits at a hot anchor.
+    often = cut(distinct.groupBy("anchor").agg(F.sum("n").alias("times"), F.count("*").alias("contexts")).where("times > 1").drop("times"))
+    wanted = distinct.join(often, "anchor")
     spots = cut(found.join(wanted, ["anchor", "context"]).withColumn("sends", (spot == F.col("one")) & (F.col("contexts") > 1)).drop("one"))
     # All windows of a context with two places are repeated.
     whole = spots.where("n > 1").select("key", (F.col("place") - reach).alias("lo"), (F.col("place") + length).alias("hi"))

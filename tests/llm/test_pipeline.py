@@ -120,3 +120,15 @@ def test_passages_of_just_over_50_words(spark, tmp_path):
     got = {r.doc_id: r.text for r in corpus_pipeline.without_repeats(spark, docs, str(tmp_path)).collect()}
     assert all(passages[d // 3] not in t and len(t.split()) in range(178, 183) for d, t in got.items() if d < 100)
     assert all(got[d] == t for d, t, *_ in rows if d >= 100) and len(got) == len(rows)
+
+
+def test_clashing_columns(spark, tmp_path):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghilmnop", k=rng.randint(3, 9))) for _ in range(800)]
+    names = ["score", "lang_pred", "size", "source_size", "target", "passes", "taken", "row", "own", "key", "kept", "cls", "component_id", "__row", "cuts", "n_removed", "no_text", "anchor", "words"]
+    rows = [(i, " ".join(rng.choices(words, k=60)), "en", "s", 0, *range(len(names))) for i in range(12)]
+    docs = spark.createDataFrame(rows, DOCUMENTS + "".join(f", `{n}` int" for n in names)).repartition(2)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, rows[0][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} <= set(range(1, 12)) and got and all((r.score, r.taken, r.mix_size) == (0, 6, 60) for r in got)
