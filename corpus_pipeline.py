@@ -30,8 +30,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Where ``docs`` has no language to learn from, every text goes.
     """
     model = fit(docs)
-    told = identify(docs, model, keep=docs.columns)
-    return told.where(F.col("lang_pred") != UNDECIDED).select(*docs.columns)
+    told = identify(docs, model, carry=True).where(F.col("lang_pred") != UNDECIDED)
+    return told.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,14 +66,24 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, verbatim or reworded."""
+    """Documents that hold no benchmark item, verbatim or reworded. A null text holds none; equal rows go or stay together;
+    without a benchmark item, or without documents, nothing goes."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with ``taken`` words each: ``passes`` whole readings and a part of the next."""
+    """The documents that the mix takes, with ``taken`` words each: ``passes`` whole readings and a part of the next.
+
+    Null texts and texts without a word take nothing and go; equal rows are rows of their own; an empty table gives none.
+    Where ``docs`` has a column of one of the mix's names, the mix's gets ``mix_`` in front.
+    """
     mix = mix_sources(docs, carry=True).where("taken > 0")
-    return mix.select(*[F.col("row")[c].alias(c) for c in docs.columns], "size", "source_size", "target", "passes", "taken")
+    names = {}
+    for c in ("size", "source_size", "target", "passes", "taken"):
+        names[c] = c
+        while names[c] in docs.columns:
+            names[c] = f"mix_{names[c]}"
+    return mix.select(*[F.col("row")[c].alias(c) for c in docs.columns], *[F.col(c).alias(n) for c, n in names.items()])
 
 
 STAGES = [
