@@ -40,6 +40,24 @@ DOMAIN_RISK = {
     "gui": 25, "localization": 5, "culture": 10, "tradition": 10, "religion": 15, "faith": 15, "modifier": 5, "maa_type": 10,
     "building": 10, "content": 10,
 }
+#: Weights of files and of names inside them in the report; units of conflict have DOMAIN_RISK.
+REPORT_RISK = {
+    "on_action": 40, "events": 35, "character_interactions": 35, "gui": 45, "interface": 40, "scripted_effect": 25,
+    "scripted_trigger": 25, "decisions": 30, "traits": 20, "landed_titles": 25, "modifiers": 15, "defines": 10,
+    "localization": 5, "gfx": 10, "portrait": 20, "other": 15,
+}
+#: Path segments and the report's domain of files below them.
+REPORT_DOMAINS = {
+    "on_action": "on_action", "on_actions": "on_action", "scripted_effects": "scripted_effect", "scripted_triggers": "scripted_trigger",
+    "decisions": "decisions", "defines": "defines", "localization": "localization", "modifiers": "modifiers",
+    "static_modifiers": "modifiers", "landed_titles": "landed_titles", "traits": "traits", "events": "events",
+    "script_values": "script_values", "character_interactions": "character_interactions", "gui": "gui", "interface": "interface",
+    "gfx": "gfx", "portrait": "portrait", "coat_of_arms": "coat_of_arms", "culture": "culture", "religion": "religion",
+    "governments": "governments", "laws": "laws", "casus_belli_types": "casus_belli",
+}
+#: Slots of a container whose items add up over sources, and those of which the last source's counts.
+APPENDED_SLOTS = ("events", "on_actions", "random_events", "random_on_actions", "first_valid", "first_valid_on_action")
+SINGLE_SLOTS = ("effect", "trigger", "weight_multiplier", "fallback")
 RESERVED = (
     "namespace", "yes", "no", "true", "false", "null", "none", "if", "else", "limit", "trigger", "effect", "modifier",
     "AND", "OR", "NOT", "NOR", "NAND", "macro", "scripted_trigger", "scripted_effect", "first_valid", "random_valid", "fallback",
@@ -93,6 +111,55 @@ LOG_CATEGORIES = (
     ("portrait_error", r"portraitcontext", 4),
     ("audio_error", r"audio2_fmod_sound", 5),
 )
+#: The same for the game's log and for the debug log, with what each is about.
+GAME_LOG_CATEGORIES = (
+    ("casus_belli_error", r"casus_belli\.cpp", 2, "Casus belli definition errors"),
+    ("decision_error", r"decision_type\.cpp", 3, "Decision configuration errors"),
+    ("triggered_string_error", r"triggered_string\.cpp", 3, "Triggered string reference errors"),
+    ("mtth_error", r"mtthimpl\.cpp", 2, "MTTH calculation errors"),
+    ("landed_title_error", r"landed_title_template\.cpp", 3, "Landed title definition errors"),
+    ("coat_of_arms_error", r"coat_of_arms", 4, "Coat of Arms errors"),
+    ("culture_error", r"culture_template\.cpp|culture_name_equivalency\.cpp", 3, "Culture definition errors"),
+    ("religion_error", r"religion_templates\.cpp", 3, "Religion/faith errors"),
+    ("holy_site_error", r"faith_holy_site_template\.cpp", 3, "Holy site configuration errors"),
+    ("bookmark_error", r"bookmark\.cpp", 4, "Bookmark/character selection errors"),
+    ("building_error", r"building_type\.cpp", 4, "Building/gfx culture flag errors"),
+    ("flavorization_error", r"flavorizing\.cpp", 4, "Flavorization/title naming errors"),
+    ("portrait_error", r"portrait", 5, "Portrait/appearance errors"),
+    ("gui_error", r"pdx_gui|widget", 5, "GUI/interface errors"),
+)
+DEBUG_LOG_CATEGORIES = (
+    ("system_init", r"Log system initialized|Architecture|worker threads", 5, "System initialization"),
+    ("gpu_info", r"Adapter \d+:|Selected adapter:", 5, "GPU/graphics information"),
+    ("dlc_info", r"^DLC:", 5, "DLC loading information"),
+    ("mod_info", r"^Mod:", 5, "Mod loading information"),
+    ("network_info", r"POPS|Matchmaking|Nakama", 5, "Network/online services"),
+    ("settings_info", r"settings|pdx_settings", 5, "Settings loading"),
+    ("define_warning", r"Define .* not specified", 4, "Missing defines (usually harmless)"),
+)
+#: Routing table: path fragments with their envelope, in order; then skipped extensions; then extensions with theirs.
+ENVELOPE_PATHS = (
+    ("history/characters/", "E_LOOKUP_CHARACTERS"), ("history/provinces/", "E_LOOKUP_PROVINCES"),
+    ("common/culture/name_lists/", "E_LOOKUP_NAMES"), ("common/religion/holy_sites/", "E_LOOKUP_HOLY_SITES"),
+    ("common/dynasties/", "E_LOOKUP_DYNASTIES"), ("licenses/", "E_SKIP"), ("credits.txt", "E_SKIP"), ("credit.txt", "E_SKIP"),
+    ("description.txt", "E_SKIP"), ("compatibility.txt", "E_SKIP"), ("modding_info.txt", "E_SKIP"), ("STEAM_DESCRIPTION.txt", "E_SKIP"),
+    ("changelog", "E_SKIP"), ("CHANGES.txt", "E_SKIP"), ("Notes.txt", "E_SKIP"), ("intr.txt", "E_SKIP"),
+    ("SpecialThanksContributors.txt", "E_SKIP"), ("House_Traditions.txt", "E_SKIP"), ("README", "E_SKIP"), ("gui/", "E_SKIP"),
+    ("gfx/", "E_SKIP"), ("map_data/", "E_SKIP"), ("fonts/", "E_SKIP"), ("music/", "E_SKIP"), ("sound/", "E_SKIP"),
+    ("dlc_metadata/", "E_SKIP"), ("content_source/", "E_SKIP"),
+)
+SKIPPED_EXTENSIONS = (
+    ".dds", ".png", ".jpg", ".jpeg", ".gif", ".bmp", ".tga", ".wav", ".mp3", ".ogg", ".bank", ".wem", ".mesh", ".anim",
+    ".skeleton", ".asset", ".settings", ".shader", ".mod", ".ttf", ".otf", ".fnt", ".bik", ".bk2", ".psd",
+)
+ENVELOPES = {".txt": "E_SCRIPT", ".yml": "E_LOC"}
+#: How sure the report is of each domain's merge behaviour; "low" for all others.
+MERGE_CONFIDENCE = {
+    "localization": "high", "defines": "high", "script_values": "medium", "scripted_effect": "medium", "scripted_trigger": "medium",
+    "decisions": "medium", "traits": "medium", "events": "medium", "character_interactions": "medium",
+}
+#: Prefixes of unit keys that differ from the domain's name.
+UNIT_PREFIXES = {"character_interaction": "interaction", "localization": "loc", "maa_type": "maa", "casus_belli": "cb"}
 MATCH_TYPES = ("exact", "prefix", "stem", "suffix", "contains", "suffix_tokens", "flex_underscore")
 # End of fixed values.
 
@@ -175,19 +242,66 @@ def report_type(path: Column) -> Column:
 
 
 def is_symbol_name(name: Column) -> Column:
-    """Two characters at least, not reserved, not a date and not a number."""
-    return F.coalesce((F.length(name) >= 2) & ~name.isin(*RESERVED) & ~name.rlike(r"^\d+\.\d+(\.\d+)?$") & ~name.rlike(r"^\.?\d+\.?\d*$"), F.lit(False))
+    """Two characters at least, not reserved, and neither a number nor a date, which are digits with up to two dots."""
+    rest = F.translate(name, "0123456789", "")
+    part = lambda n: F.split_part(name, F.lit("."), F.lit(n))
+    numeric = rest.isin("", ".") | ((rest == "..") & (part(2) != "") & (part(3) != ""))
+    return F.coalesce((F.length(name) >= 2) & ~name.isin(*RESERVED) & ~numeric, F.lit(False))
 
 
 def is_compatibility_patch(name: Column) -> Column:
     return F.coalesce(holds_any(F.lower(name), COMPATIBILITY), F.lit(False))
 
 
+def mapped(pairs: dict[str, object], key: Column, default: object) -> Column:
+    """The value of ``key`` in a fixed table."""
+    return first_of([(key == k, F.lit(v)) for k, v in pairs.items()], default if isinstance(default, Column) else F.lit(default))
+
+
 def unit_key(domain_name: Column, name: Column, namespace: Column | None = None) -> Column:
-    plain = F.concat_ws(":", domain_name, name)
+    """prefix:[namespace.]name; only events and defines have namespaces."""
+    prefix = mapped(UNIT_PREFIXES, domain_name, domain_name)
+    plain = F.concat_ws(":", prefix, name)
     if namespace is None:
         return plain
-    return F.when(domain_name.isin("event", "defines") & (F.coalesce(namespace, F.lit("")) != ""), F.concat(domain_name, F.lit(":"), namespace, F.lit("."), name)).otherwise(plain)
+    return F.when(domain_name.isin("event", "defines") & (F.coalesce(namespace, F.lit("")) != ""), F.concat(prefix, F.lit(":"), namespace, F.lit("."), name)).otherwise(plain)
+
+
+def report_domain(path: Column) -> Column:
+    """The report's domain of a file: that of the first path segment that has one, else "other"."""
+    parts = F.split(F.lower(F.translate(path, "\\", "/")), "/")
+    known = F.filter(parts, lambda x: x.isin(*REPORT_DOMAINS))
+    return mapped(REPORT_DOMAINS, F.get(known, F.lit(0)), "other")
+
+
+def extension(path: Column) -> Column:
+    """The last dot of a path's name and what follows, in lower case; empty without a dot that ends a name."""
+    name = F.substring_index(F.lower(F.translate(path, "\\", "/")), "/", -1)
+    dot = F.length(name) - F.length(F.substring_index(name, ".", -1))
+    return F.when((dot > 1) & (dot < F.length(name)), F.substring(name, dot, F.length(name))).otherwise(F.lit(""))
+
+
+def envelope(path: Column, paths: Sequence[tuple[str, str]] = ENVELOPE_PATHS, skipped: Sequence[str] = SKIPPED_EXTENSIONS, kinds: dict[str, str] = ENVELOPES) -> Column:
+    """Which steps a file gets, by a routing table: the first fragment that its path holds; else skipped extensions;
+    else its extension's envelope; else none."""
+    low, ext = F.lower(F.translate(path, "\\", "/")), extension(path)
+    return first_of([*((low.contains(p.lower()), F.lit(e)) for p, e in paths), (ext.isin(*skipped), F.lit("E_SKIP")), *((ext == k, F.lit(e)) for k, e in kinds.items())], F.lit("E_SKIP"))
+
+
+def prefix_route(path: Column, rules: Sequence[tuple[str, Sequence[str], Sequence[str]]], default: str) -> Column:
+    """The first rule (name, path prefixes, extensions) that a file meets: any of its prefixes and any of its extensions,
+    where it has such; a rule with neither meets every file."""
+    low, ext = F.lower(F.translate(path, "\\", "/")), extension(path)
+    cases = []
+    for name, prefixes, extensions in rules:
+        ok = reduce(lambda a, b: a | b, [low.startswith(p.lower()) for p in prefixes]) if prefixes else F.lit(True)
+        cases.append((ok & ext.isin(*extensions) if extensions else ok, F.lit(name)))
+    return first_of(cases, F.lit(default))
+
+
+def file_type(path: Column) -> Column:
+    """The tag a stored file carries: its route in lower case."""
+    return F.lower(route(path)["route"])
 
 
 def domain_risk(domain_name: Column) -> Column:
@@ -220,24 +334,40 @@ def unit_reasons(candidates: Column, behavior: Column, over_base: Column, unknow
     )
 
 
-def file_risk(domain_name: Column, candidates: Column, size_delta: Column, inner_conflicts: Column) -> Column:
-    score = domain_risk(domain_name) + F.greatest(candidates - 2, F.lit(0)) * 10 + _add(size_delta > 0.5, F.lit(10))
+def file_risk(report_domain_name: Column, candidates: Column, size_delta: Column, inner_conflicts: Column) -> Column:
+    score = mapped(REPORT_RISK, report_domain_name, REPORT_RISK["other"]) + F.greatest(candidates - 2, F.lit(0)) * 10 + _add(size_delta > 0.5, F.lit(10))
     return F.least(F.lit(100), score + F.when(inner_conflicts > 5, 10).when(inner_conflicts > 0, 5).otherwise(0)).cast("long")
 
 
-def id_risk(domain_name: Column, candidates: Column, unknown_refs: Column, uncertain: Column) -> Column:
-    score = domain_risk(domain_name) + F.greatest(candidates - 2, F.lit(0)) * 15 + _add(unknown_refs, F.lit(15)) + _add(uncertain, F.lit(10))
+def file_reasons(report_domain_name: Column, candidates: Column, size_delta: Column, inner_conflicts: Column) -> Column:
+    return F.concat_ws(
+        "; ",
+        F.when(report_domain_name.isin("on_action", "events", "gui", "interface"), "hotspot_domain"),
+        F.when(candidates > 2, F.concat(candidates.cast("string"), F.lit("_candidates"))),
+        F.when(size_delta > 0.5, "large_size_delta"),
+        F.when(inner_conflicts > 5, "many_id_conflicts_inside").when(inner_conflicts > 0, "has_id_conflicts"),
+    )
+
+
+def id_risk(report_domain_name: Column, candidates: Column, unknown_refs: Column, uncertain: Column) -> Column:
+    score = mapped(REPORT_RISK, report_domain_name, REPORT_RISK["other"]) + F.greatest(candidates - 2, F.lit(0)) * 15 + _add(unknown_refs, F.lit(15)) + _add(uncertain, F.lit(10))
     return F.least(F.lit(100), score).cast("long")
 
 
+def id_uncertainty(report_domain_name: Column, uncertain: Column) -> Column:
+    """Bucket of how unsure the report is of a name's merge: none, low or medium."""
+    confidence = mapped(MERGE_CONFIDENCE, report_domain_name, "low")
+    return first_of([((confidence == "high") & ~uncertain, F.lit("none")), (confidence == "medium", F.lit("low"))], F.lit("medium"))
+
+
 def uncertainty(domain_name: Column, behavior: Column, differ: Column) -> Column:
     return first_of([(domain_name == "on_action", F.lit("medium")), (behavior == "unknown", F.lit("high")), (differ, F.lit("medium"))], F.lit("low"))
 
 
-def log_category(message: Column) -> Column:
+def log_category(message: Column, rules: Sequence[tuple] = LOG_CATEGORIES) -> Column:
     """Category and priority of a log message, by the first pattern found in it whatever the case."""
     pick = lambda name, p: F.struct(F.lit(name).alias("category"), F.lit(p).alias("priority"))
-    return first_of([(message.rlike("(?i)" + pattern), pick(name, p)) for name, pattern, p in LOG_CATEGORIES], pick("unknown", 5))
+    return first_of([(message.rlike("(?i)" + r[1]), pick(r[0], r[2])) for r in rules], pick("unknown", 5))
 
 
 def signature(message: Column) -> Column:
@@ -247,6 +377,7 @@ def signature(message: Column) -> Column:
 
 def node_text(text: Column) -> Column:
     """Script text without comments, indentation, empty lines and runs of blanks, so that equal content hashes alike."""
-    lines = F.split(F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "#[^\n]*", ""), "\n")
-    tidy = F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"[ \t]+", " ")))
-    return F.array_join(F.filter(tidy, lambda x: x != ""), "\n")
+    swap = lambda x, a, b: F.replace(x, F.lit(a), F.lit(b))
+    words = lambda line: F.filter(F.split(F.translate(F.substring_index(line, "#", 1), "\t", " "), " "), lambda w: w != "")
+    lines = F.transform(F.split(swap(swap(text, "\r\n", "\n"), "\r", "\n"), "\n"), lambda x: F.array_join(words(x), " "))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")

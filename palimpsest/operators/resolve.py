@@ -47,7 +47,8 @@ def dispatch(defs: DataFrame, key: Sequence[str], order: Sequence[str], policy:
 
 
 def merge_containers(slots: DataFrame, key: str, order: Sequence[str], item: str, slot: str, appended: Sequence[str], sep: str = ",") -> DataFrame:
-    """Containers merged over all sources: slots in ``appended`` become lists in load order, single slots take the last.
+    """Containers merged over all sources: slots in ``appended`` become lists in load order, of a single slot the last
+    source's items stay.
 
     ``slots`` has a row for each item: key, slot name, order columns (the first is the source's load order) and the
     item. More than one source in a single slot is a conflict. A list is as long as a container's items, which the
@@ -56,15 +57,11 @@ def merge_containers(slots: DataFrame, key: str, order: Sequence[str], item: str
     Returns key, slot, merged (text), n_items, n_sources, winner (load order of the last source), conflict.
     """
     many = F.col(slot).isin(*appended)
-    entry = F.struct(*order, item)
-    grouped = slots.groupBy(key, slot).agg(
-        F.sort_array(F.collect_list(F.when(many, entry))).alias("__all"),
-        F.max(entry).alias("__last"),
-        F.count("*").alias("n_items"),
-        F.count_distinct(order[0]).alias("n_sources"),
-    )
-    merged = F.when(many, F.array_join(F.transform("__all", lambda x: x[item].cast("string")), sep)).otherwise(F.col("__last")[item].cast("string"))
-    return grouped.select(key, slot, merged.alias("merged"), "n_items", "n_sources", F.col("__last")[order[0]].alias("winner"), (~many & (F.col("n_sources") > 1)).alias("conflict"))
+    grouped = slots.groupBy(key, slot).agg(F.sort_array(F.collect_list(F.struct(*order, item))).alias("__all"), F.count("*").alias("n_items"), F.max(order[0]).alias("__last"))
+    kept = F.filter("__all", lambda x: many | (x[order[0]] == F.col("__last")))
+    n_sources = F.size(F.array_distinct(F.transform("__all", lambda x: x[order[0]]))).cast("long")
+    merged = F.array_join(F.transform(kept, lambda x: x[item].cast("string")), sep)
+    return grouped.select(key, slot, merged.alias("merged"), "n_items", n_sources.alias("n_sources"), F.col("__last").alias("winner"), (~many & (n_sources > 1)).alias("conflict"))
 
 
 def trace(defs: DataFrame, name_col: str, name: object, order: Sequence[str]) -> DataFrame:

@@ -61,22 +61,16 @@ def snippet(text: Column, at: Column, before: int, after: int) -> Column:
     return F.substring(text, start.cast("int"), (at + after - start).cast("int"))
 
 
-def terms_of(text: Column) -> Column:
-    """Lower-case runs of ASCII letters and digits."""
-    return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
-
-
 def bm25(docs: DataFrame, key: str, text: str, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Score of every document that holds a term of the query.
 
-    Documents are scanned once: each yields its length and its counts of the few query terms as columns, so postings
-    of other terms are never made. Document frequencies and the mean length are one row of sums, joined back.
+    Two scans, one for the counts of documents and one for the scores: each yields a document's length and its counts of
+    the few query terms as columns, so postings of other terms are never made. The counts are one row, joined back.
     """
     words = sorted(set(w for w in query.lower().split() if w))
-    count = lambda w: F.size(F.filter("t", lambda x: x == F.lit(w))).cast("long")
-    listed = docs.select(F.col(key), terms_of(F.col(text)).alias("t")).select(
-        key, F.size("t").cast("long").alias("len"), *[count(w).alias(f"tf{i}") for i, w in enumerate(words)]
-    )
+    low = F.lower(F.col(text))
+    count = lambda w: F.regexp_count(low, F.lit(f"(?<![a-z0-9]){w}(?![a-z0-9])")).cast("long")
+    listed = docs.select(F.col(key), F.regexp_count(low, F.lit("[a-z0-9]+")).cast("long").alias("len"), *[count(w).alias(f"tf{i}") for i, w in enumerate(words)])
     totals = listed.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))])
     held = " OR ".join(f"tf{i} > 0" for i in range(len(words)))
     score = F.lit(0.0)
@@ -86,6 +80,26 @@ def bm25(docs: DataFrame, key: str, text: str, query: str, k1: float = 1.2, b: f
     return listed.where(held).crossJoin(F.broadcast(totals)).select(key, score.alias("score"))  # one row on the right
 
 
+def filtered(df: DataFrame, wanted: dict[str, object], columns: Sequence[str] | None = None, limit: int | None = None) -> DataFrame:
+    """Rows by a table of wishes: equality; LIKE without case where a text holds %; ``_gte`` and ``_lte`` for ranges; a truth
+    value also meets 0 and 1 in a column of numbers. ``limit`` is the answer's length, as a feature of the view."""
+    kinds = dict(df.dtypes)
+    for name, value in wanted.items():
+        if name not in kinds and name.endswith("_gte"):
+            df = df.where(F.col(name[:-4]) >= value)
+        elif name not in kinds and name.endswith("_lte"):
+            df = df.where(F.col(name[:-4]) <= value)
+        elif isinstance(value, bool) and kinds[name] != "boolean":
+            df = df.where(F.col(name) == int(value))
+        elif isinstance(value, str) and "%" in value:
+            df = df.where(F.col(name).ilike(value))
+        else:
+            df = df.where(F.col(name) == value)
+    if columns is not None:
+        df = df.select(*columns)
+    return df if limit is None else df.limit(limit)
+
+
 def tagged(scope: str, df: DataFrame, key: str, label: str) -> DataFrame:
     """One branch of a search over several tables."""
     return df.select(F.lit(scope).alias("scope"), F.col(key).cast("string").alias("key"), F.col(label).alias("label"))

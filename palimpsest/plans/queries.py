@@ -6,8 +6,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,23 +14,10 @@ from palimpsest.operators import conflicts as C
 from palimpsest.operators import ordered as O
 from palimpsest.operators import resolve as R
 from palimpsest.operators import search as S
+from palimpsest.operators import stats as T
+from palimpsest.plans.registry import ORACLES, QUERIES, query
 from palimpsest.session import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 TIES = ["file", "line", "price", "qty", "discount", "tax", "shipdate", "flag", "status"]
 
 
@@ -89,10 +74,10 @@ def policy_dispatch(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT l_orderkey AS container, CASE l_linenumber % 4 WHEN 0 THEN 'events' WHEN 1 THEN 'on_actions' WHEN 2 THEN 'trigger' ELSE 'effect' END AS slot,
-  l_suppkey AS load_order, l_linenumber AS pos, l_partkey AS item FROM lineitem)
-  SELECT container, slot, CASE WHEN slot IN ('events', 'on_actions') THEN string_agg(item::VARCHAR, ',' ORDER BY load_order, pos, item) ELSE arg_max(item, (load_order, pos, item))::VARCHAR END AS merged,
+  l_suppkey AS load_order, l_linenumber AS pos, l_partkey AS item FROM lineitem), m AS (SELECT *, max(load_order) OVER (PARTITION BY container, slot) AS top FROM s)
+  SELECT container, slot, string_agg(item::VARCHAR, ',' ORDER BY load_order, pos, item) FILTER (slot IN ('events', 'on_actions') OR load_order = top) AS merged,
   count(*) AS n_items, count(DISTINCT load_order) AS n_sources, max(load_order) AS winner, slot NOT IN ('events', 'on_actions') AND count(DISTINCT load_order) > 1 AS conflict
-  FROM s GROUP BY container, slot""")
+  FROM m GROUP BY container, slot""")
 def container_merge(spark: SparkSession, sf: str) -> DataFrame:
     slot = "CASE l_linenumber % 4 WHEN 0 THEN 'events' WHEN 1 THEN 'on_actions' WHEN 2 THEN 'trigger' ELSE 'effect' END AS slot"
     items = table(spark, sf, "lineitem").selectExpr("l_orderkey AS container", slot, "l_suppkey AS load_order", "l_linenumber AS pos", "l_partkey AS item")
@@ -133,30 +118,24 @@ def _paths(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").selectExpr("p_partkey AS name", f"{PATH_SQL} AS path")
 
 
-def _case(pairs: list[tuple[str, str]], default: str) -> str:
-    return "CASE " + " ".join(f"WHEN {when} THEN '{then}'" for when, then in pairs) + f" ELSE '{default}' END"
-
+#: What the rules say of each test folder, by its number: route of a txt file, domain, policy, kind, report's domain, weights.
+EXPECTED = """(VALUES (0, 'SCRIPT', 'on_action', 'container_merge', 'on_action', 'on_action', 30, 40), (1, 'SCRIPT', 'event', 'override', 'event', 'events', 25, 35),
+  (2, 'SCRIPT', 'scripted_effect', 'override', 'scripted_effect', 'scripted_effect', 15, 25), (3, 'SCRIPT', 'decision', 'override', 'decision', 'decisions', 10, 30),
+  (4, 'SCRIPT', 'defines', 'per_key_override', 'define', 'defines', 15, 10), (5, 'SKIP', 'gui', 'fios', 'definition', 'gui', 25, 45),
+  (6, 'SKIP', 'localization', 'per_key_override', 'definition', 'localization', 5, 5), (7, 'SCRIPT', 'modifier', 'override', 'modifier', 'modifiers', 5, 15),
+  (8, 'SCRIPT', 'content', 'override', 'title', 'landed_titles', 10, 25), (9, 'SKIP', 'content', 'override', 'coa', 'gfx', 10, 10),
+  (10, 'LOOKUPS', 'content', 'override', 'definition', 'other', 10, 15), (11, 'SCRIPT', 'tradition', 'override', 'tradition', 'culture', 10, 15))
+  AS r (folder, txt_route, domain, policy, kind, report_domain, unit_weight, report_weight)"""
+ROUTE_SQL = "CASE WHEN p_size % 7 = 2 THEN CASE WHEN folder = 6 THEN 'LOCALIZATION' ELSE 'SKIP' END WHEN p_size % 7 IN (4, 6) THEN 'SKIP' ELSE txt_route END"
+PATHS = f"WITH p AS (SELECT p_partkey AS name, p_size, {PATH_SQL} AS path, r.* FROM part JOIN {EXPECTED} ON p_size % 12 = folder)"
 
-LOW = "lower(path)"
-_any = lambda parts: "(" + " OR ".join(f"contains({LOW}, '{p}')" for p in parts) + ")"
-DOMAIN_SQL = _case([(f"contains({LOW}, '{p}')", d) for p, d in rules.DOMAINS], "content")
-KIND_SQL = "CASE " + " ".join(f"WHEN contains({LOW}, '{p}') THEN '{k}'" for p, k in sorted(rules.KINDS.items(), key=lambda x: -len(x[0]))) + f" WHEN regexp_extract({LOW}, '/common/([^/]+)', 1) <> '' THEN rtrim(regexp_extract({LOW}, '/common/([^/]+)', 1), 's') ELSE 'definition' END"
-POLICY_SQL = _case([(f"starts_with(path, '{p}')", n) for p, n in rules.POLICIES], "override")
-RISK_SQL = "(CASE domain " + " ".join(f"WHEN '{d}' THEN {w}" for d, w in rules.DOMAIN_RISK.items()) + " ELSE 10 END)"
-EXT = f"regexp_extract({LOW}, '[^/](\\.[^./]+)$', 1)"
-ROUTE_SQL = _case(
-    [(f"{EXT} = '.yml' AND contains({LOW}, 'localization/')", "LOCALIZATION"), (f"{EXT} = '.yml'", "SKIP"), (f"{EXT} <> '.txt'", "SKIP"), (_any(rules.SKIPPED), "SKIP"), (_any(rules.LOOKUP_FOLDERS), "LOOKUPS"),
-     (_any(rules.SCRIPT_FOLDERS), "SCRIPT"), ("starts_with(path, 'common/') OR starts_with(path, 'events/')", "SCRIPT")], "SKIP",
-)
-PATHS = f"WITH p AS (SELECT p_partkey AS name, {PATH_SQL} AS path FROM part)"
 
-
-@query(f"{PATHS} SELECT name, path, {ROUTE_SQL} AS route, {DOMAIN_SQL} AS domain, {POLICY_SQL} AS policy FROM p")
+@query(f"{PATHS} SELECT name, path, {ROUTE_SQL} AS route, domain, policy FROM p")
 def route_case(spark: SparkSession, sf: str) -> DataFrame:
     return _paths(spark, sf).select("name", "path", rules.route(F.col("path"))["route"].alias("route"), rules.domain(F.col("path")).alias("domain"), rules.policy(F.col("path")).alias("policy"))
 
 
-@query(f"{PATHS} SELECT name, {KIND_SQL} AS kind FROM p")
+@query(f"{PATHS} SELECT name, kind FROM p")
 def kind_longest_match(spark: SparkSession, sf: str) -> DataFrame:
     return _paths(spark, sf).select("name", rules.kind(F.col("path")).alias("kind"))
 
@@ -172,8 +151,8 @@ def symbol_names(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(F.col("p_partkey").alias("name"), "p_name", rules.is_symbol_name(p).alias("valid"), rules.is_compatibility_patch(p).alias("patch"))
 
 
-UNITS = f"""{DEFS}, p AS (SELECT p_partkey AS name, {PATH_SQL} AS path FROM part), u AS (SELECT d.name, {DOMAIN_SQL} AS domain, {POLICY_SQL} AS policy, count(DISTINCT load_order) AS n, min(load_order) AS base,
-  max(price) AS hi, min(price) AS lo FROM def d JOIN p ON d.name = p.name GROUP BY d.name, path)"""
+UNITS = f"""{DEFS}, p AS (SELECT p_partkey AS name, r.* FROM part JOIN {EXPECTED} ON p_size % 12 = folder), u AS (SELECT d.name, domain, policy, report_domain, unit_weight, report_weight,
+  count(DISTINCT load_order) AS n, min(load_order) AS base, max(price) AS hi, min(price) AS lo FROM def d JOIN p ON d.name = p.name GROUP BY ALL)"""
 BUCKET = "CASE WHEN score >= 60 THEN 'high' WHEN score >= 30 THEN 'medium' ELSE 'low' END"
 BEHAVIOR = "CASE policy WHEN 'container_merge' THEN 'append' WHEN 'per_key_override' THEN 'merge_by_id' ELSE 'replace' END"
 
@@ -182,10 +161,10 @@ def _units(spark: SparkSession, sf: str) -> DataFrame:
     """Each name's domain, policy, number of sources, lowest source and price range: two counts that need no set."""
     units = _defs(spark, sf).groupBy("name", "load_order").agg(F.max("price").alias("hi"), F.min("price").alias("lo")).groupBy("name")
     found = units.agg(F.count("*").alias("n"), F.min("load_order").alias("base"), F.max("hi").alias("hi"), F.min("lo").alias("lo"))
-    return found.join(_paths(spark, sf), "name").select("name", rules.domain(F.col("path")).alias("domain"), rules.policy(F.col("path")).alias("policy"), "n", "base", "hi", "lo")
+    return found.join(_paths(spark, sf), "name").select("name", rules.domain(F.col("path")).alias("domain"), rules.policy(F.col("path")).alias("policy"), rules.report_domain(F.col("path")).alias("report_domain"), "n", "base", "hi", "lo")
 
 
-@query(f"""{UNITS}, s AS (SELECT *, {BEHAVIOR} AS behavior, least(100, {RISK_SQL} + greatest(n - 2, 0) * 10 + CASE WHEN base = 1 AND n > 1 THEN 5 ELSE 0 END + CASE WHEN lo < 1000 THEN 15 ELSE 0 END + CASE WHEN hi > 90000 THEN 20 ELSE 0 END)::BIGINT AS score FROM u)
+@query(f"""{UNITS}, s AS (SELECT *, {BEHAVIOR} AS behavior, least(100, unit_weight + greatest(n - 2, 0) * 10 + CASE WHEN base = 1 AND n > 1 THEN 5 ELSE 0 END + CASE WHEN lo < 1000 THEN 15 ELSE 0 END + CASE WHEN hi > 90000 THEN 20 ELSE 0 END)::BIGINT AS score FROM u)
   SELECT name, domain, behavior, n AS candidates, score, {BUCKET} AS level FROM s""")
 def conflict_risk_unit(spark: SparkSession, sf: str) -> DataFrame:
     behavior = rules.merge_behavior(F.col("policy"))
@@ -193,20 +172,22 @@ def conflict_risk_unit(spark: SparkSession, sf: str) -> DataFrame:
     return _units(spark, sf).select("name", "domain", behavior.alias("behavior"), F.col("n").alias("candidates"), score.alias("score"), rules.risk_bucket(score).alias("level"))
 
 
-@query(f"""{UNITS}, s AS (SELECT *, (hi - lo) / hi AS delta, least(100, {RISK_SQL} + greatest(n - 2, 0) * 10 + CASE WHEN (hi - lo) / hi > 0.5 THEN 10 ELSE 0 END + CASE WHEN n > 5 THEN 10 WHEN n > 0 THEN 5 ELSE 0 END)::BIGINT AS score FROM u)
-  SELECT name, domain, round(delta, 6) AS size_delta, score, {BUCKET} AS level FROM s""")
+@query(f"""{UNITS}, s AS (SELECT *, (hi - lo) / hi AS delta, least(100, report_weight + greatest(n - 2, 0) * 10 + CASE WHEN (hi - lo) / hi > 0.5 THEN 10 ELSE 0 END + CASE WHEN n > 5 THEN 10 WHEN n > 0 THEN 5 ELSE 0 END)::BIGINT AS score FROM u)
+  SELECT name, report_domain AS domain, round(delta, 6) AS size_delta, score, {BUCKET} AS level FROM s""")
 def conflict_risk_file(spark: SparkSession, sf: str) -> DataFrame:
     delta = (F.col("hi") - F.col("lo")) / F.col("hi")
-    score = rules.file_risk(F.col("domain"), F.col("n"), delta, F.col("n"))
-    return _units(spark, sf).select("name", "domain", F.round(delta, 6).alias("size_delta"), score.alias("score"), rules.risk_bucket(score).alias("level"))
+    score = rules.file_risk(F.col("report_domain"), F.col("n"), delta, F.col("n"))
+    return _units(spark, sf).select("name", F.col("report_domain").alias("domain"), F.round(delta, 6).alias("size_delta"), score.alias("score"), rules.risk_bucket(score).alias("level"))
 
 
-@query(f"""{UNITS}, s AS (SELECT *, least(100, {RISK_SQL} + greatest(n - 2, 0) * 15 + CASE WHEN lo < 1000 THEN 15 ELSE 0 END + CASE WHEN policy <> 'override' THEN 10 ELSE 0 END)::BIGINT AS score FROM u)
-  SELECT name, domain, score, {BUCKET} AS level, CASE WHEN domain = 'on_action' THEN 'medium' WHEN hi > 2 * lo THEN 'medium' ELSE 'low' END AS uncertain FROM s""")
+@query(f"""{UNITS}, s AS (SELECT *, least(100, report_weight + greatest(n - 2, 0) * 15 + CASE WHEN lo < 1000 THEN 15 ELSE 0 END + CASE WHEN policy <> 'override' THEN 10 ELSE 0 END)::BIGINT AS score FROM u)
+  SELECT name, report_domain AS domain, score, {BUCKET} AS level, CASE WHEN domain = 'on_action' THEN 'medium' WHEN hi > 2 * lo THEN 'medium' ELSE 'low' END AS uncertain,
+  CASE WHEN report_domain IN ('localization', 'defines') AND policy = 'override' THEN 'none' WHEN report_domain IN ('events', 'scripted_effect', 'decisions') THEN 'low' ELSE 'medium' END AS report_uncertain FROM s""")
 def conflict_risk_id(spark: SparkSession, sf: str) -> DataFrame:
-    score = rules.id_risk(F.col("domain"), F.col("n"), F.col("lo") < 1000, F.col("policy") != "override")
+    domain, merges = F.col("report_domain"), F.col("policy") != "override"
+    score = rules.id_risk(domain, F.col("n"), F.col("lo") < 1000, merges)
     unsure = rules.uncertainty(F.col("domain"), rules.merge_behavior(F.col("policy")), F.col("hi") > 2 * F.col("lo"))
-    return _units(spark, sf).select("name", "domain", score.alias("score"), rules.risk_bucket(score).alias("level"), unsure.alias("uncertain"))
+    return _units(spark, sf).select("name", domain.alias("domain"), score.alias("score"), rules.risk_bucket(score).alias("level"), unsure.alias("uncertain"), rules.id_uncertainty(domain, merges).alias("report_uncertain"))
 
 
 @query(f"{UNITS} SELECT domain, count(*) FILTER (n > 1) AS n_conflicts, count(*) AS n_units, sum(n)::BIGINT AS n_candidates FROM u GROUP BY domain ORDER BY n_conflicts DESC, domain LIMIT 10")
@@ -227,7 +208,7 @@ def size_delta_ratio(spark: SparkSession, sf: str) -> DataFrame:
 def dedup_contents(spark: SparkSession, sf: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf, "documents").select("doc_id", F.sha2(text, 256).alias("digest"), F.length(text).cast("long").alias("size"))
-    return docs.groupBy("digest").agg(F.count("*").alias("n_files"), F.min("doc_id").alias("first_file"), F.max("size").alias("size"))
+    return T.deduplicated(docs, "digest", "doc_id", "size").select("digest", "n_files", F.col("first").alias("first_file"), "size")
 
 
 @query("WITH s AS (SELECT sha256(coalesce(text, '')) AS digest, min(string_split(coalesce(text, ''), ' ')[1]) AS name FROM documents GROUP BY 1) SELECT d.doc_id, d.source, s.name FROM documents d JOIN s ON sha256(coalesce(d.text, '')) = s.digest")
@@ -242,13 +223,8 @@ def content_join(spark: SparkSession, sf: str) -> DataFrame:
   b AS (SELECT source, substr(sha256(path), 1, 4) AS bucket, sha256(string_agg(path || digest, '' ORDER BY path, digest)) AS h, count(*) AS n FROM f GROUP BY 1, 2)
   SELECT source, sha256(string_agg(h, '' ORDER BY bucket)) AS root_hash, sum(n)::BIGINT AS n_files FROM b GROUP BY source""")
 def root_hash(spark: SparkSession, sf: str) -> DataFrame:
-    """Identity of a source's state, whatever the order of its files: a tree of two levels, so no task holds a source."""
-    path = F.col("doc_id").cast("string")
-    files = table(spark, sf, "documents").select("source", F.substring(F.sha2(path, 256), 1, 4).alias("bucket"), F.struct(path.alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")).alias("f"))
-    leaf = F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("f")), lambda x: F.concat(x["path"], x["digest"])), ""), 256)
-    leaves = files.groupBy("source", "bucket").agg(leaf.alias("h"), F.count("*").alias("n"))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "h"))), lambda x: x["h"]), "")
-    return leaves.groupBy("source").agg(F.sha2(joined, 256).alias("root_hash"), F.sum("n").alias("n_files"))
+    files = table(spark, sf, "documents").select("source", F.col("doc_id").cast("string").alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    return T.root_hash(files, "source", "path", "digest")
 
 
 MANIFEST = "SELECT l_orderkey AS file, max(l_extendedprice) AS digest FROM lineitem WHERE l_returnflag = '{}' GROUP BY 1"
@@ -288,36 +264,25 @@ def visibility_semi(spark: SparkSession, sf: str) -> DataFrame:
     return C.visible(table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey"), "s_nationkey", [1, 3, 5]).select("s_suppkey", "s_name")
 
 
-@query("SELECT s_suppkey, s_name FROM supplier WHERE false")
+@query("SELECT 'none' AS scope, count(*) FILTER (false) AS n FROM supplier UNION ALL SELECT 'all', count(*) FROM supplier UNION ALL SELECT 'empty is all', count(*) FROM supplier")
 def visibility_empty(spark: SparkSession, sf: str) -> DataFrame:
-    return C.visible(table(spark, sf, "supplier").select("s_suppkey", "s_name"), "s_suppkey", [])
-
-
-def filters(df: DataFrame, wanted: dict[str, object]) -> DataFrame:
-    """Equality; LIKE without case where the text holds %; ``_gte`` and ``_lte`` for ranges."""
-    for name, value in wanted.items():
-        if name.endswith("_gte"):
-            df = df.where(F.col(name[:-4]) >= value)
-        elif name.endswith("_lte"):
-            df = df.where(F.col(name[:-4]) <= value)
-        elif isinstance(value, str) and "%" in value:
-            df = df.where(F.col(name).ilike(value))
-        else:
-            df = df.where(F.col(name) == value)
-    return df
+    """Rows seen through an empty list of sources, through none at all, and where an empty list means all."""
+    rows = table(spark, sf, "supplier")
+    seen = {"none": C.visible(rows, "s_suppkey", []), "all": C.visible(rows, "s_suppkey", None), "empty is all": C.visible(rows, "s_suppkey", [], "all")}
+    counts = [df.agg(F.lit(k).alias("scope"), F.count("*").alias("n")) for k, df in seen.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
 @query("SELECT p_partkey, p_name, p_size FROM part WHERE p_type = 'SMALL' AND p_name ILIKE '%RING%' AND p_size >= 5 AND p_size <= 40")
 def generic_filters(spark: SparkSession, sf: str) -> DataFrame:
-    return filters(table(spark, sf, "part"), {"p_type": "SMALL", "p_name": "%RING%", "p_size_gte": 5, "p_size_lte": 40}).select("p_partkey", "p_name", "p_size")
+    return S.filtered(table(spark, sf, "part"), {"p_type": "SMALL", "p_name": "%RING%", "p_size_gte": 5, "p_size_lte": 40}).select("p_partkey", "p_name", "p_size")
 
 
 @query("SELECT r_name, n_name, count(c_custkey) AS n_customers, coalesce(round(sum(c_acctbal), 2), 0) AS balance FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY r_name, n_name")
 def hierarchy_closure(spark: SparkSession, sf: str) -> DataFrame:
-    """Totals of each branch of a hierarchy of fixed depth; customers are summed before they are joined."""
-    own = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("c_custkey").alias("n"), F.sum("c_acctbal").alias("b"))
-    tree = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).join(own, "n_nationkey", "left")
-    return tree.groupBy("r_name", "n_name").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_customers"), F.coalesce(F.round(F.sum("b"), 2), F.lit(0.0)).alias("balance"))
+    own = table(spark, sf, "customer").select(F.col("c_nationkey").alias("n_nationkey"), "c_custkey", "c_acctbal")
+    tree = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name", "n_name")
+    return T.branch_totals(tree, own, "n_nationkey", ["r_name", "n_name"], "c_acctbal").select("r_name", "n_name", F.col("n").alias("n_customers"), F.round("total", 2).alias("balance"))
 
 
 # --- search --------------------------------------------------------------------------------------
@@ -393,22 +358,6 @@ def queue_counts_grouping_sets(spark: SparkSession, sf: str) -> DataFrame:
 PRIORITY = "CASE event_type WHEN 'error' THEN 3 WHEN 'purchase' THEN 2 ELSE 1 END"
 
 
-@query(f"SELECT event_id, {PRIORITY} AS priority FROM events ORDER BY {PRIORITY} DESC, event_id LIMIT 100")
-def queue_claim_order(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").selectExpr("event_id", f"{PRIORITY} AS priority").orderBy(F.desc("priority"), "event_id").limit(100)
-
-
-LEASE = "CASE WHEN event_type <> 'error' THEN 'done' WHEN age < 86400 THEN 'processing' WHEN event_id % 5 >= 3 THEN 'error' ELSE 'pending' END"
-
-
-@query(f"SELECT {LEASE} AS status, count(*) AS n FROM (SELECT *, date_diff('second', ts, (SELECT max(ts) FROM events)) AS age FROM events) GROUP BY 1")
-def lease_recovery(spark: SparkSession, sf: str) -> DataFrame:
-    t = table(spark, sf, "events")
-    last = t.agg(F.max("ts").alias("now"))
-    age = F.expr("timestampdiff(SECOND, date_trunc('SECOND', ts), date_trunc('SECOND', now)) AS age")
-    return t.crossJoin(F.broadcast(last)).select("event_type", "event_id", age).selectExpr(f"{LEASE} AS status").groupBy("status").agg(F.count("*").alias("n"))  # one row on the right
-
-
 @query("SELECT user_id, event_type, props, min(event_id) AS event_id, count(*) AS n FROM events GROUP BY user_id, event_type, props")
 def fingerprint_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("user_id", "event_type", "props").agg(F.min("event_id").alias("event_id"), F.count("*").alias("n"))
@@ -421,15 +370,23 @@ def time_bucket_60s(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT event_type AS category, {PRIORITY} AS priority, count(*) AS n, count(DISTINCT user_id) AS n_mods, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY 1, 2")
 def error_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").groupBy(F.col("event_type").alias("category"), F.expr(PRIORITY).alias("priority")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("n_mods"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+    rows = table(spark, sf, "events").withColumn("priority", F.expr(PRIORITY))
+    return T.seen(rows, ["event_type", "priority"], "user_id", "ts").withColumnsRenamed({"event_type": "category", "n_distinct": "n_mods"})
 
 
-CATEGORY_SQL = "CASE " + " ".join(f"WHEN regexp_matches(text, '(?i){p}') THEN '{n}'" for n, p, _ in rules.LOG_CATEGORIES) + " ELSE 'unknown' END"
+MESSAGES = (
+    "Fatal(Crash) at start", "Incorrect MOD descriptor in x", "[jomini_script_system.cpp:12] bad", "trait brave not defined", "wrong SCOPE here", "eventmanager.cpp:3 x", "Duplicate localization key k",
+    "Key is missing localization k", "pdx_gui_layout", "portraitcontext.cpp bone", "audio2_fmod_sound x", "nothing to see",
+)
+MESSAGE_SQL = "(CASE event_id % 12 " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(MESSAGES)) + " END)"
 
 
-@query(f"SELECT {CATEGORY_SQL} AS category, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1")
+@query("""SELECT category, priority, count(*) AS n FROM events JOIN (VALUES (0, 'fatal_crash', 1), (1, 'encoding_error', 2), (2, 'script_system_error', 2), (3, 'missing_reference', 3), (4, 'scope_error', 3), (5, 'event_error', 3),
+  (6, 'duplicate_key', 4), (7, 'localization_missing', 4), (8, 'gui_warning', 4), (9, 'scope_error', 3), (10, 'audio_error', 5), (11, 'unknown', 5)) AS m (k, category, priority) ON event_id % 12 = k GROUP BY 1, 2""")
 def first_match_category(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").where("text IS NOT NULL").groupBy(rules.log_category(F.col("text"))["category"].alias("category")).agg(F.count("*").alias("n"))
+    """Log messages by the first category that they match; a portrait context counts as a scope error, which comes first."""
+    told = table(spark, sf, "events").select(rules.log_category(F.expr(MESSAGE_SQL)).alias("c"))
+    return told.groupBy("c.category", "c.priority").agg(F.count("*").alias("n"))
 
 
 @query("""WITH e AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS pos FROM events)
@@ -480,23 +437,18 @@ def chat_messages(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""WITH s AS (SELECT avg(n_chars) AS m, stddev_samp(n_chars) AS sd, count(*) AS n FROM documents) SELECT doc_id, round((n_chars - m) / sd, 4) AS z FROM documents, s WHERE n >= 100 AND (n_chars - m) / sd >= 2 ORDER BY z DESC, doc_id LIMIT 50""")
 def outlier_zscore(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "n_chars")
-    stats = docs.agg(F.avg("n_chars").alias("m"), F.stddev_samp("n_chars").alias("sd"), F.count("*").alias("n"))
-    z = (F.col("n_chars") - F.col("m")) / F.col("sd")
-    return docs.crossJoin(F.broadcast(stats)).where((F.col("n") >= 100) & (z >= 2)).select("doc_id", F.round(z, 4).alias("z")).orderBy(F.desc("z"), "doc_id").limit(50)  # one row on the right
+    return T.outliers(table(spark, sf, "documents").select("doc_id", "n_chars"), "n_chars", least_rows=100, least_z=2.0).select("doc_id", F.round("z", 4).alias("z")).orderBy(F.desc("z"), "doc_id").limit(50)
 
 
 @query("SELECT event_type AS step, count(*) AS n, round(avg(value), 4) AS mean, min(value) AS least, max(value) AS most, round(sum(value), 2) AS total FROM events GROUP BY 1")
 def run_step_stats(spark: SparkSession, sf: str) -> DataFrame:
-    v = F.col("value")
-    return table(spark, sf, "events").groupBy(F.col("event_type").alias("step")).agg(F.count("*").alias("n"), F.round(F.avg(v), 4).alias("mean"), F.min(v).alias("least"), F.max(v).alias("most"), F.round(F.sum(v), 2).alias("total"))
+    told = T.summary(table(spark, sf, "events"), ["event_type"], "value")
+    return told.select(F.col("event_type").alias("step"), "n", F.round("mean", 4).alias("mean"), "least", "most", F.round("total", 2).alias("total"))
 
 
 @query("SELECT source, count(*) AS n, count(l.doc_id) AS n_labelled, round(100.0 * count(l.doc_id) / count(*)::DOUBLE, 1) AS pct FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id GROUP BY source")
 def coverage_pct(spark: SparkSession, sf: str) -> DataFrame:
-    known = table(spark, sf, "labels").select("doc_id", F.lit(1).alias("seen")).distinct()
-    joined = table(spark, sf, "documents").select("doc_id", "source").join(known, "doc_id", "left")
-    return joined.groupBy("source").agg(F.count("*").alias("n"), F.count("seen").alias("n_labelled"), F.round(100.0 * F.count("seen") / F.count("*"), 1).alias("pct"))
+    return T.coverage(table(spark, sf, "documents").select("doc_id", "source"), table(spark, sf, "labels"), "doc_id", ["source"]).withColumnRenamed("n_covered", "n_labelled")
 
 
 READY = "CASE WHEN n IS NULL THEN 'missing' WHEN pending = 0 THEN 'ready' WHEN pending = n THEN 'not_indexed' ELSE 'pending' END"
@@ -504,8 +456,8 @@ READY = "CASE WHEN n IS NULL THEN 'missing' WHEN pending = 0 THEN 'ready' WHEN p
 
 @query(f"WITH f AS (SELECT l_suppkey AS k, count(*) AS n, count(*) FILTER (l_returnflag = 'N') AS pending FROM lineitem GROUP BY 1) SELECT s_suppkey, coalesce(n, 0) AS n_files, coalesce(pending, 0) AS n_pending, {READY} AS status FROM supplier LEFT JOIN f ON k = s_suppkey")
 def playset_readiness(spark: SparkSession, sf: str) -> DataFrame:
-    files = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "N").alias("pending"))
-    return table(spark, sf, "supplier").select("s_suppkey").join(files, "s_suppkey", "left").selectExpr("s_suppkey", "coalesce(n, 0L) AS n_files", "coalesce(pending, 0L) AS n_pending", f"{READY} AS status")
+    files = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), (F.col("l_returnflag") == "N").alias("pending"))
+    return T.readiness(table(spark, sf, "supplier").select("s_suppkey"), files, "s_suppkey", "pending")
 
 
 @query("SELECT k, event_type, count(*) AS n FROM (SELECT json_extract_string(props, '$.k')::BIGINT AS k, event_type FROM events) WHERE k >= 50 GROUP BY k, event_type")
@@ -528,14 +480,13 @@ def loc_regex_extract(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT l_orderkey AS file, l_linenumber AS key, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def lint_duplicate_key(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("key")).agg(F.count("*").alias("n")).where("n > 1")
+    return T.repeated(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("key")), ["file", "key"])
 
 
 @query("SELECT o_orderkey AS file FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = 1)")
 def lint_required(spark: SparkSession, sf: str) -> DataFrame:
-    """Files with entries but without the required one: one grouped pass, then a semi join."""
-    lacking = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("file")).agg(F.min(F.when(F.col("l_linenumber") == 1, 0).otherwise(1)).alias("lacks")).where("lacks = 1")
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("file")).join(lacking, "file", "left_semi")
+    entries = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("key"))
+    return T.lacking(table(spark, sf, "orders").select(F.col("o_orderkey").alias("file")), entries, "file", F.col("key") == 1)
 
 
 # --- script text: no SQL can say a parse; held against small fixtures in tests/ -------------------

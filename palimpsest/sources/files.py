@@ -68,47 +68,119 @@ def load_order(spark: SparkSession, path: str) -> DataFrame:
     return base.unionByName(mods.select("playset_name", (F.col("i") + 1).alias("load_order"), F.col("m.name").alias("name"), F.col("m.path").alias("path")))
 
 
-LOC_ENTRY = r'^\s*([a-zA-Z0-9_][a-zA-Z0-9_.]*):(\d*)\s+"(.*)"$'
+_NAME = "abcdefghijklmnopqrstuvwxyz0123456789_"
+
+
+def _made_of(text: Column, letters: str) -> Column:
+    return (F.length(text) > 0) & (F.translate(F.lower(text), letters, "") == "")
+
+
+def _entry(line: Column) -> tuple[Column, dict[str, Column]]:
+    """Whether a line is an entry, ``key:version "value"``, and its parts: the line is cut at the first colon, the first
+    quote after it and the quote that ends it."""
+    key = F.ltrim(F.substring_index(line, ":", 1))
+    rest = F.substring(line, F.instr(line, ":") + F.lit(1), F.length(line))
+    head = F.substring_index(rest, '"', 1)
+    version = F.rtrim(F.translate(head, "\t", " "))
+    value = F.substring(rest, F.length(head) + 2, F.length(rest) - F.length(head) - 2)
+    quoted = rest.endswith('"') & (F.length(rest) >= F.length(head) + 2)
+    ok = line.contains(":") & _made_of(key, _NAME + ".") & ~key.startswith(".") & quoted & (F.length(head) > F.length(version)) & ((version == "") | _made_of(version, "0123456789"))
+    return F.coalesce(ok, F.lit(False)), {"loc_key": key, "version": F.coalesce(F.nullif(version, F.lit("")).try_cast("int"), F.lit(0)), "value": value}
+
+
+def _language(line: Column) -> Column:
+    """The language of a header line such as ``l_english:``, else null."""
+    name = F.trim(F.translate(line, "\t", " "))
+    inner = F.substring(name, F.lit(3), F.length(name) - 3)
+    return F.when(name.startswith("l_") & name.endswith(":") & _made_of(inner, "abcdefghijklmnopqrstuvwxyz") & (F.lower(inner) == inner), inner)
+
+
+def _scripted(value: Column) -> Column:
+    """Texts between square brackets."""
+    cut = F.slice(F.split(value, "[\\[]"), 2, 1 << 20)
+    return F.filter(F.transform(F.filter(cut, lambda x: x.contains("]")), lambda x: F.substring_index(x, "]", 1)), lambda x: x != "")
+
+
+def _variables(value: Column) -> Column:
+    """Names between dollar signs; a sign ends one name only."""
+    cut = F.split(value, "[$]")
+    start = F.struct(F.array().cast("array<string>").alias("found"), F.lit(False).alias("taken"))
+    is_name = lambda x: _made_of(x, _NAME) & ~F.substring(x, 1, 1).between("0", "9")
+    step = lambda s, x: F.when(~s["taken"] & is_name(x), F.struct(F.array_append(s["found"], x).alias("found"), F.lit(True).alias("taken"))).otherwise(F.struct(s["found"].alias("found"), F.lit(False).alias("taken")))
+    return F.aggregate(F.slice(cut, 2, F.greatest(F.size(cut) - 2, F.lit(0))), start, step, lambda s: s["found"])
+
+
+def _icons(value: Column) -> Column:
+    """Names after an at sign."""
+    cut = F.slice(F.split(value, "@"), 2, 1 << 20)
+    rest = lambda x: F.ltrim(x, F.lit(_NAME + _NAME[:26].upper()))
+    names = F.transform(cut, lambda x: F.substring(x, F.lit(1), F.length(x) - F.length(rest(x))))
+    return F.filter(names, lambda x: (x != "") & ~F.substring(x, 1, 1).between("0", "9"))
+
+
+def _loc_lines(files: DataFrame, key: str, text: str) -> DataFrame:
+    swap = lambda x, a, b: F.replace(x, F.lit(a), F.lit(b))
+    lines = F.split(swap(swap(F.col(text), "\r\n", "\n"), "\r", "\n"), "\n")
+    headers = F.filter(F.transform(lines, _language), lambda x: x.isNotNull())
+    rows = files.select(key, F.coalesce(F.get(headers, F.lit(0)), F.lit("unknown")).alias("language"), F.posexplode(lines).alias("i", "line_text"))
+    return rows.where(~F.ltrim("line_text").startswith("#")).withColumn("line", (F.col("i") + 1).cast("long"))
 
 
 def localization(files: DataFrame, key: str = "relpath", text: str = "text") -> DataFrame:
     """Entries of localization files: key columns, line, language, loc_key, version, value and the names that the value
     refers to. The first header names the file's language; comments and other lines are left out."""
-    lines = F.split(F.regexp_replace(F.col(text), "\r\n?", "\n"), "\n")
-    headers = F.filter(lines, lambda x: x.rlike(r"^\s*l_[a-z]+:\s*$"))
-    language = F.coalesce(F.regexp_extract(F.get(headers, F.lit(0)), "l_([a-z]+):", 1), F.lit("unknown"))
-    rows = files.select(key, language.alias("language"), F.posexplode(lines).alias("i", "line_text")).where(F.col("line_text").rlike(LOC_ENTRY) & ~F.col("line_text").rlike(r"^\s*#"))
-    value = F.regexp_extract("line_text", LOC_ENTRY, 3)
-    every = lambda p: F.regexp_extract_all("value", F.lit(p), F.lit(1))
-    version = F.coalesce(F.nullif(F.regexp_extract("line_text", LOC_ENTRY, 2), F.lit("")).cast("int"), F.lit(0))
-    return rows.select(key, (F.col("i") + 1).cast("long").alias("line"), "language", F.regexp_extract("line_text", LOC_ENTRY, 1).alias("loc_key"), version.alias("version"), value.alias("value")).select(
-        "*", every(r"\[([^\]]+)\]").alias("scripted"), every(r"\$([a-zA-Z_][a-zA-Z0-9_]*)\$").alias("variables"), every("@([a-zA-Z_][a-zA-Z0-9_]*)!?").alias("icons")
-    )
+    ok, part = _entry(F.col("line_text"))
+    rows = _loc_lines(files, key, text).where(ok).select(key, "line", "language", *[c.alias(n) for n, c in part.items()])
+    value = F.col("value")
+    return rows.select("*", _scripted(value).alias("scripted"), _variables(value).alias("variables"), _icons(value).alias("icons"))
+
+
+def malformed(files: DataFrame, key: str = "relpath", text: str = "text") -> DataFrame:
+    """Lines that look like entries, with a colon and a quote, but are none: key columns, line, line_text."""
+    line = F.col("line_text")
+    ok, _ = _entry(line)
+    return _loc_lines(files, key, text).where(~ok & _language(line).isNull() & line.contains(":") & line.contains('"')).select(key, "line", F.trim(line).alias("line_text"))
+
+
+def localization_refs(entries: DataFrame, key: str = "relpath") -> DataFrame:
+    """A row for each name that an entry's value refers to: key columns, loc_key, ref_type, ref_value."""
+    named = lambda c, t: F.transform(F.col(c), lambda x: F.struct(F.lit(t).alias("ref_type"), x.alias("ref_value")))
+    every = [named("scripted", "scripted"), named("variables", "variable"), named("icons", "icon")]
+    return entries.select(key, "loc_key", F.explode(F.concat(*every)).alias("r")).select(key, "loc_key", "r.ref_type", "r.ref_value")
+
+
+def glob_files(files: DataFrame, pattern: str, most: int | None = 500, path: str = "relpath") -> DataFrame:
+    """Files whose path meets a glob (``**``: any folders, ``*``: within a name, ``?``: one character), in order; ``most``
+    is the report's length."""
+    out = ""
+    for piece in pattern.replace("**/", "\0").replace("**", "\1"):
+        out += {"\0": "(.*/)?", "\1": ".*", "*": "[^/]*", "?": "[^/]"}.get(piece, piece if piece.isalnum() or piece in "/_-" else f"[{piece}]" if piece != "^" else r"\^")
+    found = files.where(F.col(path).rlike(f"^{out}$"))
+    return found if most is None else found.orderBy(path).limit(most)
 
 
-def log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of log files with their number: the number is taken inside a file, never from partition order."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n")).alias("i", "text")).select("file", (F.col("i") + 1).cast("long").alias("line"), "text")
+def content_folders(files: DataFrame, path: str = "relpath") -> DataFrame:
+    """Folders that hold script text: below common/, and events."""
+    p = F.col(path)
+    folder = F.substring(p, F.lit(1), F.length(p) - F.length(F.substring_index(p, "/", -1)) - 1)
+    return files.where(p.endswith(".txt") & (p.startswith("common/") | p.startswith("events/"))).select(folder.alias("folder")).distinct()
 
 
-LOG_HEAD = r"^\[([^\]]+)\]\[([A-Z])\]\[([^\]]+)\]:\s*(.*)"
+def read_snapshot(spark: SparkSession, path: str, schemas: dict[str, str], known: DataFrame | None = None, key: str = "digest") -> dict[str, DataFrame]:
+    """Tables of a snapshot, one folder of (gzip) JSON each; of the contents only those that ``known`` lacks."""
+    tables = {name: spark.read.schema(schema).json(f"{path}/{name}") for name, schema in schemas.items()}
+    if known is not None and "contents" in tables:
+        tables["contents"] = tables["contents"].join(known.select(key).distinct(), key, "left_anti")
+    return tables
 
 
-def log_entries(lines: DataFrame) -> DataFrame:
-    """A row for each head line with its continuation lines: second of day, level, source, message, file and line."""
-    from palimpsest.functions.rules import log_category, signature
-    from palimpsest.operators.ordered import stitch
+def reordered(order: DataFrame, name: str, position: int) -> DataFrame:
+    """A load order with one source moved to a position (from 0), the others in their order, numbered anew. A load order is
+    the list that one user keeps, so one task numbers it."""
+    from pyspark.sql import Window
 
-    whole = stitch(lines, ["file"], ["line"], "text", f"text rlike r'{LOG_HEAD[:-4]}'", "\n").where("record > 0")
-    part = lambda n: F.regexp_extract("message", LOG_HEAD, n)
-    clock = F.split(part(1), ":")
-    at = F.when(F.size(clock) == 3, F.get(clock, F.lit(0)).try_cast("int") * 3600 + F.get(clock, F.lit(1)).try_cast("int") * 60 + F.get(clock, F.lit(2)).try_cast("int"))
-    message = F.col("message")
-    places = [F.nullif(F.regexp_extract("message", p, 1), F.lit("")) for p in (r"file:\s*(\S+(?:\s+\S+)*?)\s+line:\s*\d+", r"'([^']*\.(?:yml|txt|gui|gfx|mod))'", r'"([^"]*\.(?:yml|txt|gui|gfx|mod))"', r"(mod/ugc_\d+\.mod)")]
-    return whole.select(
-        "file", "record", at.alias("second"), part(2).alias("level"), part(3).alias("source"), part(4).alias("head"), F.coalesce(*places).alias("script_file"),
-        F.nullif(F.regexp_extract("message", r"line:\s*(\d+)", 1), F.lit("")).cast("int").alias("script_line"),
-        F.nullif(F.regexp_extract("message", r"ugc_(\d+)", 1), F.lit("")).alias("mod_id"),
-        log_category(F.concat_ws(" ", part(3), message)).alias("c"), signature(part(4)).alias("signature"), "message",
-    ).select("*", "c.category", "c.priority").drop("c")
+    others = order.where(F.col("name") != name).withColumn("__k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("load_order", "name")) - 1)
+    rest = others.withColumn("load_order", F.when(F.col("__k") >= position, F.col("__k") + 1).otherwise(F.col("__k")).cast("int")).drop("__k")
+    n = others.agg(F.count("*").alias("__n"))
+    moved = order.where(F.col("name") == name).crossJoin(F.broadcast(n)).withColumn("load_order", F.least(F.lit(position).cast("long"), F.col("__n")).cast("int")).drop("__n")  # one row
+    return rest.unionByName(moved)

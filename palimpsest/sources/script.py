@@ -13,9 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.rules import is_symbol_name, kind
+from palimpsest.functions.rules import is_symbol_name, kind, mapped
 
-NODE = "node_id int, parent_id int, depth int, pos int, node_type string, key string, op string, value string, value_type string, line int, start_off int, end_off int, path string, error string"
+NODE = "node_id int, parent_id int, depth int, pos int, node_type string, key string, op string, value string, value_type string, line int, start_off int, end_off int, path string, error string, top_id int, ancestors array<string>"
 
 TOKEN = re.compile(
     r"""(?P<skip>[\s;,`\ufeff]+|\#[^\n]*) | (?P<string>"(?:[^"\\]|\\.)*") | (?P<inline>@\[[^\]]*\]) | (?P<open>\{) | (?P<close>\})
@@ -38,11 +38,12 @@ def value_type(text: str, group: str) -> str:
 
 
 def nodes_of(text: str) -> Iterator[list]:
-    """Rows in the order of ``NODE``. A stray or missing brace, or an unclosed string, gives an error row; parsing goes on."""
+    """Rows in the order of ``NODE``; ``top_id`` is the top-level node that a node is in, ``ancestors`` the keys of the
+    blocks around it, outermost first. A stray or missing brace, or an unclosed string, gives an error row; parsing goes on."""
     line_at, line, last = 0, 1, (None, "", 0, 0)  # the key waiting for its operator: (text, group, start, line)
-    stack: list[list] = [[0, "", -1, {}, 0]]  # node id, path, depth, times each key was seen, children
+    stack: list[list] = [[0, "", -1, {}, 0, None, []]]  # node id, path, depth, times each key was seen, children, row, keys
     rows, op, waiting, at = 1, None, None, 0
-    yield [0, None, -1, 0, "root", None, None, None, None, 1, 0, len(text), "", None]
+    yield [0, None, -1, 0, "root", None, None, None, None, 1, 0, len(text), "", None, None, []]
 
     def place(key: str | None) -> tuple[int, int, int, str]:
         top = stack[-1]
@@ -52,12 +53,15 @@ def nodes_of(text: str) -> Iterator[list]:
         n = top[3][name] = top[3].get(name, -1) + 1
         return top[0], top[2] + 1, pos, (f"{top[1]}." if top[1] else "") + name + (f"[{n}]" if n else "")
 
+    def within() -> list:
+        return [stack[1][0] if len(stack) > 1 else rows, stack[-1][6]]
+
     def bare(w: tuple) -> list:
         parent, depth, pos, path = place(None)
-        return [rows, parent, depth, pos, "value", None, None, w[0], value_type(*w[:2]), w[3], w[2], w[2] + len(w[0]), path, None]
+        return [rows, parent, depth, pos, "value", None, None, w[0][1:-1] if w[1] == "string" else w[0], value_type(*w[:2]), w[3], w[2], w[2] + len(w[0]), path, None, *within()]
 
     def error(what: str) -> list:
-        return [rows, stack[-1][0], stack[-1][2] + 1, -1, "error", None, None, None, None, line, at, at, stack[-1][1], what]
+        return [rows, stack[-1][0], stack[-1][2] + 1, -1, "error", None, None, None, None, line, at, at, stack[-1][1], what, *within()]
 
     while at < len(text):
         m = TOKEN.match(text, at)
@@ -80,8 +84,8 @@ def nodes_of(text: str) -> Iterator[list]:
                 rows, waiting = rows + 1, None
             key = waiting[0].strip('"') if waiting is not None else None
             parent, depth, pos, path = place(key)
-            opened = [rows, parent, depth, pos, "block" if key is not None else "list", key, op, None, None, waiting[3] if waiting else line, waiting[2] if waiting else at, None, path, None]
-            stack.append([rows, path, depth, {}, 0, opened])
+            opened = [rows, parent, depth, pos, "block" if key is not None else "list", key, op, None, None, waiting[3] if waiting else line, waiting[2] if waiting else at, None, path, None, *within()]
+            stack.append([rows, path, depth, {}, 0, opened, [*stack[-1][6], key]])
             rows, waiting, op = rows + 1, None, None
         elif group == "close":
             if waiting is not None:
@@ -100,7 +104,7 @@ def nodes_of(text: str) -> Iterator[list]:
                 key = waiting[0].strip('"')
                 parent, depth, pos, path = place(key)
                 value = token[1:-1] if group == "string" else token
-                yield [rows, parent, depth, pos, "assignment", key, op, value, value_type(token, group), waiting[3], waiting[2], m.end(), path, None]
+                yield [rows, parent, depth, pos, "assignment", key, op, value, value_type(token, group), waiting[3], waiting[2], m.end(), path, None, *within()]
                 rows, waiting, op = rows + 1, None, None
             else:
                 if waiting is not None:
@@ -123,16 +127,18 @@ BATCH = 20_000  # rows sent at once
 def nodes(contents: DataFrame, key: str = "digest", text: str = "text") -> DataFrame:
     """The node table of distinct contents. Null text has no nodes; an empty one has its root."""
     names = [c.split()[0] for c in NODE.split(", ")]
-    kinds = [pa.int32() if c.endswith(" int") else pa.string() for c in NODE.split(", ")]
+    kinds = [pa.int32() if c.endswith(" int") else pa.list_(pa.string()) if c.endswith(">") else pa.string() for c in NODE.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = []
+        key_kind = None
 
         def out() -> pa.RecordBatch:
             columns = list(zip(*held))
-            return pa.RecordBatch.from_arrays([pa.array(columns[0]), *(pa.array(list(c), t) for c, t in zip(columns[1:], kinds))], names=[key, *names])
+            return pa.RecordBatch.from_arrays([pa.array(list(columns[0]), key_kind), *(pa.array(list(c), t) for c, t in zip(columns[1:], kinds))], names=[key, *names])
 
         for b in batches:
+            key_kind = b.column(0).type
             for k, t in zip(b.column(0), b.column(1)):
                 if t.as_py() is None:
                     continue
@@ -149,33 +155,65 @@ def nodes(contents: DataFrame, key: str = "digest", text: str = "text") -> DataF
 
 
 def symbols(tree: DataFrame, files: DataFrame, key: str = "digest") -> DataFrame:
-    """Definitions: named top-level blocks of each file, with the kind that its path tells. Equal contents fan out to
-    every file that holds them."""
-    top = tree.where("depth = 0 AND node_type = 'block'").where(is_symbol_name(F.col("key"))).select(key, F.col("key").alias("name"), "line", "start_off", "end_off", "node_id")
-    return top.join(files.select(key, "source", "relpath"), key).withColumn("symbol_type", kind(F.col("relpath")))
-
-
-#: Keys whose value names something defined elsewhere, and the kind that it has.
+    """Definitions in each file, with the kind that its path tells: named top-level blocks, top-level assignments except
+    of @ constants, the faiths of religions, and titles inside titles. Equal contents fan out to every file with them.
+
+    Returns key, name, line, start_off, end_off, node_id, signature (an assignment's value), source, relpath, symbol_type.
+    """
+    kinds = files.select(key, "source", "relpath", kind(F.col("relpath")).alias("symbol_type"))
+    named = tree.where(F.col("node_type").isin("block", "assignment") & is_symbol_name(F.col("key")))
+    columns = [key, F.col("key").alias("name"), "line", "start_off", "end_off", "node_id", F.when(F.col("node_type") == "assignment", F.col("value")).alias("signature")]
+    top = named.where((F.col("depth") == 0) & ~F.col("key").startswith("@")).select(*columns)
+    faiths = named.where((F.col("node_type") == "block") & (F.col("depth") == 2) & (F.get("ancestors", F.lit(1)) == "faiths")).select(*columns)
+    # A title's blocks are titles; below one that has no valid name, none are.
+    inside = F.forall(F.slice("ancestors", 2, 8), is_symbol_name) & F.col("depth").between(1, 6)
+    titles = named.where((F.col("node_type") == "block") & inside).select(*columns)
+    found = top.join(kinds, key)
+    found = found.unionByName(faiths.join(kinds.where("symbol_type = 'religion'").withColumn("symbol_type", F.lit("faith")), key))
+    return found.unionByName(titles.join(kinds.where("symbol_type = 'title'"), key))
+
+
+# Keys whose value names something defined elsewhere, with its kind; keys whose value names a script; keys
+# that open an effect or a trigger.
 REFERENCES = {
-    "trigger_event": "event", "id": "event", "has_trait": "trait", "add_trait": "trait", "remove_trait": "trait", "has_culture": "culture",
-    "culture": "culture", "religion": "religion", "faith": "faith", "title": "title", "trait": "trait", "has_perk": "perk", "add_perk": "perk",
+    "has_trait": "trait", "add_trait": "trait", "remove_trait": "trait", "trait": "trait", "has_perk": "perk", "add_perk": "perk",
+    "perk": "perk", "has_focus": "focus", "set_focus": "focus", "focus": "focus", "has_culture": "culture", "culture": "culture",
+    "has_religion": "religion", "religion": "religion", "faith": "faith", "government_type": "government",
+    "has_government": "government", "add_artifact": "artifact", "has_artifact": "artifact", "create_artifact": "artifact",
+    "trigger_event": "event", "random_events_list": "event", "add_building": "building", "has_building": "building",
+    "building": "building", "has_building_or_higher": "building", "create_title_and_vassal_change": "title", "title": "title",
+    "has_title": "title", "has_cb": "cb_type", "casus_belli": "cb_type", "cb_type": "cb_type", "has_law": "law", "add_law": "law",
+    "run_interaction": "interaction", "has_tradition": "tradition", "can_have_tradition": "tradition", "start_scheme": "scheme",
+    "scheme_type": "scheme", "has_activity_type": "activity", "activity_type": "activity", "has_lifestyle": "lifestyle",
+    "lifestyle": "lifestyle",
 }
+SCRIPTS = {"run_scripted_effect": "scripted_effect", "scripted_effect": "scripted_effect", "run_scripted_trigger": "scripted_trigger", "scripted_trigger": "scripted_trigger"}
+CONTEXTS = (
+    "effect", "limit", "trigger", "modifier", "show_as_tooltip", "on_action", "on_activate", "on_complete", "on_start", "on_death",
+    "ai_will_do", "is_shown", "is_valid", "cost", "potential", "success", "failure", "effect_on_target", "effect_on_actor",
+    "on_accept", "on_decline", "can_send", "can_be_picked",
+)
+# End of fixed values.
 
 
 def references(tree: DataFrame, key: str = "digest") -> DataFrame:
-    """Names used by assignments whose key says what kind of thing the value is."""
-    kind_of = F.element_at(F.create_map(*[F.lit(x) for pair in REFERENCES.items() for x in pair]), F.col("key"))
-    used = tree.where((F.col("node_type") == "assignment") & F.col("key").isin(*REFERENCES)).withColumn("ref_type", kind_of)
-    return used.where(is_symbol_name(F.col("value"))).select(key, F.col("value").alias("name"), "ref_type", "line", "path")
+    """Names used by assignments whose key says what kind of thing the value is, with the nearest effect or trigger block
+    around as context, else the key itself. A parameter ($NAME$) is a reference to a script only, and empty is none."""
+    used = tree.where((F.col("node_type") == "assignment") & F.col("key").isin(*REFERENCES, *SCRIPTS) & (F.col("value") != ""))
+    used = used.where(F.col("key").isin(*SCRIPTS) | ~F.col("value").startswith("$"))
+    around = F.filter("ancestors", lambda x: x.isin(*CONTEXTS))
+    nearest = F.coalesce(F.get(around, F.size(around) - 1), F.col("key"))
+    return used.select(key, F.col("value").alias("name"), mapped(REFERENCES | SCRIPTS, F.col("key"), None).alias("ref_type"), nearest.alias("context"), "line", "path", "top_id")
 
 
 def slots(tree: DataFrame, names: tuple[str, ...], key: str = "digest") -> DataFrame:
-    """Items of the named blocks of each top-level container: container, slot, pos, item."""
-    top = tree.where("depth = 0 AND node_type = 'block'").select(key, F.col("node_id").alias("parent_id"), F.col("key").alias("container"))
-    inner = tree.where(F.col("node_type").isin("block", "list") & F.col("key").isin(*names) & (F.col("depth") == 1)).select(key, "parent_id", F.col("node_id").alias("slot_id"), F.col("key").alias("slot"))
-    item = F.coalesce("value", "key")
-    leaves = tree.where("depth = 2").select(key, F.col("parent_id").alias("slot_id"), "pos", item.alias("item"))
-    return top.join(inner, [key, "parent_id"]).join(leaves, [key, "slot_id"]).select(key, "container", "slot", "pos", "item")
+    """Items of the named slots of each top-level container: container, slot, pos, item. An item with an operator, such as
+    a weight, keeps it (100=name); a slot that is no block is its own item."""
+    top = tree.where("depth = 0 AND node_type = 'block'").select(key, "top_id", F.col("key").alias("container"))
+    text = F.when(F.col("node_type") == "assignment", F.concat("key", "op", "value")).otherwise(F.coalesce("value", "key"))
+    inside = tree.where((F.col("depth") == 2) & F.get("ancestors", F.lit(1)).isin(*names)).select(key, "top_id", F.get("ancestors", F.lit(1)).alias("slot"), "pos", text.alias("item"))
+    alone = tree.where((F.col("depth") == 1) & (F.col("node_type") == "assignment") & F.col("key").isin(*names)).select(key, "top_id", F.col("key").alias("slot"), "pos", F.col("value").alias("item"))
+    return inside.unionByName(alone).join(top, [key, "top_id"]).select(key, "container", "slot", "pos", "item")
 
 
 def diff(base: DataFrame, other: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -186,6 +224,35 @@ def diff(base: DataFrame, other: DataFrame, keep: tuple[str, ...] = ()) -> DataF
     return both.withColumn("change_type", change).where("change_type IS NOT NULL").select(*keep, "path", "old_value", "new_value", "old_type", "new_type", "change_type")
 
 
+def top_changes(base: DataFrame, other: DataFrame, within: str | None = None) -> DataFrame:
+    """Changes between two texts by top-level key: added, removed, changed or same; of a repeated key the last counts.
+    ``within``: compare the keys inside this top-level block instead, where a repeated key counts as a whole. Entries
+    are equal when all that they hold is, in the same order, whatever their place in the text.
+
+    Returns name, change_type, old_line, new_line.
+    """
+    level = 0 if within is None else 1
+
+    def side(tree: DataFrame, s: str) -> DataFrame:
+        own = tree.where((F.col("depth") >= level) & (F.col("node_type") != "error"))
+        if within is not None:
+            own = own.where(F.get("ancestors", F.lit(0)) == within)
+        is_head = F.col("depth") == level
+        place = F.when(is_head, 0).otherwise(F.col("pos"))
+        rows = own.select(
+            F.when(is_head, F.col("key")).otherwise(F.get("ancestors", F.lit(level))).alias("name"), F.when(is_head, F.col("node_id")).alias("head"),
+            (F.col("top_id") if within is None else F.lit(0)).alias("entry"), F.when(is_head, F.col("line")).alias("line"),
+            F.xxhash64("node_type", "depth", "key", "op", "value", "ancestors", place).cast("decimal(38,0)").alias("h"),
+        )
+        entries = rows.where("name IS NOT NULL").groupBy("name", "entry").agg(F.max("head").alias("head"), F.min("line").alias("line"), F.sum("h").alias("h"), F.count("*").alias("n"))
+        last = entries.groupBy("name").agg(F.max(F.struct("head", "h", "n", "line")).alias("w"))
+        return last.select("name", F.struct("w.h", "w.n").alias(f"{s}_text"), F.col("w.line").alias(f"{s}_line"))
+
+    both = side(base, "old").join(side(other, "new"), "name", "full_outer")
+    change = F.when(F.col("old_text").isNull(), "added").when(F.col("new_text").isNull(), "removed").when(F.col("old_text") == F.col("new_text"), "same").otherwise("changed")
+    return both.select("name", change.alias("change_type"), "old_line", "new_line")
+
+
 def printed(tree: DataFrame, key: str = "digest") -> DataFrame:
     """Script text of each content, one line a node with tabs for depth. A content is one file, so its lines fit a row."""
     quoted = F.when(F.col("value_type") == "string", F.concat(F.lit('"'), F.col("value"), F.lit('"'))).otherwise(F.col("value"))
@@ -198,4 +265,4 @@ def printed(tree: DataFrame, key: str = "digest") -> DataFrame:
     return lines.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list("l")), lambda x: x["s"]), "\n").alias("text"))
 
 
-__all__ = ["NODE", "diff", "nodes", "nodes_of", "printed", "references", "slots", "symbols"]
+__all__ = ["CONTEXTS", "NODE", "REFERENCES", "SCRIPTS", "diff", "nodes", "nodes_of", "printed", "references", "slots", "symbols", "top_changes"]

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import rules
 from palimpsest.sinks import export
-from palimpsest.sources import files
+from palimpsest.sources import files, logs
 from palimpsest.sources.script import nodes
 from palimpsest.streaming import ingest
 
@@ -41,7 +41,7 @@ def test_playset_and_log(spark, tmp_path):
     (tmp_path / "p.json").write_text(json.dumps({"playset_name": "p", "vanilla": {"path": "/g"}, "mods": [{"name": "a", "path": "/a"}, {"name": "b", "path": "/b", "enabled": False}, {"name": "c", "path": "/c"}]}))
     assert [(r.load_order, r.name) for r in files.load_order(spark, f"{tmp_path}/p.json").orderBy("load_order").collect()] == [(0, "base"), (1, "a"), (3, "c")]
     (tmp_path / "error.log").write_text("noise\n[10:00:01][E][jomini_script_system.cpp:12]: bad trigger\n  Error: x not found\n  Script location: file: events/a b.txt line: 7\n[10:00:02][E][gui.cpp:3]: in 'mod/ugc_99.mod' scope wrong 42\n")
-    rows = files.log_entries(files.log_lines(spark, f"{tmp_path}/error.log")).orderBy("record").collect()
+    rows = logs.entries(logs.log_lines(spark, f"{tmp_path}/error.log")).orderBy("record").collect()
     assert [(r.second, r.category, r.priority) for r in rows] == [(36001, "script_system_error", 2), (36002, "scope_error", 3)]
     assert (rows[0].script_file, rows[0].script_line, rows[1].mod_id, rows[1].signature) == ("events/a b.txt", 7, "99", "in 'mod/ugc_N.mod' scope wrong N")
 

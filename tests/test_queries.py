@@ -6,7 +6,8 @@ import os
 import duckdb
 import pytest
 
-from palimpsest.plans.queries import ORACLES, QUERIES
+from palimpsest.plans import queries, script_queries, table_queries  # noqa: F401
+from palimpsest.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
