@@ -3,7 +3,8 @@
 A frame can only be found by its sync code, so the decoder collects the places that hold a sync code, a header whose
 CRC-8 agrees and the frame number that is due. All frames of many streams are then decoded in step: sample ``i`` of
 every frame at once, first its Rice code, then the predictor's sum. CRC-16 of each frame, the place where it ends and
-the stream's MD5 must agree, or the stream is reported as broken.
+the stream's MD5 must agree, or the stream is reported as broken. Samples leave as PCM blocks of 8 unsigned bits (as WAV
+has them), each with the offset of its first sample.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from palimpsest.llm.columns import flat, slices
 
@@ -24,6 +26,8 @@ FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 RATE = 8000
 
 BLOCK = 256  # samples a frame, as this encoder writes them
+PCM_BLOCK = 1 << 16  # samples of a PCM block, and between the encoder's seek points
+LPC_ORDER = 4  # of the quantised predictors that the encoder tries
 SLICE = 2 << 20  # bytes of rows taken together; a longer row is taken alone
 ENCODE_FRAMES, DECODE_FRAMES = 1 << 11, 1 << 13  # frames in step, however long a stream is
 
@@ -105,7 +109,12 @@ def _encode_frames(payloads: np.ndarray, start: np.ndarray, number: np.ndarray,
         res[:, :order] = 0
         return np.where(real[rows], res, 0)
 
-    size_of = [np.abs(residual(slice(None), order)).sum(axis=1) + np.where(size > order, 4 * order, 1 << 30) for order in range(3)]
+    def bits(res: np.ndarray, order: int, extra: int) -> np.ndarray:
+        """About as many as the residuals take in the best Rice code, and what stands before them."""
+        n = np.maximum(size - order, 1)
+        return n * np.log2(1 + 2 * np.abs(res).sum(axis=1) / n) + np.where(size > order, 8 * order + extra, 1 << 30)
+
+    size_of = [bits(residual(slice(None), order), order, 0) for order in range(3)]
     shift, coefficients, left = 9, None, None
     if lpc_order:
         coefficients = _lpc(x, lpc_order, shift)
@@ -113,7 +122,7 @@ def _encode_frames(payloads: np.ndarray, start: np.ndarray, number: np.ndarray,
         for lag in range(1, lpc_order + 1):
             guess[:, lag:] += coefficients[:, lag - 1 : lag] * x[:, :-lag]
         left = np.where(real & (lane >= lpc_order), x - (guess >> shift), 0).astype(np.int32)
-        size_of.append(np.abs(left).sum(axis=1) + np.where(size > lpc_order, 12 * lpc_order, 1 << 30))
+        size_of.append(bits(left, lpc_order, 9 + 12 * lpc_order))
     kind = np.argmin(size_of, axis=0)
     orders = (0, 1, 2, lpc_order)
     codes: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -186,11 +195,12 @@ def _encode_frames(payloads: np.ndarray, start: np.ndarray, number: np.ndarray,
     return out, length
 
 
-def encode(payloads: np.ndarray, offsets: np.ndarray, lpc_order: int = 0) -> list[bytes]:
+def encode(payloads: np.ndarray, offsets: np.ndarray, lpc_order: int = 0, seek: int = PCM_BLOCK) -> list[bytes]:
     """One FLAC stream for each span of bytes; a byte b is the 8-bit sample b - 128. Spans must not be empty.
 
     A frame takes the smallest of: constant, fixed predictors of order 0 to 2, a quantised predictor of ``lpc_order``
-    (0: not tried), verbatim. Residuals are one Rice partition a frame.
+    (0: not tried), verbatim. Residuals are one Rice partition a frame. Streams of more than ``seek`` samples (a multiple
+    of BLOCK) have a table of seek points so far apart.
     """
     count = np.diff(offsets)
     frames = -(-count // BLOCK)
@@ -208,10 +218,26 @@ def encode(payloads: np.ndarray, offsets: np.ndarray, lpc_order: int = 0) -> lis
     for i, n in enumerate(count.tolist()):
         md5 = hashlib.md5(raw[offsets[i] : offsets[i + 1]]).digest()
         info = BLOCK.to_bytes(2) * 2 + bytes(6) + (RATE << 44 | 0 << 41 | 7 << 36 | n).to_bytes(8) + md5
-        streams.append(MARK + b"\x80" + len(info).to_bytes(3) + info + made[at[first[i]] : at[first[i + 1]]])
+        points = b""
+        if n > seek:
+            for f in range(0, int(frames[i]), seek // BLOCK):
+                points += (f * BLOCK).to_bytes(8) + int(at[first[i] + f] - at[first[i]]).to_bytes(8) + min(BLOCK, n - f * BLOCK).to_bytes(2)
+            points = b"\x83" + len(points).to_bytes(3) + points
+        streams.append(MARK + (b"\x00" if points else b"\x80") + len(info).to_bytes(3) + info + points + made[at[first[i]] : at[first[i + 1]]])
     return streams
 
 
+def seek_points(stream: bytes) -> list[tuple[int, int, int]]:
+    """(first sample, place in the stream, samples) of the frames in a stream's seek table, in order; none without one."""
+    at, found, last = 4, [], 0
+    while not last and at + 4 <= len(stream):
+        last, kind, size = stream[at] & 0x80, stream[at] & 0x7F, int.from_bytes(stream[at + 1 : at + 4])
+        if kind == 3:
+            found = [stream[p : p + 18] for p in range(at + 4, at + 4 + size, 18)]
+        at += 4 + size
+    return [(int.from_bytes(p[:8]), at + int.from_bytes(p[8:16]), int.from_bytes(p[16:])) for p in found if p[:8] != b"\xff" * 8]
+
+
 class Broken(ValueError):
     """A stream that a checksum, a frame's place or its MD5 contradicts."""
 
@@ -268,7 +294,10 @@ def _decode_frames(data: np.ndarray, start: np.ndarray, pos: np.ndarray, size: n
     def signed(v: np.ndarray, width: int) -> np.ndarray:
         return v - ((v >> (width - 1) & 1) << width)
 
-    kind = read(pos, 8) >> 1
+    kind = read(pos, 8)
+    if (kind & 0x81).any():
+        raise Broken("a subframe with wasted bits or a bad header")
+    kind = kind >> 1
     pos = pos + 8
     x = np.zeros((most + 32, F), dtype=np.int32)  # 32 rows of zeros stand before the first sample
     constant, plain = kind == 0, kind == 1
@@ -412,7 +441,24 @@ def pad(offsets: np.ndarray, data: np.ndarray, unit: int = 64) -> tuple[np.ndarr
     return to, out
 
 
-def encode_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def decode_each(streams: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Like ``decode``, with a status for each stream: "ok", or why it is broken, and then without samples."""
+    try:
+        return *decode(streams, offsets), ["ok"] * (len(offsets) - 1)
+    except (Broken, IndexError):
+        pass
+    parts, status = [], []
+    for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        try:
+            parts.append(decode(streams[lo:hi], np.array([0, hi - lo]))[0])
+            status.append("ok")
+        except (Broken, IndexError) as e:  # a cut stream points beyond its end
+            parts.append(np.zeros(0, np.uint8))
+            status.append(str(e) if isinstance(e, Broken) else "cut off")
+    return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64), status
+
+
+def encode_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lpc_order: int = LPC_ORDER) -> DataFrame:
     """doc_id, n_bytes and ``media``: every whole text, padded, as a FLAC stream. Null text counts as empty; other
     columns are left behind; equal rows give equal rows; an empty table gives none."""
 
@@ -420,68 +466,104 @@ def encode_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         for b in slices(batches, "text", SLICE):
             offsets, data = flat(b.column(1))
             to, payload = pad(offsets, data)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets)), pa.array(encode(payload, to), type=pa.binary())], names=["doc_id", "n_bytes", "media"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets)), pa.array(encode(payload, to, lpc_order), type=pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text").mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
 
 
-def decode_media(media: DataFrame, *, block: int = 1 << 16) -> DataFrame:
-    """PCM blocks of the streams in ``media``: doc_id, block_no, sample_offset (of the block's first sample), n_samples
-    and pcm (signed 8-bit). A reader that seeks sample s opens the block with the greatest sample_offset <= s."""
+BLOCKS = "array<struct<sample_offset:long,n_samples:long,pcm:binary>>"
+_BLOCK = pa.struct([("sample_offset", pa.int64()), ("n_samples", pa.int64()), ("pcm", pa.binary())])
+
+
+def decode_media(media: DataFrame, *, block: int = PCM_BLOCK) -> DataFrame:
+    """The streams of column ``media`` as PCM: every other column, and ``status`` ("ok", "null" or why a stream is broken),
+    ``n_samples`` and ``blocks``, each with its sample_offset, n_samples and pcm (8 bits unsigned).
+
+    A reader that seeks sample s opens the block with the greatest sample_offset <= s, which is number s div ``block``.
+    Null and broken streams have no block and end no job; equal rows give equal rows; an empty table gives none.
+    """
+    others = [c for c in media.columns if c != "media"]
+    place = len(others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "media", SLICE):
-            offsets, data = flat(b.column(1))
-            samples, to = decode(data, offsets)
-            pcm = (samples ^ 0x80).tobytes()
-            n = np.diff(to)
+            column = b.column(place)
+            offsets, data = flat(column)
+            null = column.is_null().to_numpy(zero_copy_only=False)
+            there = np.flatnonzero(~null)
+            if null.any():  # null streams take no bytes, so the others stay in one piece
+                kept = np.concatenate((offsets[:-1][there], offsets[-1:]))
+            else:
+                kept = offsets
+            samples, to, told = decode_each(data, kept)
+            n = np.zeros(b.num_rows, np.int64)
+            n[there] = np.diff(to)
+            status = np.full(b.num_rows, "null", dtype=object)
+            status[there] = told
             blocks = -(-n // block)
-            row = np.repeat(np.arange(len(n)), blocks)
-            no = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            row = np.repeat(np.arange(b.num_rows), blocks)
+            first = np.concatenate(([0], np.cumsum(blocks)))
+            no = np.arange(len(row)) - first[row]
             size = np.minimum(block, n[row] - no * block)
-            lo = to[row] + no * block
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(row)), pa.array(no), pa.array(no * block), pa.array(size), pa.array([pcm[p : p + s] for p, s in zip(lo.tolist(), size.tolist())], type=pa.binary())],
-                names=["doc_id", "block_no", "sample_offset", "n_samples", "pcm"],
-            )
+            ends = np.concatenate(([0], np.cumsum(size)))
+            pcm = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(samples.tobytes())])
+            made = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.StructArray.from_arrays([pa.array(no * block), pa.array(size), pcm], fields=list(_BLOCK)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:place], column, pa.array(list(status), pa.string()), pa.array(n), made], names=[*others, "media", "status", "n_samples", "blocks"])
 
-    kind = media.schema["doc_id"].dataType.simpleString()
-    return media.select("doc_id", "media").mapInArrow(run, f"doc_id {kind}, block_no long, sample_offset long, n_samples long, pcm binary")
+    rows = media.select(*others, "media")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, f"{fields}, status string, n_samples long, blocks {BLOCKS}")
 
 
-def media_features(media: DataFrame) -> DataFrame:
-    """Digests and features of each stream, from its decoded samples: peak, mean, root mean square and the share of
-    sign changes."""
+def pcm_blocks(decoded: DataFrame) -> DataFrame:
+    """A row for each PCM block: doc_id, block_no, sample_offset, n_samples, pcm."""
+    return decoded.select("doc_id", F.posexplode("blocks").alias("block_no", "b")).select("doc_id", F.col("block_no").cast("long").alias("block_no"), "b.sample_offset", "b.n_samples", "b.pcm")
+
+
+def media_features(decoded: DataFrame) -> DataFrame:
+    """Digests and features of each stream, from its PCM blocks: peak, mean, root mean square and the share of sign
+    changes. Null and broken streams have the values of no samples and their ``status`` as the feature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "media", SLICE):
-            offsets, data = flat(b.column(2))
-            samples, to = decode(data, offsets)
-            raw, stored = samples.tobytes(), data.tobytes()
-            v = samples.astype(np.int64) - 128
-            n, at = np.diff(to), to[:-1]
-            flips = np.concatenate((v[1:] < 0, [False])) != (v < 0)
-            flips[to[1:] - 1] = False
-            peak, total = np.maximum.reduceat(np.abs(v), at), np.add.reduceat(v, at)
-            square, change = np.add.reduceat(v * v, at), np.add.reduceat(flips.astype(np.int64), at)
-            text = [f"peak={p};mean={s / m:.4f};rms={(q / m) ** 0.5:.4f};zcr={z / m:.4f}" for p, s, q, z, m in zip(peak.tolist(), total.tolist(), square.tolist(), change.tolist(), n.tolist())]
+        for b in batches:
+            lists = b.column(5)
+            pcm = lists.flatten().field("pcm")
+            first = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            ends, samples = flat(pcm)
+            to = ends[first]
+            raw = samples.tobytes()
+            v = samples.astype(np.int16) - 128
+            n = np.diff(to)
+            full = np.flatnonzero(n > 0)
+            at = to[:-1][full]
+            flips = np.concatenate((v[1:] < 0, [False])) != (v < 0) if len(v) else np.zeros(0, bool)
+            flips[to[1:][full] - 1] = False
+            text: list[str] = [f"status={s}" for s in b.column(3).to_pylist()]
+            if len(full):
+                peak, total = np.maximum.reduceat(np.abs(v), at), np.add.reduceat(v, at, dtype=np.int64)
+                square, change = np.add.reduceat(v.astype(np.int32) ** 2, at, dtype=np.int64), np.add.reduceat(flips, at, dtype=np.int64)
+                for i, p, s, q, z, m in zip(full.tolist(), peak.tolist(), total.tolist(), square.tolist(), change.tolist(), n[full].tolist()):
+                    text[i] = f"peak={p};mean={s / m:.4f};rms={(q / m) ** 0.5:.4f};zcr={z / m:.4f}"
             spans = list(zip(to[:-1].tolist(), to[1:].tolist()))
+            offsets, stored = flat(b.column(2))
+            kept = stored.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),
                     b.column(1),
                     pa.array(n),
                     pa.array([hashlib.sha256(raw[p:q]).hexdigest() for p, q in spans]),
-                    pa.array([zlib.crc32(raw[q - 64 : q]) for _, q in spans], type=pa.int64()),
+                    pa.array([zlib.crc32(raw[max(p, q - 64) : q]) for p, q in spans], type=pa.int64()),
                     pa.array(np.diff(offsets)),
-                    pa.array([hashlib.sha256(stored[p:q]).hexdigest() for p, q in zip(offsets[:-1].tolist(), offsets[1:].tolist())]),
+                    pa.array([hashlib.sha256(kept[p:q]).hexdigest() for p, q in zip(offsets[:-1].tolist(), offsets[1:].tolist())]),
                     pa.array(text),
+                    pa.array(np.diff(first), pa.int64()),
                 ],
-                names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+                names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_blocks"],
             )
 
-    kind = media.schema["doc_id"].dataType.simpleString()
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(
-        run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    kind = decoded.schema["doc_id"].dataType.simpleString()
+    return decoded.select("doc_id", "n_bytes", "media", "status", "n_samples", "blocks").mapInArrow(
+        run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_blocks long"
     )

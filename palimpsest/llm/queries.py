@@ -62,10 +62,10 @@ FROM placed
 
 @query
 def op4_flac_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text as FLAC, decoded again."""
-    from palimpsest.llm.flac import encode_media, media_features
+    """Every text as FLAC, decoded again into PCM blocks, from which digests and features are taken."""
+    from palimpsest.llm.flac import decode_media, encode_media, media_features
 
-    return media_features(encode_media(table(spark, sf_dir, "documents")))
+    return media_features(decode_media(encode_media(table(spark, sf_dir, "documents"))))
 
 
 @query
