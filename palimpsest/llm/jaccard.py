@@ -10,7 +10,9 @@ to which subsets cost no more than scanning lists of the length measured in the
 Equal sets are one class from the start. What is asked for is which classes hang together, so a long list is not
 multiplied out: its members are compared with one of them; classes that this joins need no further comparison, and
 only pairs of a list that still lie in different components go on. Every link that could join two components is thus
-compared exactly; nothing is capped.
+compared exactly; nothing is capped. A list is no task's work: lists of frequent shingles are dealt into parts for the
+first comparison, and for the last one any list of over CELL classes is cut into blocks, of which every two meet in a
+task of their own.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ SHORT = 8  # a list of up to so many classes is compared pair by pair at once
 SLICE = 1 << 20
 FREQUENT = 100_000  # so many of the most frequent shingles go last in the order (which only serves speed)
 COUNTED = 2_000_000  # shingles counted at once to find them
+CELL = 500  # classes of a list that are compared in one task, with as many others
 BITS = 1 << 24  # of the fixed-size filter of classes to compare
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -143,8 +146,9 @@ def _screened(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
-def _frequent(docs: DataFrame) -> tuple[np.ndarray, float]:
-    """The most frequent shingles, most frequent last, and the mean length of a shingle's list, by its members."""
+def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+    """The most frequent shingles, most frequent last, how often each occurs, and the mean length of a shingle's list, by
+    its members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -171,18 +175,20 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, float]:
     summed = docs.mapInArrow(run, "token long, n long, members long, squares long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("members").alias("members"), F.sum("squares").alias("squares"))
     rows = summed.where("n > 0 OR members > 0").orderBy(F.desc("n"), "token").limit(FREQUENT).collect()
     lengths = summed.agg(F.sum("members"), F.sum("squares")).first()
-    tokens = np.array([r.token for r in rows if r.n > 0][::-1], dtype=np.int64).view(np.uint64)
-    return tokens, (lengths[1] / lengths[0]) if lengths[0] else 1.0
+    rows = [r for r in rows if r.n > 0][::-1]
+    tokens = np.array([r.token for r in rows], dtype=np.int64).view(np.uint64)
+    return tokens, np.array([r.n for r in rows], dtype=np.int64), (lengths[1] / lengths[0]) if lengths[0] else 1.0
 
 
-def _filed(docs: DataFrame, frequent: np.ndarray, limit: int) -> DataFrame:
+def _filed(docs: DataFrame, frequent: np.ndarray, times: np.ndarray, limit: int, cell: int) -> DataFrame:
     """Each class under its keys: subsets of light sets, prefix shingles of heavy ones. ``pos`` is a shingle's place
-    in the order, -1 for a subset. A task files a class once; several tasks may file it alike."""
+    in the order, -1 for a subset; ``part`` the part of a frequent shingle's list, -1 for a list in one. A task files a
+    class once; several tasks may file it alike."""
     order = np.argsort(frequent)
-    held = docs.sparkSession.sparkContext.broadcast((frequent[order], order.astype(np.uint64)))  # at most FREQUENT
+    held = docs.sparkSession.sparkContext.broadcast((frequent[order], order.astype(np.uint64), times[order]))  # at most FREQUENT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, rank = held.value
+        often, rank, times = held.value
         done: set[int] = set()
         for b in slices(batches, "text", SLICE):
             owner, grams, size, cls = sets_of(*flat(b.column(1)))
@@ -191,16 +197,19 @@ def _filed(docs: DataFrame, frequent: np.ndarray, limit: int) -> DataFrame:
                 if size[i] and c not in done:
                     done.add(c)
                     fresh[i] = True
-            key = grams >> np.uint64(1)
+            key, parts = grams >> np.uint64(1), np.ones(len(grams), np.int64)
             if len(often):
                 at = np.minimum(np.searchsorted(often, grams), len(often) - 1)
-                key = np.where(often[at] == grams, np.uint64(1 << 63) | rank[at], key)
+                known = often[at] == grams
+                key = np.where(known, np.uint64(1 << 63) | rank[at], key)
+                parts = np.where(known, -(-times[at] // (4 * cell)), 1)
+            part = np.where(parts > 1, (cls[owner] & 0x7FFFFFFF) % parts, -1)
             by = np.lexsort((key, owner))
-            grams, doc = grams[by], owner[by]
+            grams, doc, part = grams[by], owner[by], part[by]
             first = np.cumsum(size) - size
             pos = np.arange(len(doc)) - first[doc]
             heavy = fresh[doc] & (size[doc] * OF >= NEED * (limit + 1)) & (pos < prefix(size)[doc])
-            keys, who, places = [grams[heavy]], [doc[heavy]], [pos[heavy]]
+            keys, who, places, dealt = [grams[heavy]], [doc[heavy]], [pos[heavy]], [part[heavy]]
             for i in np.flatnonzero(fresh & (size <= limit)).tolist():
                 own = np.sort(grams[first[i] : first[i] + size[i]]).tolist()
                 found = []
@@ -214,12 +223,13 @@ def _filed(docs: DataFrame, frequent: np.ndarray, limit: int) -> DataFrame:
                 keys.append(mix64(np.array(found, dtype=np.uint64)))
                 who.append(np.full(len(found), i))
                 places.append(np.full(len(found), -1))
+                dealt.append(np.full(len(found), -1))
             who = np.concatenate(who)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(cls[who]), pa.array(size[who].astype(np.int32)), pa.array(np.concatenate(places).astype(np.int32))], names=["token", "cls", "n", "pos"]
+                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(cls[who]), pa.array(size[who].astype(np.int32)), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(dealt).astype(np.int32))], names=["token", "cls", "n", "pos", "part"]
             )
 
-    return docs.mapInArrow(run, "token long, cls long, n int, pos int")
+    return docs.mapInArrow(run, "token long, cls long, n int, pos int, part int")
 
 
 def may_link(n: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -231,17 +241,18 @@ def may_link(n: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.n
 
 
 def _paired(filed: DataFrame, how: str) -> DataFrame:
-    """Pairs to compare from lists of (token, cls, n, pos, root), read list by list.
+    """Pairs to compare from lists of (token, cls, n, pos, root, part), read list by list; parts of a list are lists.
 
-    ``how``: "first" - short lists pair by pair, long ones each member with the least class; rows of long lists come
-    out again (b null). "some" - long lists, each member with one chosen by the token. "all" - every pair left
-    whose sketches leave room for a link. In the last two only pairs of different roots count.
+    ``how``: "first" - short lists pair by pair, long ones and parts each member with the least class; rows of long
+    lists come out again (b null). "some" - long lists, each member with one chosen by the token. "all" - every pair
+    left whose sketches leave room for a link; where members have a ``part`` of 0 or more, only pairs of different
+    parts. In the last two only pairs of different roots count.
     """
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         rest: list[np.ndarray] | None = None
         for b in batches:
-            now = [np.asarray(b.column(i)) for i in range(5)] + [np.array(b.column(i).to_pylist() or [], dtype=object) for i in range(5, b.num_columns)]
+            now = [np.asarray(b.column(i)) for i in range(6)] + [np.array(b.column(i).to_pylist() or [], dtype=object) for i in range(6, b.num_columns)]
             rest = [np.concatenate(x) for x in zip(rest, now)] if rest else now
             if not len(rest[0]):
                 continue
@@ -253,10 +264,10 @@ def _paired(filed: DataFrame, how: str) -> DataFrame:
             yield tuple(rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, cls, n, pos, root, *more in lists(batches):
+        for token, cls, n, pos, root, part, *more in lists(batches):
             keep = np.ones(len(token), dtype=bool)
             keep[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
-            token, cls, n, pos, root = (x[keep] for x in (token, cls, n, pos, root))
+            token, cls, n, pos, root, part = (x[keep] for x in (token, cls, n, pos, root, part))
             begin = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
             length = np.diff(np.append(begin, len(token)))
             of = np.repeat(np.arange(len(begin)), length)
@@ -275,13 +286,15 @@ def _paired(filed: DataFrame, how: str) -> DataFrame:
 
             made = []
             if how == "first":
+                short = (size <= SHORT) & (part < 0)
                 for d in range(1, SHORT):
-                    i = np.flatnonzero((size <= SHORT) & (np.arange(len(token)) - begin[of] + d < size))
+                    i = np.flatnonzero(short & (np.arange(len(token)) - begin[of] + d < size))
                     made.append(pairs(i, i + d))
-                i = np.flatnonzero(size > SHORT)
+                i = np.flatnonzero(~short)
                 made.append(pairs(begin[of[i]], i))
                 if len(i):
-                    made.append(pa.RecordBatch.from_arrays([pa.array(cls[i]), pa.nulls(len(i), pa.int64()), pa.array(token[i]), pa.array(n[i]), pa.array(pos[i])], names=["a", "b", "token", "n", "pos"]))
+                    # A part's rows carry the token of the whole list.
+                    made.append(pa.RecordBatch.from_arrays([pa.array(cls[i]), pa.nulls(len(i), pa.int64()), pa.array(more[0][keep][i].astype(np.int64)), pa.array(n[i]), pa.array(pos[i])], names=["a", "b", "token", "n", "pos"]))
             elif how == "some":
                 i = np.arange(len(token))
                 made.append(pairs(begin[of] + (token % size), i))
@@ -290,7 +303,7 @@ def _paired(filed: DataFrame, how: str) -> DataFrame:
                 sketches = np.asarray(more[0][keep], dtype=object)
                 for k in range(len(begin)):
                     own = np.arange(begin[k], begin[k] + length[k])
-                    for i, j in _alike(own, n, root, sketches):
+                    for i, j in _alike(own, n, root, part, sketches):
                         made.append(pairs(i, j))
                     if len(made) > 64:
                         yield from (m for m in made if m is not None)
@@ -298,12 +311,12 @@ def _paired(filed: DataFrame, how: str) -> DataFrame:
             yield from (m for m in made if m is not None)
 
     parts = int(filed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    columns = ["token", "cls", "n", "pos", "root", *(["sketch"] if how == "all" else [])]
-    dealt = filed.select(*columns).repartition(parts, "token").sortWithinPartitions("token", "cls")
+    more = {"first": ["whole"], "some": [], "all": ["sketch"]}[how]
+    dealt = filed.select("token", "cls", "n", "pos", "root", "part", *more).repartition(parts, "token").sortWithinPartitions("token", "cls")
     return dealt.mapInArrow(run, "a long, b long, token long, n int, pos int")
 
 
-def _alike(own: np.ndarray, n: np.ndarray, root: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _alike(own: np.ndarray, n: np.ndarray, root: np.ndarray, part: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of members of one list, of different roots, whose sketches leave room for a link. Linked sets differ in
     size by a quarter at most, so a sketch meets those of its own length and of twice that, folded."""
     width = np.array([len(s) for s in sketches[own]])
@@ -317,6 +330,8 @@ def _alike(own: np.ndarray, n: np.ndarray, root: np.ndarray, sketches: np.ndarra
             differ = np.bitwise_count(theirs[k + 1 :] ^ rows[k]).sum(axis=1, dtype=np.int64)
             j = others[k + 1 :]
             j = j[((OF + NEED) * differ <= (OF - NEED) * (n[small[k]].astype(np.int64) + n[j])) & (root[j] != root[small[k]])]
+            if part[small[k]] >= 0:
+                j = j[part[j] != part[small[k]]]
             if len(j):
                 yield np.full(len(j), small[k]), j
 
@@ -368,13 +383,22 @@ def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def link_classes(docs: DataFrame, sketches: DataFrame) -> DataFrame:
+def _cells(rows: DataFrame) -> DataFrame:
+    """Every two of a list's blocks as a list of their own under a new token, in which members tell their blocks apart by
+    ``part``; a block with itself has -1, as a list of one block has."""
+    each = rows.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    token = F.when(F.col("blocks") == 1, F.col("token")).otherwise(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")))
+    part = F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own").cast("int"))
+    return each.withColumn("token", token).withColumn("part", part).drop("blocks", "own", "other")
+
+
+def link_classes(docs: DataFrame, sketches: DataFrame, cell: int = CELL) -> DataFrame:
     """Links between classes that join all classes that hang together: (a, b), not every link within a component.
 
     ``sketches``: (cls, n, sketch) of every class with members.
     """
-    frequent, length = _frequent(docs)
-    filed = _filed(docs, frequent, boundary(length)).withColumn("root", F.col("cls"))
+    frequent, times, length = _frequent(docs)
+    filed = _filed(docs, frequent, times, boundary(length), cell).withColumns({"root": F.col("cls"), "whole": F.col("token"), "token": F.when(F.col("part") < 0, F.col("token")).otherwise(F.xxhash64("token", "part"))})
     first = cut(_paired(filed, "first"))
     links = cut(_linked(docs, cut(_screened(first.where("b IS NOT NULL").select("a", "b").distinct(), sketches))))
     long = first.where("b IS NULL").select("token", F.col("a").alias("cls"), "n", "pos")
@@ -383,9 +407,15 @@ def link_classes(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     for how in ("some", "all"):
         roots = components(links)
         rooted = long.join(roots, F.col("cls") == F.col("node"), "left").select("token", "cls", "n", "pos", F.coalesce("root", "cls").alias("root"))
-        if how == "all":  # only lists of different roots go on, and their members' sketches with them
-            mixed = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-            rooted = rooted.join(mixed, "token").join(sketches.select("cls", "sketch"), "cls")
+        # Only lists of different roots go on. Written, so that adaptive execution can split the join at a long list.
+        size = F.ceil(F.count("*") / (cell if how == "all" else 4 * cell)).alias("blocks")
+        mixed = cut(rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), size).where("lo < hi").select("token", "blocks"))
+        rooted = rooted.distinct().join(mixed, "token")
+        if how == "all":  # their members' sketches go with them
+            rooted = _cells(rooted).join(sketches.select("cls", "sketch"), "cls")
+        else:
+            dealt = F.xxhash64("token", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+            rooted = rooted.withColumn("token", F.when(F.col("blocks") == 1, F.col("token")).otherwise(dealt)).withColumn("part", F.lit(-1))
         pairs = _paired(rooted, how).select("a", "b").distinct()
         more = cut(_screened(pairs, sketches) if how == "some" else pairs)
         if more.isEmpty():
@@ -394,7 +424,7 @@ def link_classes(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     return links
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cell: int = CELL) -> DataFrame:
     """Each document's set size and component: the smallest id that links lead to, its own included.
 
     Words are runs of bytes other than white space, with A-Z in lower case. Null, empty and blank texts have an empty
@@ -408,7 +438,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     summary = cut(_summaries(slim, kind))
     full = summary.where("n_shingles > 0")
     sketches = cut(full.where("sketch IS NOT NULL").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
-    roots = components(link_classes(slim, sketches))
+    roots = components(link_classes(slim, sketches, cell))
     classes = full.groupBy("cls").agg(F.min("doc_id").alias("least"))
     rooted = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

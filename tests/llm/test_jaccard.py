@@ -56,14 +56,14 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed,limit", [(1, None), (2, 0), (3, 12), (4, 6)])
-def test_against_all_pairs(spark, seed, limit, monkeypatch):
+@pytest.mark.parametrize("seed,limit,cell", [(1, None, 500), (2, 0, 2), (3, 12, 1), (4, 6, 3)])
+def test_against_all_pairs(spark, seed, limit, cell, monkeypatch):
     if limit is not None:
         monkeypatch.setattr(jaccard, "boundary", lambda length, most=12: limit)
     monkeypatch.setattr(jaccard, "SHORT", 3)
     rows = corpus(seed)
     df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, cls string, token int").repartition(3)
-    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect())
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df, cell=cell).collect())
     assert got == brute(rows)
 
 
