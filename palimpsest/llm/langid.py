@@ -100,7 +100,7 @@ def fit(
     """Learn from at most ``sample`` labelled rows (a documented bound): those with the least hash of the id.
 
     The first ``landmarks`` of them are the landmarks; only their texts come to the driver. The normal equations are
-    summed on the executors, a matrix of landmarks x landmarks from each task. None if no row is labelled.
+    summed on the executors, in eight matrices of landmarks x landmarks. None if no row is labelled.
     """
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("h")
@@ -130,7 +130,8 @@ def fit(
                 gram, target, n = gram + phi.T @ phi, target + phi.T @ y, n + len(y)
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([gram.tobytes()]), pa.array([target.tobytes()])], names=["n", "gram", "target"])
 
-    parts = chosen.repartition(8, "h").select("text", "lang").mapInArrow(sums, "n long, gram binary, target binary").collect()
+    # Eight sums reach the driver, into however many partitions the rows are dealt.
+    parts = chosen.repartition(8, "h").coalesce(8).select("text", "lang").mapInArrow(sums, "n long, gram binary, target binary").collect()
     gram = sum(np.frombuffer(p.gram).reshape(root.shape[1], -1) for p in parts)
     target = sum(np.frombuffer(p.target).reshape(root.shape[1], -1) for p in parts)
     solved = np.linalg.solve(gram + ridge * sum(p.n for p in parts) * np.eye(len(gram)), target)
