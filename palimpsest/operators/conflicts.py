@@ -50,3 +50,36 @@ def visible(df: DataFrame, column: str, sources: Sequence[int] | None, empty_mea
     if sources is None or (not sources and empty_means == "all"):
         return df
     return df.where(F.col(column).isin(*sources)) if sources else df.where(F.lit(False))
+
+
+def file_conflicts(files: DataFrame, path: str = "relpath", source: str = "source", order: str = "load_order") -> DataFrame:
+    """Paths that more than one source has: number of sources and files, the winning source, and whether the file's name
+    begins with zzz_, which mods give files that should come last."""
+    each = files.groupBy(path, source).agg(F.max(order).alias(order), F.count("*").alias("n"))
+    found = each.groupBy(path).agg(F.count("*").alias("n_sources"), F.sum("n").alias("n_files"), F.max(F.struct(order, source)).alias("w")).where("n_sources > 1")
+    name = F.lower(F.substring_index(F.col(path), "/", -1))
+    return found.select(path, "n_sources", "n_files", F.col("w")[source].alias("winner"), name.startswith("zzz_").alias("is_last_by_name"))
+
+
+def folder_counts(paths: DataFrame, path: str = "relpath", depth: int = 2, top: int = 20) -> DataFrame:
+    """The folders with most rows, by the first ``depth`` parts of their path; a file's own name is no folder. ``top`` is
+    the report's length; ties go by name."""
+    folder = F.substring_index(F.substring(F.col(path), F.lit(1), F.length(path) - F.length(F.substring_index(F.col(path), "/", -1)) - 1), "/", depth)
+    return paths.groupBy(folder.alias("folder")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "folder").limit(top)
+
+
+def conflicts_by_policy(defs: DataFrame, key: Sequence[str], source: str, order: str, path: str, name_of_source: str, with_patches: bool = False) -> DataFrame:
+    """Names that several sources define, each won by the policy of its first file's folder: the lowest load order under
+    "fios", the highest under any other. A name that a compatibility patch also defines is left out unless asked for.
+
+    Returns key, n_sources, policy, winner (source), has_patch.
+    """
+    from palimpsest.functions.rules import is_compatibility_patch, policy
+
+    each = defs.groupBy(*key, source, name_of_source).agg(F.max(order).alias(order), F.min(path).alias(path))
+    told = each.groupBy(*key).agg(
+        F.count("*").alias("n_sources"), F.min(F.struct(order, path))[path].alias("first_path"), F.max(F.struct(order, source))[source].alias("last"), F.min(F.struct(order, source))[source].alias("first"), F.max(is_compatibility_patch(F.col(name_of_source))).alias("has_patch")
+    ).where("n_sources > 1")
+    rule = policy(F.col("first_path"))
+    found = told.select(*key, "n_sources", rule.alias("policy"), F.when(rule == "fios", F.col("first")).otherwise(F.col("last")).alias("winner"), "has_patch")
+    return found if with_patches else found.where("NOT has_patch")

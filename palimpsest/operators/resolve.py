@@ -83,3 +83,32 @@ def merge_two(ours: DataFrame, theirs: DataFrame, key: Sequence[str], value: str
     take_a = (in_a if ours_first else in_a & ~in_b)
     conflict = in_a & in_b & ~F.col("__a").eqNullSafe(F.col("__b"))
     return both.select(*key, F.when(take_a, F.col("__a")).otherwise(F.col("__b")).alias(value), F.when(take_a, "ours").otherwise("theirs").alias("side"), conflict.alias("conflict"))
+
+
+def first_wins(defs: DataFrame, key: Sequence[str], path: Sequence[str], order: str, ties: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+    """First definitions of each key among the files that survive: between files of one path the last still wins."""
+    return winners(survivors(defs, path, order), key, [order, *ties], carry, first=True)
+
+
+def resolved(defs: DataFrame, key: str, folder: str, order: Sequence[str], policies: Sequence[tuple[str, str]] | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """All folders in one plan: each name of each folder under the folder's own merge policy.
+
+    Returns folder, key, policy, order and carry columns, overridden_count.
+    """
+    from palimpsest.functions.rules import POLICIES, first_of
+
+    rule = first_of([(F.col(folder).startswith(p), F.lit(n)) for p, n in (policies or POLICIES)], F.lit("override"))
+    return dispatch(defs.withColumn("policy", rule), [folder, key], order, "policy", carry)
+
+
+def state_totals(won: DataFrame, folder: str, source: str) -> DataFrame:
+    """Of each folder of a resolved state: names, names that hide others, hidden definitions, sources that win any."""
+    return won.groupBy(folder).agg(F.count("*").alias("n_names"), F.count_if(F.col("overridden_count") > 0).alias("n_conflicts"), F.sum("overridden_count").alias("n_hidden"), F.count_distinct(source).alias("n_sources"))
+
+
+def unresolvable(files: DataFrame, tree: DataFrame, key: str = "digest") -> DataFrame:
+    """Files that a resolution cannot use: not parsed at all, or parsed with errors (their number and the first)."""
+    bad = tree.where("error IS NOT NULL").groupBy(key).agg(F.count("*").alias("n_errors"), F.min(F.struct("line", "error"))["error"].alias("first_error"))
+    seen = tree.select(key).distinct().withColumn("__seen", F.lit(True))
+    told = files.join(seen, key, "left").join(bad, key, "left")
+    return told.where("__seen IS NULL OR n_errors > 0").select(*files.columns, F.coalesce("n_errors", F.lit(0).cast("long")).alias("n_errors"), F.coalesce("first_error", F.lit("not parsed")).alias("first_error"))

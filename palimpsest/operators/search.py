@@ -103,3 +103,31 @@ def filtered(df: DataFrame, wanted: dict[str, object], columns: Sequence[str] |
 def tagged(scope: str, df: DataFrame, key: str, label: str) -> DataFrame:
     """One branch of a search over several tables."""
     return df.select(F.lit(scope).alias("scope"), F.col(key).cast("string").alias("key"), F.col(label).alias("label"))
+
+
+def ranked(docs: DataFrame, key: str, text: str, path: str, query: str, top: int = 20, context: int = 60) -> DataFrame:
+    """The best documents by bm25, one for each path (its best, ties by key), with the text around the first of the
+    query's words. ``top`` is the answer's length."""
+    scored = bm25(docs, key, text, query)
+    words = [w for w in query.lower().split() if w]
+    places = [F.nullif(F.instr(F.lower(F.col(text)), w), F.lit(0)) for w in words]
+    at = F.least(*places) if len(places) > 1 else places[0]
+    rows = docs.join(scored, key).select(key, path, "score", snippet(F.col(text), F.coalesce(at, F.lit(1)), context // 2, context // 2).alias("snippet"))
+    best = rows.groupBy(path).agg(F.max(F.struct("score", F.col(key).alias("k"), "snippet")).alias("w"))
+    return best.select(path, F.col("w.k").alias(key), F.col("w.score").alias("score"), F.col("w.snippet").alias("snippet")).orderBy(F.desc("score"), path).limit(top)
+
+
+def merged_scopes(scopes: dict[str, DataFrame], key: str, top: int = 20) -> DataFrame:
+    """Scored rows (key, score) of several searches in one list, the most relevant first."""
+    made = None
+    for scope, rows in scopes.items():
+        part = rows.select(F.lit(scope).alias("scope"), F.col(key).cast("string").alias("key"), "score")
+        made = part if made is None else made.unionByName(part)
+    return made.orderBy(F.desc("score"), "scope", "key").limit(top)
+
+
+def grep_raw(lines: DataFrame, query: str, is_regex: bool = False, path: str = "file", pattern: str | None = None, text: str = "text") -> DataFrame:
+    """Lines that hold a text or match a pattern, whatever the case, in files whose path is LIKE ``pattern`` if given."""
+    if pattern is not None:
+        lines = lines.where(F.col(path).ilike(pattern))
+    return lines.where(F.col(text).rlike(f"(?i){query}") if is_regex else F.lower(text).contains(query.lower()))

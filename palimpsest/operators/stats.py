@@ -97,3 +97,35 @@ def children(files: DataFrame, path: str, folder: str = "") -> DataFrame:
     lead = f"{folder.rstrip('/')}/" if folder else ""
     rest = F.substring(path, len(lead) + 1, 1 << 20)
     return files.where(F.col(path).startswith(lead) & (rest != "")).groupBy(F.substring_index(rest, "/", 1).alias("name"), rest.contains("/").alias("is_folder")).agg(F.count("*").alias("n"))
+
+
+def build_status(stages: dict[str, tuple[DataFrame, DataFrame, Sequence[str]]]) -> DataFrame:
+    """How far each stage has come: stage, n (rows it should cover), n_done, pct. Stages are (rows, done, on); stages
+    without a row are complete."""
+    made = None
+    for name, (rows, done, on) in stages.items():
+        seen = done.select(*on).distinct().withColumn("__d", F.lit(1))
+        row = rows.select(*on).distinct().join(seen, list(on), "left").agg(F.lit(name).alias("stage"), F.count("*").alias("n"), F.count("__d").alias("n_done"))
+        made = row if made is None else made.unionByName(row)
+    return made.withColumn("pct", F.coalesce(F.round(100.0 * F.col("n_done") / F.nullif(F.col("n"), F.lit(0).cast("long")), 1), F.lit(100.0)))
+
+
+def recommended(counts: DataFrame, actions: Sequence[tuple[str, int, str, str]]) -> DataFrame:
+    """What to do next, the most urgent first: of the actions (name of a count, priority, phase, action) those whose count
+    in ``counts`` (name, n) is above 0. Counts that belong to one action add up."""
+    spark = counts.sparkSession
+    known = spark.createDataFrame([(a[0], a[1], a[2], a[3]) for a in actions], "name string, priority int, phase string, action string")
+    return counts.join(F.broadcast(known), "name").groupBy("priority", "phase", "action").agg(F.sum("n").alias("n")).where("n > 0").orderBy("priority")  # the fixed table
+
+
+def health(items: DataFrame, status: str, started: str, now: Column, stale_seconds: int = 300) -> DataFrame:
+    """One row: items by state, those still in work, and those in work for too long."""
+    age = F.unix_timestamp(now) - F.unix_timestamp(started)
+    working = F.col(status) == "processing"
+    return items.agg(F.count("*").alias("n"), F.count_if(F.col(status) == "pending").alias("n_pending"), F.count_if(working).alias("n_processing"), F.count_if(working & (age > stale_seconds)).alias("n_stale"), F.count_if(F.col(status) == "error").alias("n_error"))
+
+
+def version_stats(files: DataFrame, contents: DataFrame, version: str, digest: str, size: str) -> DataFrame:
+    """Files, distinct contents and their bytes of each version."""
+    each = files.groupBy(version, digest).agg(F.count("*").alias("__n")).join(contents.select(digest, size), digest, "left")
+    return each.groupBy(version).agg(F.sum("__n").alias("n_files"), F.count("*").alias("n_contents"), F.coalesce(F.sum(size), F.lit(0).cast("long")).alias("n_bytes"))

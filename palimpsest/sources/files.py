@@ -184,3 +184,61 @@ def reordered(order: DataFrame, name: str, position: int) -> DataFrame:
     n = others.agg(F.count("*").alias("__n"))
     moved = order.where(F.col("name") == name).crossJoin(F.broadcast(n)).withColumn("load_order", F.least(F.lit(position).cast("long"), F.col("__n")).cast("int")).drop("__n")  # one row
     return rest.unionByName(moved)
+
+
+def enumerated(spark: SparkSession, root: str, resume_after: str | None = None) -> DataFrame:
+    """Every file below ``root`` with its fingerprint, in order of its path: relpath, size, mtime, digest. With
+    ``resume_after`` only paths beyond it, so a broken run goes on where it was."""
+    prefix = root.rstrip("/").split("://")[-1].replace("file:", "")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    rows = files.select(F.substring_index(F.col("path"), prefix + "/", -1).alias("relpath"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("digest"))
+    if resume_after is not None:
+        rows = rows.where(F.col("relpath") > resume_after)
+    return rows.orderBy("relpath")
+
+
+def files_of(files: DataFrame, version: int, file_type: str | None = None, column: str = "cvid") -> DataFrame:
+    """Live files of a version, of one type if given, in order of their path."""
+    from palimpsest.operators.tables import live
+
+    own = live(files).where(F.col(column) == version)
+    return (own if file_type is None else own.where(F.col("file_type") == file_type)).orderBy("relpath")
+
+
+def folder_sources(files: DataFrame, folder: str) -> DataFrame:
+    """Script files directly in a folder of each source, in order of source and name."""
+    rest = F.substring("relpath", len(folder.rstrip("/")) + 2, 1 << 20)
+    return files.where(F.col("relpath").startswith(f"{folder.rstrip('/')}/") & ~rest.contains("/") & rest.endswith(".txt")).orderBy("source", "relpath")
+
+
+def definitions_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Province definitions: province_id, r, g, b, name. Lines whose id is no number, and id 0, are left out."""
+    rows = spark.read.option("sep", ";").schema("id string, r int, g int, b int, name string").csv(path)
+    return rows.select(F.col("id").try_cast("long").alias("province_id"), "r", "g", "b", "name").where("province_id > 0")
+
+
+# Folders that a bundle may write to.
+TOP_FOLDERS = ("common", "events", "gfx", "gui", "history", "localization", "map_data", "music", "sound")
+# End of fixed values.
+
+
+def validated_bundle(artifacts: DataFrame, tree: DataFrame, allowed: Sequence[str] = TOP_FOLDERS) -> DataFrame:
+    """What is wrong with files of a bundle (path, content): path, code, level, line. The first fault of a path counts;
+    empty contents and parse errors (from the node table, key = path) are told beside it."""
+    path = F.translate("path", "\\", "/")
+    parts = F.split(path, "/")
+    fault = F.when(path.startswith("/") | path.rlike("^[A-Za-z]:"), "PATH_ABSOLUTE").when(F.array_contains(parts, ".."), "PATH_TRAVERSAL").when(~F.get(parts, F.lit(0)).isin(*allowed), "PATH_TOPLEVEL")
+    none = F.lit(None).cast("int")
+    paths = artifacts.select("path", fault.alias("code"), F.lit("error").alias("level"), none.alias("line")).where("code IS NOT NULL")
+    style = artifacts.where(fault.isNull() & path.endswith("_patched.txt")).select("path", F.lit("NAME_STYLE").alias("code"), F.lit("warning").alias("level"), none.alias("line"))
+    empty = artifacts.where(F.coalesce(F.trim("content"), F.lit("")) == "").select("path", F.lit("EMPTY_CONTENT").alias("code"), F.lit("error").alias("level"), none.alias("line"))
+    broken = tree.where("error IS NOT NULL").select("path_of_file", F.lit("PARSE_ERROR").alias("code"), F.lit("error").alias("level"), "line").withColumnRenamed("path_of_file", "path")
+    return paths.unionByName(style).unionByName(empty).unionByName(broken)
+
+
+def content_type(path: Column, registry: dict[str, str]) -> Column:
+    """The type of a file by the longest folder of a registry (folder to name) that it lies in; null outside all."""
+    low = F.lower(F.translate(path, "\\", "/"))
+    from palimpsest.functions.rules import first_of
+
+    return first_of([(low.startswith(f"{folder.lower().rstrip('/')}/"), F.lit(name)) for folder, name in sorted(registry.items(), key=lambda x: (-len(x[0]), x[0]))], F.lit(None).cast("string"))

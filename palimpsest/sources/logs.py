@@ -219,3 +219,26 @@ def chat_sessions(spark: SparkSession, path: str) -> DataFrame:
 
 
 __all__ = ["build_log", "category_counts", "chat_sessions", "chosen", "crash_summary", "crashes", "debug_lists", "entries", "log_lines", "statistics", "window_of_lines", "with_text"]
+
+
+def actionable(rows: DataFrame, worst: int = 3, top: int = 50) -> DataFrame:
+    """Records of priority up to ``worst`` that are no child of a cascade, the most urgent first, roots before others, then
+    in order of appearance. ``top`` is the report's length."""
+    root = F.coalesce(F.col("is_root"), F.lit(False))
+    kept = chosen(rows, worst=worst, without_children=True)
+    return kept.orderBy("priority", root.desc(), "record").limit(top)
+
+
+def with_mod(rows: DataFrame, mods: DataFrame, path: str = "script_file") -> DataFrame:
+    """Records with the mod (mod_id, name) that their path names: by its id, else by its name as a slug in the path, the
+    longest one if several fit. ``mods`` (mod_id, name) is the list of a playset, a few hundred rows."""
+    slug = F.regexp_replace(F.lower("name"), "[^a-z0-9]+", "_")
+    known = mods.select(F.col("mod_id").alias("__id"), F.col("name").alias("mod_name"), slug.alias("__slug"))
+    by_id = known.groupBy("__id").agg(F.max("mod_name").alias("__by_id"))
+    told = rows.join(F.broadcast(by_id), F.col("mod_id") == F.col("__id"), "left").drop("__id")  # the playset's list
+    one = known.where("__slug <> ''").agg(F.sort_array(F.collect_list(F.struct(F.length("__slug").alias("l"), "__slug", "__id", "mod_name")), asc=False).alias("__all"))
+    told = told.crossJoin(F.broadcast(one))  # one row: the same list
+    hit = F.get(F.filter("__all", lambda m: F.lower(path).contains(m["__slug"])), F.lit(0))
+    guess = F.when(F.col("mod_id").isNull(), hit)
+    name = F.when(F.col("mod_id").isNotNull(), F.coalesce("__by_id", F.concat(F.lit("Mod "), "mod_id"))).otherwise(guess["mod_name"])
+    return told.withColumn("mod_name", name).withColumn("mod_id", F.coalesce("mod_id", guess["__id"])).drop("__by_id", "__all")

@@ -253,16 +253,60 @@ def top_changes(base: DataFrame, other: DataFrame, within: str | None = None) ->
     return both.select("name", change.alias("change_type"), "old_line", "new_line")
 
 
-def printed(tree: DataFrame, key: str = "digest") -> DataFrame:
-    """Script text of each content, one line a node with tabs for depth. A content is one file, so its lines fit a row."""
+def printed(tree: DataFrame, key: str = "digest", indent: str = "\t", sort_keys: bool = False, blank_lines: bool = False) -> DataFrame:
+    """Script text of each content, one line a node, indented by depth. A content is one file, so its lines fit a row.
+
+    ``sort_keys``: inside a block its values come first, then its assignments by key, then its blocks in their order.
+    ``blank_lines``: one between top-level entries.
+    """
     quoted = F.when(F.col("value_type") == "string", F.concat(F.lit('"'), F.col("value"), F.lit('"'))).otherwise(F.col("value"))
     head: Column = F.when(F.col("node_type") == "assignment", F.concat_ws(" ", "key", "op", quoted)).when(F.col("node_type") == "value", quoted)
     opener = F.concat(F.when(F.col("key").isNotNull(), F.concat_ws(" ", "key", F.coalesce("op", F.lit("=")), F.lit(""))).otherwise(F.lit("")), F.lit("{"))
-    tabs = F.repeat(F.lit("\t"), F.col("depth"))
-    lines = tree.where("depth >= 0 AND node_type <> 'error'").select(
-        key, F.explode(F.when(F.col("node_type").isin("block", "list"), F.array(F.struct(F.col("start_off").alias("at"), F.col("node_id").alias("i"), F.concat(tabs, opener).alias("s")), F.struct(F.col("end_off").alias("at"), (-F.col("node_id")).alias("i"), F.concat(tabs, F.lit("}")).alias("s")))).otherwise(F.array(F.struct(F.col("start_off").alias("at"), F.col("node_id").alias("i"), F.concat(tabs, head).alias("s"))))).alias("l")
-    )
+    tabs = F.repeat(F.lit(indent), F.col("depth"))
+    rows = tree.where("depth >= 0 AND node_type <> 'error'")
+    is_block = F.col("node_type").isin("block", "list")
+    gap = F.lit("\n") if blank_lines else F.lit("")
+    lead = F.when((F.col("depth") == 0) & (F.col("pos") > 0), gap).otherwise(F.lit(""))
+    if sort_keys:
+        # A line's place is the path of ranks of the nodes around it; a closing brace comes after all that it closes.
+        rank = F.struct(F.when(F.col("node_type") == "value", 0).when(F.col("node_type") == "assignment", 1).otherwise(2).alias("kind"), F.when(F.col("node_type") == "assignment", F.col("key")).otherwise("").alias("by"), F.col("node_id").alias("i"))
+        own = rows.select(key, "node_id", "parent_id", "depth", rank.alias("rank"))
+        place = own.where("depth = 0").select(key, "node_id", F.array(F.struct(F.lit(2).alias("kind"), F.lit("").alias("by"), F.col("node_id").alias("i"))).alias("place"))
+        level, every = place, place
+        for d in range(1, 33):  # the format nests a handful of levels; each is one join
+            step = own.where(F.col("depth") == d)
+            if step.isEmpty():
+                break
+            level = step.join(level.select(key, F.col("node_id").alias("parent_id"), "place"), [key, "parent_id"]).select(key, "node_id", F.array_append("place", F.col("rank")).alias("place"))
+            every = every.unionByName(level)
+        last = F.struct(F.lit(3).alias("kind"), F.lit("").alias("by"), F.lit(0).alias("i"))
+        at, closing = F.col("place"), F.array_append("place", last)
+        rows = rows.join(every, [key, "node_id"])
+    else:
+        at, closing = F.struct(F.col("start_off").alias("at"), F.col("node_id").alias("i")), F.struct(F.col("end_off").alias("at"), (-F.col("node_id")).alias("i"))
+    line = lambda place, text: F.struct(place.alias("at"), text.alias("s"))
+    both = F.array(line(at, F.concat(lead, tabs, opener)), line(closing, F.concat(tabs, F.lit("}"))))
+    lines = rows.select(key, F.explode(F.when(is_block, both).otherwise(F.array(line(at, F.concat(lead, tabs, head))))).alias("l"))
     return lines.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list("l")), lambda x: x["s"]), "\n").alias("text"))
 
 
-__all__ = ["CONTEXTS", "NODE", "REFERENCES", "SCRIPTS", "diff", "nodes", "nodes_of", "printed", "references", "slots", "symbols", "top_changes"]
+def diagnostics(tree: DataFrame, key: str = "digest", most: int = 100) -> DataFrame:
+    """Faults of each text in order, at most ``most`` of a text as the report's length: key, line, start_off, error."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy(key).orderBy("line", "start_off", "node_id"))
+    return tree.where("error IS NOT NULL").withColumn("__i", place).where(F.col("__i") <= most).select(key, "line", "start_off", "error")
+
+
+def as_json(tree: DataFrame, key: str = "digest") -> DataFrame:
+    """The node table of each content as one JSON text, nodes in order; ``from_json`` reads it back."""
+    columns = ["node_id", "parent_id", "depth", "pos", "node_type", "key", "op", "value", "value_type", "line", "start_off", "end_off", "path", "error", "top_id", "ancestors"]
+    return tree.groupBy(key).agg(F.to_json(F.sort_array(F.collect_list(F.struct(*columns)))).alias("json"))
+
+
+def from_json(rows: DataFrame, key: str = "digest") -> DataFrame:
+    """Node tables from the JSON texts of ``as_json``."""
+    return rows.select(key, F.inline(F.from_json("json", f"array<struct<{', '.join(':'.join(c.split(' ', 1)) for c in NODE.split(', '))}>>")))
+
+
+__all__ = ["CONTEXTS", "NODE", "REFERENCES", "SCRIPTS", "as_json", "diagnostics", "diff", "from_json", "nodes", "nodes_of", "printed", "references", "slots", "symbols", "top_changes"]

@@ -40,7 +40,8 @@ def ingest(stream: DataFrame, store: str, checkpoint: str, work: Callable[[DataF
         if batch_id > 0:
             earlier = [f"{store}/contents/batch={i}" for i in range(batch_id)]
             known = spark.read.schema("digest string").parquet(*earlier)  # a column of digests, pruned from the rest
-            done = known.select("digest")
+            # A batch holds maxFilesPerTrigger files at most, so its digests go to the store's and the store stays where it is.
+            done = known.join(F.broadcast(seen.select("digest").distinct()), "digest", "left_semi")
         fresh = contents(seen, done)
         fresh.write.mode("overwrite").parquet(f"{store}/contents/batch={batch_id}")
         if work is not None:

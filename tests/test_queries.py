@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from palimpsest.plans import queries, script_queries, table_queries  # noqa: F401
+from palimpsest.plans import more_queries, queries, script_queries, table_queries  # noqa: F401
 from palimpsest.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"

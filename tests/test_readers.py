@@ -82,3 +82,14 @@ def test_reports(spark, tmp_path):
     logged = spark.createDataFrame([("scope_error", 3, "a\nb")], "category string, priority int, message string")
     export.log_report(logged, f"{tmp_path}/log")
     assert [r.value for r in spark.read.text(f"{tmp_path}/log").collect()] == ["- [scope_error/3] a / b"]
+
+
+def test_enumeration_resumes_and_definitions(spark, tmp_path):
+    for name in ("a/x.txt", "a/y.txt", "b.txt"):
+        (tmp_path / "root" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "root" / name).write_text(name)
+    every = files.enumerated(spark, f"{tmp_path}/root")
+    assert [r.relpath for r in every.collect()] == ["a/x.txt", "a/y.txt", "b.txt"]
+    assert [r.relpath for r in files.enumerated(spark, f"{tmp_path}/root", resume_after="a/x.txt").collect()] == ["a/y.txt", "b.txt"]
+    (tmp_path / "d.csv").write_text("0;0;0;0;x;\n1;42;3;128;VESTFIRDIR;x\nid;r;g;b;n\n")
+    assert [tuple(r) for r in files.definitions_csv(spark, f"{tmp_path}/d.csv").collect()] == [(1, 42, 3, 128, "VESTFIRDIR")]
