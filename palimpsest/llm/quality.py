@@ -107,6 +107,73 @@ def with_neighbours(x: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return np.hstack((x, before, after))
 
 
+LONG = 512  # lines that are gone through one by one; longer documents are cut into chains of so many
+
+
+def _steps(size: np.ndarray) -> list[int]:
+    """How many of some sequences, the longest first, have a line at each place."""
+    return (len(size) - np.searchsorted(size[::-1], np.arange(int(size[0]) if len(size) else 0), side="right")).tolist()
+
+
+def _forward(emit: np.ndarray, first: np.ndarray, size: np.ndarray, enter: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For sequences, the longest first, with weights ``enter`` before their first line: each line's weights scaled to 1,
+    the scales, and each sequence's last weights."""
+    alpha, scale, end = np.empty((len(emit), 2)), np.ones(len(emit)), enter.copy()
+    for i, m in enumerate(_steps(size)):
+        at = first[:m] + i
+        v = (enter[:m] if i == 0 else end[:m] @ move) * emit[at]
+        scale[at] = c = v.sum(axis=1)
+        alpha[at] = end[:m] = v / c[:, None]
+    return alpha, scale, end
+
+
+def _backward(emit: np.ndarray, first: np.ndarray, size: np.ndarray, leave: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same from the end: the weights of all after each line, and of all from each sequence's first line on."""
+    beta, steps = np.empty((len(emit), 2)), _steps(size)
+    now = leave.copy()
+    last = first + size - 1
+    for i in range(len(steps)):
+        m = steps[i]
+        at = last[:m] - i
+        beta[at] = now[:m]
+        v = (now[:m] * emit[at]) @ move.T
+        now[:m] = v / v.sum(axis=1, keepdims=True)
+    return beta, now
+
+
+def _chained(emit: np.ndarray, first: np.ndarray, size: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward and backward weights and forward scales. Chains of a long document are gone through side by side: once
+    from either state to learn what each makes of any weights, then with the weights that they have."""
+    chains = -(-size // LONG)
+    doc = np.repeat(np.arange(len(size)), chains)
+    no = np.arange(len(doc)) - np.repeat(np.cumsum(chains) - chains, chains)
+    begin = first[doc] + no * LONG
+    length = np.minimum(LONG, first[doc] + size[doc] - begin)
+    order = np.argsort(-length, kind="stable")
+    enter, leave = np.ones((len(doc), 2)), np.ones((len(doc), 2))
+    if len(doc) > len(size):
+        # ahead[c, k]: the weights at the end of chain c, and by how much, if only state k stood before its first line.
+        ahead, weight = np.empty((len(doc), 2, 2)), np.empty((len(doc), 2))
+        for k in range(2):
+            unit = np.full((len(doc), 2), 1e-300)
+            unit[:, k] = 1
+            _, scale, end = _forward(emit, begin[order], length[order], unit, move)
+            ahead[order, k], weight[:, k] = end, np.add.reduceat(np.log(scale), begin)
+        ahead *= np.exp(weight - weight.max(axis=1, keepdims=True))[:, :, None]
+        for j in range(1, int(chains.max())):
+            at = np.flatnonzero(no == j)
+            end = np.einsum("ij,ijk->ik", enter[at - 1], ahead[at - 1])
+            enter[at] = end / end.sum(axis=1, keepdims=True) @ move
+        for j in range(int(chains.max()) - 2, -1, -1):
+            at = np.flatnonzero((no == j) & (no < chains[doc] - 1))
+            # What follows a chain: the next chain's matrix applied to what follows that.
+            v = np.einsum("ijk,ik->ij", ahead[at + 1], leave[at + 1]) @ move.T
+            leave[at] = v / v.sum(axis=1, keepdims=True)
+    alpha, scale, _ = _forward(emit, begin[order], length[order], enter[order], move)
+    beta, _ = _backward(emit, begin[order], length[order], leave[order], move)
+    return alpha, beta, scale
+
+
 def marginals(s: np.ndarray, doc: np.ndarray, link: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """Probability that each line is good, expected number of each pair of neighbouring states, log of all weights.
 
@@ -117,26 +184,12 @@ def marginals(s: np.ndarray, doc: np.ndarray, link: np.ndarray) -> tuple[np.ndar
         return np.zeros(0), np.zeros((2, 2)), 0.0
     first = np.flatnonzero(np.diff(doc, prepend=doc[0] - 1))
     size = np.diff(np.append(first, n))
-    order = np.argsort(-size, kind="stable")
-    first, size = first[order], size[order]
-    running = len(size) - np.searchsorted(size[::-1], np.arange(int(size[0])), side="right")
     emit = np.stack((np.exp(np.minimum(-s, 0)), np.exp(np.minimum(s, 0))), axis=1)  # (1, e^s) over its largest
-    log_z = float(np.maximum(s, 0).sum())
     move = np.exp(link - link.max())
-    log_z += float(link.max()) * (n - len(size))
-    alpha, beta, scale = np.empty((n, 2)), np.ones((n, 2)), np.empty(n)
-    for i, m in enumerate(running.tolist()):
-        at = first[:m] + i
-        a = emit[at] if i == 0 else alpha[at - 1] @ move * emit[at]
-        scale[at] = c = a.sum(axis=1)
-        alpha[at] = a / c[:, None]
-    for i in range(len(running) - 2, -1, -1):
-        at = first[: running[i + 1]] + i
-        b = beta[at + 1] * emit[at + 1] @ move.T
-        beta[at] = b / b.sum(axis=1, keepdims=True)
+    alpha, beta, scale = _chained(emit, first, size, move)
+    log_z = float(np.maximum(s, 0).sum()) + float(link.max()) * (n - len(size)) + float(np.log(scale).sum())
     both = alpha * beta
     good = both[:, 1] / both.sum(axis=1)
-    log_z += float(np.log(scale).sum())
     inner = np.flatnonzero(doc[1:] == doc[:-1])
     pair = alpha[inner][:, :, None] * move * (emit * beta)[inner + 1][:, None, :]
     pairs = (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,12 @@ def encoder(path: str):
     return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), length
 
 
+def _local(path: str) -> str:
+    """Where a worker has the vocabulary: the copy that Spark brought along."""
+    at = SparkFiles.get(os.path.basename(path))
+    return at if os.path.exists(at) else path
+
+
 def attribute(first: np.ndarray, last: np.ndarray, start: np.ndarray, end: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
     """The section of each token (-1: none) and whether the token leaves it.
 
@@ -82,9 +89,10 @@ def count_tokens(
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
     given = sections_col is not None
+    docs.sparkSession.sparkContext.addFile(vocabulary)  # about a megabyte, once for each executor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, length = encoder(vocabulary)
+        encoding, length = encoder(_local(vocabulary))
         for b in slices(batches, "text", SLICE):
             offsets, data = flat(b.column(1))
             rows = len(offsets) - 1
@@ -131,3 +139,21 @@ def count_tokens(
     kind = docs.schema[id_col].dataType.simpleString()
     wanted = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([F.col(sections_col).alias("sections")] if given else []))
     return wanted.mapInArrow(run, f"doc_id {kind}, section long, start_char long, end_char long, n_tokens long, n_crossing long")
+
+
+def count_field_tokens(docs: DataFrame, fields: list[str], *, id_col: str = "doc_id", separator: str = "\n", rule: str = "first", vocabulary: str = VOCABULARY) -> DataFrame:
+    """Tokens of each of several text columns, encoded once as the one document that they make: the fields in order with
+    ``separator`` after each but the last, which belongs to the field before it. Null fields count as empty.
+
+    Returns doc_id, field, start_char, end_char (in the joined document), n_tokens, n_crossing, a row for each field, also
+    an empty one; equal rows give equal rows; an empty table gives none.
+    """
+    texts = [F.concat(F.coalesce(F.col(f).cast("string"), F.lit("")), F.lit(separator if i < len(fields) - 1 else "")) for i, f in enumerate(fields)]
+    sections, at = [], F.lit(0)
+    for t in texts:
+        sections.append(F.struct(at.cast("int").alias("start"), (at + F.length(t)).cast("int").alias("end")))
+        at = at + F.length(t)
+    joined = docs.select(F.col(id_col).alias("doc_id"), F.concat(*texts).alias("text"), F.array(*sections).alias("sections"))
+    told = count_tokens(joined, sections_col="sections", rule=rule, vocabulary=vocabulary).where("section IS NOT NULL")
+    name = F.element_at(F.array(*[F.lit(f) for f in fields]), (F.col("section") + 1).cast("int"))
+    return told.select("doc_id", name.alias("field"), "start_char", "end_char", "n_tokens", "n_crossing")

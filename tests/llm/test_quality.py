@@ -1,8 +1,10 @@
 import itertools
 import math
 import random
+import time
 
 import numpy as np
+import pytest
 
 from palimpsest.llm import quality
 from palimpsest.llm.quality import features, fit, lines_of, marginals, score_quality, train
@@ -13,9 +15,10 @@ def spans(texts):
     return np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64), np.frombuffer(b"".join(raw), np.uint8)
 
 
-def test_marginals_against_enumeration():
+@pytest.mark.parametrize("long,sizes", [(512, [1, 3, 5, 2]), (2, [1, 3, 8, 2]), (3, [7, 3, 10, 4]), (1, [2, 5, 1, 6])])
+def test_marginals_against_enumeration(long, sizes, monkeypatch):
+    monkeypatch.setattr(quality, "LONG", long)
     rng = np.random.default_rng(4)
-    sizes = [1, 3, 5, 2]
     doc = np.repeat(np.arange(4), sizes)
     s, link = rng.normal(size=len(doc)) * 3, rng.normal(size=(2, 2))
     good, pairs, log_z = marginals(s, doc, link)
@@ -71,3 +74,36 @@ def test_held_out_and_odd_rows(spark):
     assert {r.score for r in out if r.doc_id in (1, 2, 3)} == {model.prior}
     assert score_quality(odd.limit(0), model).count() == 0
     assert {r.score for r in score_quality(odd.limit(2), fit(df.limit(0))).collect()} == {0.5}
+
+
+def test_a_million_lines():
+    rng = np.random.default_rng(1)
+    n = 1_000_000
+    s, link = rng.normal(size=n) * 4, np.array([[2.0, -1.0], [-1.5, 1.0]])
+    doc = np.concatenate((np.zeros(n - 700, np.int64), np.repeat(np.arange(1, 8), 100)))
+    began = time.process_time()
+    good, pairs, _ = marginals(s, doc, link)
+    assert time.process_time() - began < 20 and np.isfinite(good).all() and np.isclose(pairs.sum(), n - 8)
+    short, _, _ = marginals(s[:40], doc[:40], link)
+    assert np.allclose(good[:20], short[:20], atol=1e-4)
+
+
+def test_score_is_the_length_weighted_marginal():
+    """Each document's score by enumeration of all labellings of its lines, weighed by the lines' bytes."""
+    rng = np.random.default_rng(6)
+    size = len(quality.NAMES)
+    model = quality.Model(np.full(size, 0.1), np.full(size, 0.7), rng.normal(size=3 * size + 1) * 0.3, rng.normal(size=(2, 2)), 0.25)
+    texts = ["One line here.", "A first line.\nBUY now $$$\n\nthe third, and longest line of all of them", "", "x\ny\nz z z z\nx"]
+    offsets, data = spans(texts)
+    got = model.scores(offsets, data)
+    x, doc, weight = features(offsets, data)
+    lift = model.lift(x, doc)
+    for d in range(len(texts)):
+        at = np.flatnonzero(doc == d)
+        if not len(at):
+            assert got[d] == 0.25
+            continue
+        paths = list(itertools.product((0, 1), repeat=len(at)))
+        p = np.array([math.exp(sum(lift[i] for i, y in zip(at, q) if y) + sum(model.link[a, b] for a, b in zip(q, q[1:]))) for q in paths])
+        good = sum(w * np.array(q) for w, q in zip(p / p.sum(), paths))
+        assert np.isclose(got[d], (good * weight[at]).sum() / weight[at].sum())

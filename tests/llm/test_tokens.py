@@ -3,7 +3,7 @@ from collections import Counter
 
 import pytest
 
-from palimpsest.llm.tokens import RULES, VOCABULARY, count_tokens, encoder
+from palimpsest.llm.tokens import RULES, VOCABULARY, count_field_tokens, count_tokens, encoder
 
 TEXTS = ["", None, "a", "\n", "\n\nabc\n", "one\ntwo\n\nthree é\n", "héllo wörld 😀😀\nñandú", "x" * 3000 + "\n" + "word " * 5000, "tail no feed", "日本語\nテスト 文"]
 
@@ -65,3 +65,25 @@ def test_given_sections(spark, rule):
         tokens, crossing = brute(text, sections or [], rule)
         for k in [*range(len(sections or [])), None]:
             assert got[i, k] == (tokens[k], crossing[k]), (i, k)
+
+
+@pytest.mark.parametrize("rule", RULES)
+def test_fields(spark, rule):
+    rows = [(1, "héllo wörld", "one two\nthree", "x"), (2, None, "only", None), (None, "", "", ""), (1, "héllo wörld", "one two\nthree", "x"), (3, "ab", "cd" * 400, "😀")]
+    docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, title string, body string, tail string, n_tokens int").coalesce(1)
+    got = sorted(map(str, (tuple(r) for r in count_field_tokens(docs, ["title", "body", "tail"], rule=rule).collect())))
+    want = []
+    for d, *texts in rows:
+        whole = "\n".join(t or "" for t in texts)
+        sizes = [len(t or "") + (i < 2) for i, t in enumerate(texts)]
+        sections = [(sum(sizes[:i]), sum(sizes[: i + 1])) for i in range(3)]
+        tokens, crossing = brute(whole, sections, rule)
+        want += [(d, f, *sections[i], tokens[i], crossing[i]) for i, f in enumerate(["title", "body", "tail"])]
+    assert got == sorted(map(str, want))
+    assert count_field_tokens(docs.limit(0), ["title"]).count() == 0
+
+
+def test_odd_rows(spark):
+    docs = spark.createDataFrame([(None, "one two"), (None, "one two"), (5, None)], "doc_id long, text string")
+    got = sorted(str(tuple(r)) for r in count_tokens(docs).collect())
+    assert len(got) == 3 and got[1] == got[2] and "(5, 0, 0, 0, 0, 0)" in got
