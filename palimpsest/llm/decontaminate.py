@@ -5,9 +5,9 @@ words (a packed table in the shared folder). Passages are windows of 32 words, 1
 all documents and the benchmark's own parts (weighed to count as much as all documents), gets a randomised SVD: one
 distributed pass adds up A'(A G) for a Gaussian G, from which the leading right singular vectors follow by the Nystrom
 formula (Halko, Martinsson and Tropp, 2011; Tropp et al., 2017). Coordinates are divided by the root of the singular
-value. In that space, every window whose cosine with a part of an item is high enough is a candidate. A candidate
-stands if the
-longest common subsequence of the item and the text around the window, and that of the item's answer (its last words),
+value. In that space, every window whose cosine with a part of an item is high enough is a candidate; so is, whatever its
+cosine, every place that holds RUN words of an item in a row, which makes verbatim copies certain. A candidate stands if
+the longest common subsequence of the item and the text around the window, and that of the item's answer (its last words),
 are long enough; so changed, dropped and added words do not hide a passage.
 """
 
@@ -22,13 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.columns import flat, slices
-from palimpsest.llm.shared import cut, row_key, span_hashes
+from palimpsest.llm.shared import chain, cut, row_key, span_hashes
 
 STEP = 16  # words; a window is two steps
 SLICE = 1 << 20
 #: Words in more than this share of all steps weigh nothing, unless an item's part would keep fewer than LEAST words.
 COMMON, LEAST = 0.01, 5
 ITEM_BLOCK = 2000  # items handled in one go; what is broadcast is bounded by this
+RUN = 6  # words in a row that make a candidate; an item of fewer words is one run
 CHUNK = 64  # vocabulary rows of the sketch in one shuffled row
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -76,6 +77,19 @@ class Items:
         full = [i for i, w in enumerate(words) if len(w)]
         return Items([rows[i][0] for i in full], [words[i] for i in full], vocabulary)
 
+    def runs(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By length, the hashes of the items' runs, ascending, and the item of each."""
+        found: dict[int, list[tuple[np.ndarray, int]]] = {}
+        for i, w in enumerate(self.words):
+            r = min(RUN, len(w))
+            found.setdefault(r, []).append((np.unique(chain(w.astype(np.uint64), r)), i))
+        out = {}
+        for r, own in found.items():
+            hashes, items = np.concatenate([h for h, _ in own]), np.concatenate([np.full(len(h), i) for h, i in own])
+            order = np.argsort(hashes, kind="stable")
+            out[r] = (hashes[order], items[order])
+        return out
+
     def parts(self) -> tuple[np.ndarray, list[np.ndarray]]:
         """Windows of each item, the last one up to its end: item number and words."""
         owner, found = [], []
@@ -156,6 +170,27 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[Packed]:
             yield Packed(b.column(0).slice(i, 1).flatten(), doc, place, word)
 
 
+def _run_hits(p: Packed, runs: dict[int, tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, steps and items of the runs that documents hold."""
+    docs, steps, items = [], [], []
+    for r, (known, owner) in runs.items():
+        m = len(p.word) - r + 1
+        if m <= 0:
+            continue
+        # Words that follow each other in the document, all of them of the benchmark's vocabulary.
+        whole = (p.doc[r - 1 :] == p.doc[:m]) & (p.place[r - 1 :] == p.place[:m] + r - 1)
+        at = np.flatnonzero(whole)
+        h = chain(p.word.astype(np.uint64), r)[at]
+        lo, hi = np.searchsorted(known, h), np.searchsorted(known, h, side="right")
+        n = hi - lo
+        hit = np.flatnonzero(n)
+        spot = np.repeat(at[hit], n[hit])
+        which = owner[np.repeat(lo[hit], n[hit]) + np.arange(int(n[hit].sum())) - np.repeat(np.cumsum(n[hit]) - n[hit], n[hit])]
+        docs.append(p.doc[spot]), steps.append(p.place[spot] // STEP), items.append(which)
+    z = np.zeros(0, np.int64)
+    return (np.concatenate(docs), np.concatenate(steps), np.concatenate(items)) if docs else (z, z, z)
+
+
 def _window_sums(step: np.ndarray, doc: np.ndarray, no: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Sums of ``rows`` (one for each word, in order of step) by window: step i and, if it has words, the next one."""
     first = np.flatnonzero(np.diff(step, prepend=-1))
@@ -322,25 +357,29 @@ def _find(docs, items, item_kind, id_col, text_col, rank, min_cosine, min_common
         items, idf, weighted, owner, queries = held.value
         masks = [_masks(w) for w in items.words]
         answers = [_masks(w[-answer_words:]) for w in items.words]
+        runs = items.runs()
+        first_part = np.searchsorted(owner, np.arange(len(items.words) + 1))
         for full in _unpacked(batches):
             p = full.weighing(idf)
-            if not len(p.word):
-                continue
-            step, doc, no = p.steps()
-            windows = _window_sums(step, doc, no, weighted[p.word])
-            norm = np.linalg.norm(windows, axis=1)
-            cosine = windows @ queries.T / np.maximum(norm, 1e-9)[:, None]
+            if len(p.word):
+                step, doc, no = p.steps()
+                windows = _window_sums(step, doc, no, weighted[p.word])
+                norm = np.linalg.norm(windows, axis=1)
+                cosine = windows @ queries.T / np.maximum(norm, 1e-9)[:, None]
+            else:
+                doc, no, cosine = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(owner)), np.float32)
             at, query = np.nonzero(cosine >= min_cosine)
-            value, which = cosine[at, query], owner[query]
+            d_run, s_run, i_run = _run_hits(full, runs)
+            window = doc * (1 << 40) + no
             best: dict[tuple[int, int], tuple] = {}
             bounds = np.searchsorted(full.doc, np.arange(len(p.ids) + 1))
             tried = set()
-            for w, i, c in zip(at.tolist(), which.tolist(), value.tolist()):
-                if (w, i) in tried:
+            for d, s, i in zip(np.concatenate((doc[at], d_run)).tolist(), np.concatenate((no[at], s_run)).tolist(), np.concatenate((owner[query], i_run)).tolist()):
+                if (d, s, i) in tried:
                     continue
-                tried.add((w, i))
-                d, n = int(doc[w]), len(items.words[i])
-                lo, hi = no[w] * STEP - n, (no[w] + 2) * STEP + n
+                tried.add((d, s, i))
+                n = len(items.words[i])
+                lo, hi = s * STEP - n, (s + 2) * STEP + n
                 own = slice(bounds[d], bounds[d + 1])
                 places = full.place[own]
                 region = full.word[own][np.searchsorted(places, lo) : np.searchsorted(places, hi)].tolist()
@@ -349,7 +388,9 @@ def _find(docs, items, item_kind, id_col, text_col, rank, min_cosine, min_common
                     continue
                 ending = common(answers[i], region) / min(n, answer_words)
                 if ending >= min_answer:
-                    row = (share, ending, float(c), -int(no[w]) * STEP)
+                    w = int(np.searchsorted(window, d * (1 << 40) + s))
+                    near = float(cosine[w, first_part[i] : first_part[i + 1]].max()) if w < len(window) and window[w] == d * (1 << 40) + s else 0.0
+                    row = (share, ending, near, -s * STEP)
                     best[d, i] = max(best.get((d, i), row), row)
             if best:
                 keys = list(best)

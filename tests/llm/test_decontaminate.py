@@ -67,6 +67,58 @@ def test_planted_and_clean(spark):
     assert {r.doc_id for r in kept.collect()} == {d for d, *_ in docs} - {d for d, _ in planted}
 
 
+def test_recall_against_all_windows(spark):
+    """Reworded passages: what is found against the common subsequences of every item and every window."""
+    rng = random.Random(12)
+    vocab = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9))) for _ in range(2500)]
+    common = ["the", "of", "and", "a", "in", "to"]
+    text = lambda n: [rng.choice(common) if rng.random() < 0.4 else rng.choice(vocab) for _ in range(n)]
+    items = [text(rng.randint(12, 60)) for _ in range(30)]
+    docs = []
+    for d in range(400):
+        words = text(rng.randint(20, 300))
+        if d % 2:
+            noise = rng.choice([0.0, 0.1, 0.2, 0.3])
+            leak = []
+            for w in rng.choice(items):
+                r = rng.random()
+                leak += [] if r < noise / 3 else [rng.choice(vocab)] if r < 2 * noise / 3 else [rng.choice(vocab), w] if r < noise else [w]
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = leak
+        docs.append(words)
+    whole = D.Items.of([(i, " ".join(w)) for i, w in enumerate(items)])
+    number = {h: i for i, h in enumerate(whole.vocabulary.tolist())}
+    want = set()
+    for d, words in enumerate(docs):
+        _, hashes = D.words_of(*D.flat(D.pa.array([" ".join(words)])))
+        told = [number.get(h, -1) for h in hashes.tolist()]
+        for i, item in enumerate(whole.words):
+            n, masks, answer = len(item), D._masks(item), D._masks(item[-5:])
+            for s in range(0, len(told), D.STEP):
+                region = told[max(0, s - n) : s + 2 * D.STEP + n]
+                if D.common(masks, region) / n >= 0.7 and D.common(answer, region) / min(n, 5) >= 0.6:
+                    want.add((d, i))
+                    break
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in D.find_contaminated(df, bench).collect()}
+    assert len(want) > 150 and got <= want
+    recall = len(got) / len(want)
+    print(f"recall {recall:.4f} of {len(want)}")
+    assert recall >= 0.95
+
+
+def test_verbatim_runs_need_no_cosine(spark):
+    """Items of common words only, which weigh next to nothing, are found where they stand word for word."""
+    rng = random.Random(2)
+    common = ["the", "of", "and", "a", "in", "to", "is", "it"]
+    text = lambda n: " ".join(rng.choices(common, k=n))
+    items = [(i, text(n)) for i, n in enumerate((14, 20, 33))] + [(3, "rare words")]
+    rows = [(d, text(200)) for d in range(40)] + [(100 + i, f"{text(90)} {t} {text(50)}") for i, t in items]
+    got = D.find_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), min_cosine=2.0).collect()
+    assert {(100 + i, i) for i, _ in items} <= {(r.doc_id, r.item_id) for r in got}
+
+
 def test_odd_rows(spark):
     docs, items, _ = corpus()
     leak = items[3][1]
