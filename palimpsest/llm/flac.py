@@ -476,6 +476,30 @@ BLOCKS = "array<struct<sample_offset:long,n_samples:long,pcm:binary>>"
 _BLOCK = pa.struct([("sample_offset", pa.int64()), ("n_samples", pa.int64()), ("pcm", pa.binary())])
 
 
+def _pcm(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """Batches that end with column ``media``, and behind it status, n_samples and blocks."""
+    for b in slices(batches, "media", SLICE):
+        column = b.column(b.num_columns - 1)
+        offsets, data = flat(column)
+        null = column.is_null().to_numpy(zero_copy_only=False)
+        there = np.flatnonzero(~null)
+        # Null streams take no bytes, so the others stay in one piece.
+        samples, to, told = decode_each(data, np.concatenate((offsets[:-1][there], offsets[-1:])))
+        n = np.zeros(b.num_rows, np.int64)
+        n[there] = np.diff(to)
+        status = np.full(b.num_rows, "null", dtype=object)
+        status[there] = told
+        blocks = -(-n // block)
+        row = np.repeat(np.arange(b.num_rows), blocks)
+        first = np.concatenate(([0], np.cumsum(blocks)))
+        no = np.arange(len(row)) - first[row]
+        size = np.minimum(block, n[row] - no * block)
+        ends = np.concatenate(([0], np.cumsum(size)))
+        pcm = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(samples.tobytes())])
+        made = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.StructArray.from_arrays([pa.array(no * block), pa.array(size), pcm], fields=list(_BLOCK)))
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(status), pa.string()), pa.array(n), made], names=[*b.schema.names, "status", "n_samples", "blocks"])
+
+
 def decode_media(media: DataFrame, *, block: int = PCM_BLOCK) -> DataFrame:
     """The streams of column ``media`` as PCM: every other column, and ``status`` ("ok", "null" or why a stream is broken),
     ``n_samples`` and ``blocks``, each with its sample_offset, n_samples and pcm (8 bits unsigned).
@@ -483,37 +507,9 @@ def decode_media(media: DataFrame, *, block: int = PCM_BLOCK) -> DataFrame:
     A reader that seeks sample s opens the block with the greatest sample_offset <= s, which is number s div ``block``.
     Null and broken streams have no block and end no job; equal rows give equal rows; an empty table gives none.
     """
-    others = [c for c in media.columns if c != "media"]
-    place = len(others)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "media", SLICE):
-            column = b.column(place)
-            offsets, data = flat(column)
-            null = column.is_null().to_numpy(zero_copy_only=False)
-            there = np.flatnonzero(~null)
-            if null.any():  # null streams take no bytes, so the others stay in one piece
-                kept = np.concatenate((offsets[:-1][there], offsets[-1:]))
-            else:
-                kept = offsets
-            samples, to, told = decode_each(data, kept)
-            n = np.zeros(b.num_rows, np.int64)
-            n[there] = np.diff(to)
-            status = np.full(b.num_rows, "null", dtype=object)
-            status[there] = told
-            blocks = -(-n // block)
-            row = np.repeat(np.arange(b.num_rows), blocks)
-            first = np.concatenate(([0], np.cumsum(blocks)))
-            no = np.arange(len(row)) - first[row]
-            size = np.minimum(block, n[row] - no * block)
-            ends = np.concatenate(([0], np.cumsum(size)))
-            pcm = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(samples.tobytes())])
-            made = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.StructArray.from_arrays([pa.array(no * block), pa.array(size), pcm], fields=list(_BLOCK)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:place], column, pa.array(list(status), pa.string()), pa.array(n), made], names=[*others, "media", "status", "n_samples", "blocks"])
-
-    rows = media.select(*others, "media")
+    rows = media.select(*[c for c in media.columns if c != "media"], "media")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{fields}, status string, n_samples long, blocks {BLOCKS}")
+    return rows.mapInArrow(lambda batches: _pcm(batches, block), f"{fields}, status string, n_samples long, blocks {BLOCKS}")
 
 
 def pcm_blocks(decoded: DataFrame) -> DataFrame:
@@ -521,12 +517,13 @@ def pcm_blocks(decoded: DataFrame) -> DataFrame:
     return decoded.select("doc_id", F.posexplode("blocks").alias("block_no", "b")).select("doc_id", F.col("block_no").cast("long").alias("block_no"), "b.sample_offset", "b.n_samples", "b.pcm")
 
 
-def media_features(decoded: DataFrame) -> DataFrame:
-    """Digests and features of each stream, from its PCM blocks: peak, mean, root mean square and the share of sign
-    changes. Null and broken streams have the values of no samples and their ``status`` as the feature."""
+def media_features(media: DataFrame, *, block: int = PCM_BLOCK) -> DataFrame:
+    """Digests and features of each stream of ``encode_media``, from the PCM blocks that ``decode_media`` makes of it: peak,
+    mean, root mean square and the share of sign changes. Blocks are made and read in one task, so that they need not
+    leave it. Null and broken streams have the values of no samples and their ``status`` as the feature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _pcm(batches, block):
             lists = b.column(5)
             pcm = lists.flatten().field("pcm")
             first = lists.offsets.to_numpy() - lists.offsets[0].as_py()
@@ -563,7 +560,7 @@ def media_features(decoded: DataFrame) -> DataFrame:
                 names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_blocks"],
             )
 
-    kind = decoded.schema["doc_id"].dataType.simpleString()
-    return decoded.select("doc_id", "n_bytes", "media", "status", "n_samples", "blocks").mapInArrow(
+    kind = media.schema["doc_id"].dataType.simpleString()
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(
         run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_blocks long"
     )
