@@ -202,7 +202,7 @@ def _filed(docs: DataFrame, frequent: np.ndarray, times: np.ndarray, limit: int,
                 at = np.minimum(np.searchsorted(often, grams), len(often) - 1)
                 known = often[at] == grams
                 key = np.where(known, np.uint64(1 << 63) | rank[at], key)
-                parts = np.where(known, -(-times[at] // (4 * cell)), 1)
+                parts = np.where(known, -(-times[at] // cell), 1)
             part = np.where(parts > 1, (cls[owner] & 0x7FFFFFFF) % parts, -1)
             by = np.lexsort((key, owner))
             grams, doc, part = grams[by], owner[by], part[by]
@@ -224,14 +224,19 @@ def _filed(docs: DataFrame, frequent: np.ndarray, times: np.ndarray, limit: int,
                 who.append(np.full(len(found), i))
                 places.append(np.full(len(found), -1))
                 dealt.append(np.full(len(found), -1))
-            who = np.concatenate(who)
+            who, dealt = np.concatenate(who), np.concatenate(dealt)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(cls[who]), pa.array(size[who].astype(np.int32)), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(dealt).astype(np.int32))], names=["token", "cls", "n", "pos", "part"]
+                [pa.array(_salted(np.concatenate(keys), dealt).view(np.int64)), pa.array(cls[who]), pa.array(size[who].astype(np.int32)), pa.array(np.concatenate(places).astype(np.int32)), pa.array(dealt.astype(np.int32))], names=["token", "cls", "n", "pos", "part"]
             )
 
     return docs.mapInArrow(run, "token long, cls long, n int, pos int, part int")
 
 
+def _salted(token: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """The token of a part of a list, and from that the whole list's again; a list in one keeps its token."""
+    return np.where(part >= 0, token.view(np.uint64) ^ mix64((part + 1).astype(np.uint64)), token.view(np.uint64))
+
+
 def may_link(n: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Whether sets of sizes n and m can link, given that the first shingle they share is at places i and j."""
     low, high = np.minimum(n, m), np.maximum(n, m)
@@ -294,7 +299,7 @@ def _paired(filed: DataFrame, how: str) -> DataFrame:
                 made.append(pairs(begin[of[i]], i))
                 if len(i):
                     # A part's rows carry the token of the whole list.
-                    made.append(pa.RecordBatch.from_arrays([pa.array(cls[i]), pa.nulls(len(i), pa.int64()), pa.array(more[0][keep][i].astype(np.int64)), pa.array(n[i]), pa.array(pos[i])], names=["a", "b", "token", "n", "pos"]))
+                    made.append(pa.RecordBatch.from_arrays([pa.array(cls[i]), pa.nulls(len(i), pa.int64()), pa.array(_salted(token[i], part[i]).view(np.int64)), pa.array(n[i]), pa.array(pos[i])], names=["a", "b", "token", "n", "pos"]))
             elif how == "some":
                 i = np.arange(len(token))
                 made.append(pairs(begin[of] + (token % size), i))
@@ -311,8 +316,7 @@ def _paired(filed: DataFrame, how: str) -> DataFrame:
             yield from (m for m in made if m is not None)
 
     parts = int(filed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    more = {"first": ["whole"], "some": [], "all": ["sketch"]}[how]
-    dealt = filed.select("token", "cls", "n", "pos", "root", "part", *more).repartition(parts, "token").sortWithinPartitions("token", "cls")
+    dealt = filed.select("token", "cls", "n", "pos", "root", "part", *(["sketch"] if how == "all" else [])).repartition(parts, "token").sortWithinPartitions("token", "cls")
     return dealt.mapInArrow(run, "a long, b long, token long, n int, pos int")
 
 
@@ -398,7 +402,7 @@ def link_classes(docs: DataFrame, sketches: DataFrame, cell: int = CELL) -> Data
     ``sketches``: (cls, n, sketch) of every class with members.
     """
     frequent, times, length = _frequent(docs)
-    filed = _filed(docs, frequent, times, boundary(length), cell).withColumns({"root": F.col("cls"), "whole": F.col("token"), "token": F.when(F.col("part") < 0, F.col("token")).otherwise(F.xxhash64("token", "part"))})
+    filed = _filed(docs, frequent, times, boundary(length), cell).withColumn("root", F.col("cls"))
     first = cut(_paired(filed, "first"))
     links = cut(_linked(docs, cut(_screened(first.where("b IS NOT NULL").select("a", "b").distinct(), sketches))))
     long = first.where("b IS NULL").select("token", F.col("a").alias("cls"), "n", "pos")
@@ -408,7 +412,7 @@ def link_classes(docs: DataFrame, sketches: DataFrame, cell: int = CELL) -> Data
         roots = components(links)
         rooted = long.join(roots, F.col("cls") == F.col("node"), "left").select("token", "cls", "n", "pos", F.coalesce("root", "cls").alias("root"))
         # Only lists of different roots go on. Written, so that adaptive execution can split the join at a long list.
-        size = F.ceil(F.count("*") / (cell if how == "all" else 4 * cell)).alias("blocks")
+        size = F.ceil(F.count("*") / cell).alias("blocks")
         mixed = cut(rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), size).where("lo < hi").select("token", "blocks"))
         rooted = rooted.distinct().join(mixed, "token")
         if how == "all":  # their members' sketches go with them
