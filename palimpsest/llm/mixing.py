@@ -39,14 +39,17 @@ def mix_sources(
     cut inside a document if need be, so a source's words taken equal its rounded target.
 
     Defined cases: null text has size 0 and takes 0; null source is a source of its own; a source without words has
-    target 0; equal keys are ordered by id and size, so equal rows may swap but not their sum; an empty table gives
+    target 0; rows without an id get the key of their text; equal keys are ordered by id and size, so equal rows may swap but not
+    their sum; an empty table gives
     no rows. With ``carry`` the input row comes along as struct ``row``; otherwise only the columns below are
     returned, so other columns may have any name.
 
     Returns doc_id, size, source_size, target, passes, taken (and ``row``).
     """
     buckets = max(1, round(docs.count() ** 0.5))
-    key = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, KEY_DIGITS), 16, 10).cast("long")
+    # Rows without an id are told apart by their text, so that they do not share one key and with it one bucket.
+    named = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    key = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), named)), 1, KEY_DIGITS), 16, 10).cast("long")
     sized = docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null")).alias("src"),

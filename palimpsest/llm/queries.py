@@ -29,7 +29,7 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op5_mix_sources"] = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT AS key
+         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, '')))), 1, 13))::BIGINT AS key
   FROM documents),
 ranked AS (
   SELECT source, source_size, row_number() OVER (ORDER BY source COLLATE "binary" NULLS LAST) - 1 AS k
