@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.columns import flat, slices
-from palimpsest.llm.shared import chain, cut, row_key, span_hashes
+from palimpsest.llm.shared import chain, cut, release, row_key, span_hashes
 
 STEP = 16  # words; a window is two steps
 SLICE = 1 << 20
@@ -333,6 +333,7 @@ def find_contaminated(
     query = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
     blocks = max(1, -(-query.count() // ITEM_BLOCK))
     found = None
+    release(docs.sparkSession)
     for k in range(blocks):
         part = query if blocks == 1 else query.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         one = _find(docs, Items.of([(r.item_id, r.text) for r in part.collect()]), query.schema["item_id"].dataType.simpleString(), id_col, text_col, rank, min_cosine, min_common, answer_words, min_answer)

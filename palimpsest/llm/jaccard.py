@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.columns import flat, slices
 from palimpsest.llm.components import components
-from palimpsest.llm.shared import chain, cut, mix64, span_hashes, word_spans
+from palimpsest.llm.shared import chain, cut, mix64, release, span_hashes, word_spans
 
 SHINGLE = 5
 NEED, OF = 80, 100  # 100 * intersection >= 80 * union
@@ -404,11 +404,13 @@ def link_classes(docs: DataFrame, sketches: DataFrame, cell: int = CELL) -> Data
     frequent, times, length = _frequent(docs)
     filed = _filed(docs, frequent, times, boundary(length), cell).withColumn("root", F.col("cls"))
     first = cut(_paired(filed, "first"))
+    release(docs.sparkSession)  # the lists are done with
     links = cut(_linked(docs, cut(_screened(first.where("b IS NOT NULL").select("a", "b").distinct(), sketches))))
     long = first.where("b IS NULL").select("token", F.col("a").alias("cls"), "n", "pos")
     if long.isEmpty():
         return links
     for how in ("some", "all"):
+        release(docs.sparkSession)
         roots = components(links)
         rooted = long.join(roots, F.col("cls") == F.col("node"), "left").select("token", "cls", "n", "pos", F.coalesce("root", "cls").alias("root"))
         # Only lists of different roots go on. Written, so that adaptive execution can split the join at a long list.
@@ -437,6 +439,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Returns doc_id, n_shingles, cls (a name for the set), component_id.
     """
+    release(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     summary = cut(_summaries(slim, kind))

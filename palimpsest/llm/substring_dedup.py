@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.columns import flat, slices
-from palimpsest.llm.shared import _R, _R_INV, _power, cut, mix64, row_struct
+from palimpsest.llm.shared import _R, _R_INV, _power, cut, mix64, release, row_struct
 from palimpsest.llm.suffixes import suffix_array
 
 GRAM = 64  # bytes of an anchor
@@ -269,6 +269,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (binary) (and ``row``, ``no_text``).
     """
     spark = docs.sparkSession
+    release(spark)
     gram = min(gram, length)
     reach = length - gram
     kind = docs.schema[id_col].dataType.simpleString()
@@ -292,10 +293,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     # Written, so that the join with it is between two exchanges, which adaptive execution splits at a hot anchor.
     often = cut(distinct.groupBy("anchor").agg(F.sum("n").alias("times"), F.count("*").alias("contexts")).where("times > 1").drop("times"))
     wanted = distinct.join(often, "anchor")
-    spots = cut(found.join(wanted, ["anchor", "context"]).withColumn("sends", (spot == F.col("one")) & (F.col("contexts") > 1)).drop("one"))
+    several, hot_one = F.col("contexts") > 1, F.col("contexts") > hot
+    spots = cut(found.join(wanted, ["anchor", "context"]).select("key", "place", "anchor", "context", (F.col("n") > 1).alias("many"), several.alias("several"), ((spot == F.col("one")) & several).alias("sends"), hot_one.alias("hot")))
     # All windows of a context with two places are repeated.
-    whole = spots.where("n > 1").select("key", (F.col("place") - reach).alias("lo"), (F.col("place") + length).alias("hi"))
-    sends = F.struct("place", "anchor", "context", (F.col("n") > 1).alias("many"), (F.col("contexts") > hot).alias("hot"))
+    whole = spots.where("many").select("key", (F.col("place") - reach).alias("lo"), (F.col("place") + length).alias("hi"))
+    sends = F.struct("place", "anchor", "context", "many", "hot")
     by_doc = spots.where("sends").groupBy("key").agg(F.collect_set(sends).alias("spots"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,6 +345,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     shard = F.when(F.col("hot"), F.xxhash64("context")).otherwise(F.col("anchor"))
     solved = cut(pieces.withColumn("shard", shard).repartition(parts, "shard").drop("shard").sortWithinPartitions("anchor", "core", "context").mapInArrow(first, f"{FOUND}, many boolean, left binary, right binary"))
+    release(spark)  # the texts and contexts that were dealt out are done with
     told = solved.where("low IS NOT NULL").select(*_names(FOUND))
     waiting = solved.where("low IS NULL")
     if not waiting.isEmpty():
@@ -350,7 +353,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         counted, groups = _thinned(start, hot)
         told = told.unionByName(counted).unionByName(groups.repartition(parts, "anchor", "core").sortWithinPartitions("anchor", "core", "context").mapInArrow(later, FOUND))
         told = told.groupBy("anchor", "context").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    part = spots.where("n = 1 AND contexts > 1").join(told, ["anchor", "context"]).select("key", (F.col("place") - F.col("high")).alias("lo"), (F.col("place") - F.col("low") + length).alias("hi"))
+    part = spots.where("several AND NOT many").join(told, ["anchor", "context"]).select("key", (F.col("place") - F.col("high")).alias("lo"), (F.col("place") - F.col("low") + length).alias("hi"))
     cuts = part.unionByName(whole).groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("cuts"))
     joined = named.join(cuts, "key", "left").select("doc_id", "text", "cuts", *brought)
 
