@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,9 +18,10 @@ from palimpsest.functions.rules import is_symbol_name, kind, mapped
 
 NODE = "node_id int, parent_id int, depth int, pos int, node_type string, key string, op string, value string, value_type string, line int, start_off int, end_off int, path string, error string, top_id int, ancestors array<string>"
 
+# What stands before a token belongs to its match, and the last alternative takes any character, so no text fails.
 TOKEN = re.compile(
-    r"""(?P<skip>[\s;,`\ufeff]+|\#[^\n]*) | (?P<string>"(?:[^"\\]|\\.)*") | (?P<inline>@\[[^\]]*\]) | (?P<open>\{) | (?P<close>\})
-      | (?P<op>\?=|<=|>=|!=|==|=|<|>) | (?P<atom>[^\s{}=<>!?"\#;,`]+|[!?])""",
+    r"""(?:[\s;,`\ufeff]+ | \#[^\n]*)* (?:(?P<atom>(?!@\[[^\]]*\])[^\s{}=<>!?"\#;,`]+ | [!?](?!=)) | (?P<op>\?=|<=|>=|!=|==|=|<|>) | (?P<open>\{) | (?P<close>\})
+      | (?P<string>"(?:[^"\\]|\\[^\n])*") | (?P<inline>@\[[^\]]*\]) | (?P<bad>[\s\S]) | \Z)""",
     re.X,
 )
 NUMBER = re.compile(r"-?\d+(\.\d+)?%?$")
@@ -63,16 +65,18 @@ def nodes_of(text: str) -> Iterator[list]:
     def error(what: str) -> list:
         return [rows, stack[-1][0], stack[-1][2] + 1, -1, "error", None, None, None, None, line, at, at, stack[-1][1], what, *within()]
 
-    while at < len(text):
-        m = TOKEN.match(text, at)
-        if m is None:
-            yield error("unclosed string")
-            rows, at = rows + 1, at + 1
-            continue
-        group, token = m.lastgroup, m.group()
+    for m in TOKEN.finditer(text):
+        group = m.lastgroup
+        if group is None:
+            break
+        token = m.group(group)
+        at = m.end() - len(token)
         line += text.count("\n", line_at, at)
         line_at = at
-        if group == "op":
+        if group == "bad":
+            yield error("unclosed string")
+            rows += 1
+        elif group == "op":
             if waiting is None:
                 yield error(f"operator {token} without key")
                 rows += 1
@@ -98,7 +102,7 @@ def nodes_of(text: str) -> Iterator[list]:
                 done = stack.pop()[5]
                 done[11] = m.end()
                 yield done
-        elif group != "skip":
+        else:
             now = (token, group, at, line)
             if waiting is not None and op is not None:
                 key = waiting[0].strip('"')
@@ -111,7 +115,6 @@ def nodes_of(text: str) -> Iterator[list]:
                     yield bare(waiting)
                     rows += 1
                 waiting = now
-        at = m.end()
     if waiting is not None:
         yield bare(waiting)
         rows += 1
@@ -131,24 +134,26 @@ def nodes(contents: DataFrame, key: str = "digest", text: str = "text") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = []
+        owner: list = []
         key_kind = None
 
-        def out() -> pa.RecordBatch:
-            columns = list(zip(*held))
-            return pa.RecordBatch.from_arrays([pa.array(list(columns[0]), key_kind), *(pa.array(list(c), t) for c, t in zip(columns[1:], kinds))], names=[key, *names])
+        def out(rows: list[list], keys: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys, key_kind), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=[key, *names])
 
         for b in batches:
             key_kind = b.column(0).type
-            for k, t in zip(b.column(0), b.column(1)):
-                if t.as_py() is None:
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if t is None:
                     continue
-                for row in nodes_of(t.as_py()):
-                    held.append([k.as_py(), *row])
+                found = nodes_of(t)
+                while some := list(islice(found, BATCH)):  # a long text leaves in pieces
+                    held += some
+                    owner += [k] * len(some)
                     if len(held) >= BATCH:
-                        yield out()
-                        held.clear()
+                        yield out(held, owner)
+                        held, owner = [], []
         if held:
-            yield out()
+            yield out(held, owner)
 
     key_type = contents.schema[key].dataType.simpleString()
     return contents.select(key, text).mapInArrow(run, f"{key} {key_type}, {NODE}")
