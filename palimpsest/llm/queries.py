@@ -1,4 +1,4 @@
-"""The ten operators applied to their whole tables, with production parameters, and SQL where SQL can say it."""
+"""The operators applied to their whole tables, with production parameters, and SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -140,3 +140,57 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.substring_dedup import digest, remove_repeats
 
     return digest(remove_repeats(table(spark, sf_dir, "documents")))
+
+
+@query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all embeddings, entries filtered by segment-mean bounds."""
+    from palimpsest.llm.vector_codes import coded_table
+
+    return coded_table(table(spark, sf_dir, "embeddings"))
+
+
+def _assigned(k: int) -> str:
+    return f"""
+a{k} AS (
+  SELECT p.vec_id, p.part, min_by(b.entry, (d.dist, b.entry)) AS entry, min(d.dist) AS dist
+  FROM parts p JOIN book{k} b USING (part),
+       LATERAL (SELECT (p.x1 - b.x1) ** 2 + (p.x2 - b.x2) ** 2 + (p.x3 - b.x3) ** 2 + (p.x4 - b.x4) ** 2 AS dist) d
+  GROUP BY p.vec_id, p.part)"""
+
+
+def _moved(k: int) -> str:
+    mean = ", ".join(f"coalesce(floor(m.s{i}::DOUBLE / m.n)::BIGINT, b.x{i}) AS x{i}" for i in range(1, 5))
+    sums = ", ".join(f"sum(p.x{i}) AS s{i}" for i in range(1, 5))
+    return f"""
+book{k + 1} AS (
+  SELECT b.part, b.entry, {mean}
+  FROM book{k} b LEFT JOIN (
+    SELECT part, entry, count(*) AS n, {sums} FROM parts p JOIN a{k} USING (vec_id, part) GROUP BY part, entry) m USING (part, entry))"""
+
+
+ORACLES["op11_vector_codes"] = f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (
+  SELECT vec_id, part, q[part * 4 + 1] AS x1, q[part * 4 + 2] AS x2, q[part * 4 + 3] AS x3, q[part * 4 + 4] AS x4
+  FROM kept, (SELECT unnest(range(16)) AS part)),
+book0 AS (
+  SELECT part, entry, x1, x2, x3, x4
+  FROM parts JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept) USING (vec_id) WHERE entry < 64),
+{_assigned(0)}, {_moved(0)}, {_assigned(1)}, {_moved(1)}, {_assigned(2)},
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', entry::INT), '' ORDER BY part) AS code, sum(dist)::BIGINT AS error FROM a2 GROUP BY vec_id)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+       (SELECT sha256(string_agg(concat_ws(',', x1, x2, x3, x4), ',' ORDER BY part, entry)) FROM book2) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)
+"""
+
+
+@query
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose SimHash fingerprints differ in three bits or fewer."""
+    from palimpsest.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
