@@ -52,19 +52,22 @@ def sets_of(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarr
     doc = np.searchsorted(offsets[:-1] + np.arange(n), start, side="right") - 1
     words = span_hashes(spaced, start, end)
     count = np.bincount(doc, minlength=n)
-    grams = chain(words, SHINGLE)
-    whole = doc[: len(grams)] == doc[SHINGLE - 1 :] if len(grams) else np.zeros(0, bool)
-    owner, grams = doc[: len(grams)][whole], grams[whole]
     first = np.cumsum(count) - count
-    for k in range(1, SHINGLE):  # documents of fewer words: the whole sequence
+    # One place for each shingle, in the documents' order; documents of fewer words: the whole sequence.
+    places = np.where(count >= SHINGLE, count - SHINGLE + 1, count > 0)
+    to = np.cumsum(places)
+    owner = np.repeat(np.arange(n), places)
+    grams = chain(words, SHINGLE)
+    grams = np.concatenate((grams, np.zeros(SHINGLE, dtype=np.uint64)))[np.minimum(first[owner] + np.arange(len(owner)) - (to - places)[owner], len(grams))]
+    for k in range(1, SHINGLE):
         few = np.flatnonzero(count == k)
         if len(few):
             h = np.full(len(few), np.uint64(k))
             for i in range(k):
                 h = mix64(h * np.uint64(0xD6E8FEB86659FD93) + words[first[few] + i])
-            owner, grams = np.concatenate((owner, few)), np.concatenate((grams, h))
-    order = np.lexsort((grams, owner))
-    owner, grams = owner[order], grams[order]
+            grams[to[few] - 1] = h
+    for a, b in zip((to - places).tolist(), to.tolist()):  # far faster than one sort by two keys
+        grams[a:b].sort()
     new = np.ones(len(grams), dtype=bool)
     new[1:] = (owner[1:] != owner[:-1]) | (grams[1:] != grams[:-1])
     owner, grams = owner[new], grams[new]
@@ -204,7 +207,8 @@ def _filed(docs: DataFrame, frequent: np.ndarray, times: np.ndarray, limit: int,
                 key = np.where(known, np.uint64(1 << 63) | rank[at], key)
                 parts = np.where(known, -(-times[at] // cell), 1)
             part = np.where(parts > 1, (cls[owner] & 0x7FFFFFFF) % parts, -1)
-            by = np.lexsort((key, owner))
+            to = np.cumsum(size)
+            by = np.concatenate([np.zeros(0, np.int64), *(a + np.argsort(key[a:b]) for a, b in zip((to - size).tolist(), to.tolist()))])
             grams, doc, part = grams[by], owner[by], part[by]
             first = np.cumsum(size) - size
             pos = np.arange(len(doc)) - first[doc]
