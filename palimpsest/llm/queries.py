@@ -188,6 +188,14 @@ FROM coded JOIN kept USING (vec_id)
 """
 
 
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between byte-level and piece tokens of all documents."""
+    from palimpsest.llm.alignment import align_documents
+
+    return align_documents(table(spark, sf_dir, "documents"), as_digest=True)
+
+
 @query
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents whose SimHash fingerprints differ in three bits or fewer."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +29,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: like ``cut``, for tables that are large or read by columns."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files and checkpoints that nothing refers to any more. Its cleaner waits for the
     driver's garbage collection, for which a driver that only plans has little cause; here that is done between steps,
