@@ -404,9 +404,10 @@ def _find(docs, items, item_kind, id_col, text_col, rank, min_cosine, min_common
     return packed.mapInArrow(search, schema)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that hold no benchmark item, all columns kept. Rows are judged by their own text, whatever other
-    rows have the same id, or none."""
-    named = docs.withColumn("__row", row_key(docs))
-    hits = find_contaminated(named, benchmark, id_col="__row", **options).select(F.col("doc_id").alias("__row")).distinct()
-    return named.join(hits, "__row", "left_anti").drop("__row")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
+    """The documents that hold no benchmark item, all columns kept, whatever their names. Rows are judged by their own text,
+    whatever other rows have the same id, or none; null and empty texts hold nothing and stay; equal rows go or stay
+    together; without items all rows stay; an empty table gives none."""
+    named = docs.select(F.struct(*docs.columns).alias("row"), row_key(docs).alias("key"), F.col(text_col).alias("text"))
+    hits = find_contaminated(named, benchmark, id_col="key", text_col="text", **options).select(F.col("doc_id").alias("key")).distinct()
+    return named.join(hits, "key", "left_anti").select("row.*")

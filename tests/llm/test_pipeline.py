@@ -123,12 +123,39 @@ def test_passages_of_just_over_50_words(spark, tmp_path):
 
 
 def test_clashing_columns(spark, tmp_path):
+    """Every stage returns all columns of its input with their values, whatever their names."""
     rng = random.Random(3)
     words = ["".join(rng.choices("abcdefghilmnop", k=rng.randint(3, 9))) for _ in range(800)]
-    names = ["score", "lang_pred", "size", "source_size", "target", "passes", "taken", "row", "own", "key", "kept", "cls", "component_id", "__row", "cuts", "n_removed", "no_text", "anchor", "words"]
-    rows = [(i, " ".join(rng.choices(words, k=60)), "en", "s", 0, *range(len(names))) for i in range(12)]
+    names = ["score", "lang_pred", "size", "source_size", "target", "passes", "taken", "row", "own", "key", "kept", "cls", "component_id", "__row", "__place", "place", "n", "least"]
+    names += ["cuts", "n_removed", "no_text", "anchor", "words", "named", "hits", "id", "no_id", "n_shingles"]
+    rows = [(i, " ".join(rng.choices(words, k=60)), "en", "s", 0, *range(100 * i, 100 * i + len(names))) for i in range(12)]
+    rows.append((20, rows[5][1], *rows[5][2:]))
     docs = spark.createDataFrame(rows, DOCUMENTS + "".join(f", `{n}` int" for n in names)).repartition(2)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, rows[0][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    given = {r[0]: r for r in rows}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert set(docs.columns) <= set(out.columns), name
+        got = out.select(*[f"`{c}`" for c in docs.columns]).collect()
+        assert len(got) >= 11, name
+        for r in got:
+            if name == "repeats" and r.doc_id in (5, 20):
+                assert r.text == "" and tuple(r)[2:4] + tuple(r)[5:] == given[r.doc_id][2:4] + given[r.doc_id][5:]
+            else:
+                assert tuple(r) == given[r.doc_id], name
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {r.doc_id for r in got} <= set(range(1, 12)) and got and all((r.score, r.taken, r.mix_size) == (0, 6, 60) for r in got)
+    assert {r.doc_id for r in got} <= set(range(1, 12)) and got and all((r.score, r.taken, r.mix_size) == (100 * r.doc_id, 100 * r.doc_id + 6, 60) for r in got)
+
+
+def test_unknown_languages_go(spark, tmp_path):
+    rng = random.Random(4)
+    letters = {"en": "abcdefghilmnop", "fr": "éèaeiouqrstçz", "de": "äöüßkwvxnerst", "es": "ñóíáúlmdoaey"}
+    words = {lang: ["".join(rng.choices(own, k=rng.randint(3, 9))) for _ in range(400)] for lang, own in letters.items()}
+    langs = sorted(letters)
+    rows = [(i, " ".join(rng.choices(words[langs[i % 4]], k=rng.choice([12, 40, 300]))), langs[i % 4], "s", 0) for i in range(200)]
+    foreign = ["".join(rng.choices("абвгдежзиклмнопрст", k=6)) for _ in range(60)]
+    rows += [(300, " ".join(foreign), None, "s", 0), (301, " ".join(foreign[:12]) * 30, None, "s", 0)]
+    rows += [(302, foreign[0], None, "s", 0), (303, "12 34", None, "s", 0), (304, None, None, "s", 0)]
+    docs = spark.createDataFrame(rows, DOCUMENTS)
+    assert {r.doc_id for r in corpus_pipeline.known_language(spark, docs, str(tmp_path)).collect()} == {*range(200), 302}
