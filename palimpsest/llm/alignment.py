@@ -5,8 +5,9 @@ The alignment is relational: token lists are exploded with their positions, runn
 equality on key and place finds the cuts, a running count of cuts numbers the groups, and every link begins where one
 of its two tokens begins, so the last token begun on either side names it.
 
-Neither tokenizer joins a letter with white space that follows it, so texts are cut there into segments beforehand (the
-model file is asked whether that holds), and a segment that occurs a thousand times is encoded and aligned once. What a
+Neither tokenizer joins a letter with white space or a stop that follows it, so texts are cut there into segments
+beforehand (the model file is asked whether that holds), and a segment that occurs a thousand times is encoded and
+aligned once. What a
 document has of segments is looked up block by block: documents are dealt into blocks of some bytes, of which each
 needs only the values of its own segments. A document that cannot be put together from segments is a segment itself.
 """
@@ -25,17 +26,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import release, written
+from palimpsest.llm.shared import discard, release, written
 from palimpsest.llm.tokens import _local
 
 A_FILE = "/opt/tokenizers/byte_bpe_50k.json"
 B_FILE = "/opt/tokenizers/piece_bpe_32k.model"
-BLOCK = 24 << 20  # bytes of text whose segments are looked up together
+BLOCK = 32 << 20  # bytes of text whose segments are looked up together
 HELD = 300_000  # segments that a task counts, or remembers as exact, before it sends or forgets them
 BATCH = 2_000  # segments encoded at once
+SMALL = 1 << 20  # pairs of ids of at most so many rows are broadcast; larger tables are joined by a shuffle
 
-#: A segment goes on over white space unless a letter, digit or ASCII sign stands before a space or line feed.
-SEGMENT = re.compile(r".(?:[^ \n]++|(?<![\w!-~])[ \n])*+", re.DOTALL)
+#: A segment ends before a space or line feed that stands behind a letter, digit or ASCII sign, and before a stop that
+#: stands behind a Latin letter.
+SEGMENT = re.compile(r".(?:[^ \n.,;:!?*]++|(?<![\w!-~])[ \n]|(?<![A-Za-zÀ-ÖØ-öø-ɏ])[.,;:!?*])*+", re.DOTALL)
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -63,22 +66,25 @@ class Pair:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.space = self.b.piece_to_id("▁")
-        #: Whether texts may be cut before a space or line feed.
-        self.cuts = not any(re.search("[^▁]▁|\n", p) for i, p in enumerate(pieces) if not self.b.is_byte(i)) and self.b_bytes[self.space] == b" "
+        self.feed = next(i for i in range(len(pieces)) if self.b_bytes[i] == b"\n")
+        #: Whether texts may be cut into segments: no token of B goes on where one ends.
+        crossing = re.compile(r"[^▁]▁|\n|[A-Za-zÀ-ÖØ-öø-ɏ][.,;:!?*]")
+        self.cuts = self.b_bytes[self.space] == b" " and not any(crossing.search(p) for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i)))
         # Characters up to U+024F do not combine with each other, so what holds for each of them holds for texts of them.
         fine = [c for c in map(chr, [9, 10, *range(0x20, 0x7F), *range(0xA1, 0x250)]) if self._exact(f" x{c}x")]
         self.plain = re.compile(f"[{''.join(map(re.escape, fine))}]*+")
         self.known: dict[str, bool] = {}
 
     def encode(self, segments: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids of A and of B for each segment; what a segment begins with is the space or line feed before its word."""
+        """Ids of A and of B for each segment of a text, the space or none that it begins with kept as it is."""
         a = [e.ids for e in self.a.encode_batch(segments, add_special_tokens=False)]
-        b = self.b.encode([s[1:] if s[0] == " " else s for s in segments], num_threads=1)  # B adds a space in front
+        # B puts a space in front: that of the segment, or one behind which a line feed keeps it apart.
+        b = self.b.encode([s[1:] if s[0] == " " else f"\n{s}" for s in segments], num_threads=1)
         for k, s in enumerate(segments):
             if s == " ":
                 b[k] = [self.space]
-            elif s[0] != " " and b[k][:1] == [self.space]:
-                b[k] = b[k][1:]
+            elif s[0] != " " and b[k][:2] == [self.space, self.feed]:
+                b[k] = b[k][2:]
         return list(zip(a, b))
 
     def exact(self, segment: str, a: list[int], b: list[int]) -> bool:
@@ -141,16 +147,9 @@ def align(tokens: DataFrame) -> DataFrame:
     return met.select("key", group, "start", last("a_pos"), last("a_id"), last("b_pos"), last("b_id"), F.col("a_id").isNotNull().alias("a_new"), F.col("b_id").isNotNull().alias("b_new"))
 
 
-def pair_counts(links: DataFrame, weights: DataFrame) -> DataFrame:
-    """(a_id, b_id, times, best): how many links hold each pair of ids, each key of ``links`` counted ``n`` times as
-    ``weights`` (key, n) says, and whether no other A id is linked with the B id more often."""
-    told = links.join(weights, "key").groupBy("a_id", "b_id").agg(F.sum("n").alias("times"))
-    most = told.groupBy("b_id").agg(F.max("times").alias("most"))
-    return told.join(most, "b_id").select("a_id", "b_id", "times", (F.col("times") == F.col("most")).alias("best"))
-
-
-def group_texts(links: DataFrame) -> DataFrame:
-    """(key, n_a, n_b, n_groups, n_links, groups): counts of a key's tokens, and its groups as ``a1,a2|b1;a3|b2,b3``."""
+def by_key(links: DataFrame) -> DataFrame:
+    """The links of each key in one row: key, n_a, n_b, n_groups, n_links, groups (``a1,a2|b1;a3|b2,b3``), pairs (an array of
+    a_id and b_id for each link)."""
     cut = F.col("a_new") & F.col("b_new")
     ids = {
         "a": F.concat(F.when(~cut, ",").when(F.col("grp") > 0, ";").otherwise(""), F.col("a_id")),
@@ -158,8 +157,17 @@ def group_texts(links: DataFrame) -> DataFrame:
     }
     both = [F.when(F.col(f"{s}_new"), F.struct(F.col("grp"), F.lit(s).alias("side"), F.col("start"), ids[s].alias("text"))) for s in ("a", "b")]
     pieces = F.sort_array(F.flatten(F.collect_list(F.array(*both))))
-    flags = [F.count_if(c).alias(n) for c, n in ((F.col("a_new"), "n_a"), (F.col("b_new"), "n_b"), (cut, "n_groups"))]
-    return links.groupBy("key").agg(*flags, F.count("*").alias("n_links"), F.array_join(F.transform(pieces, lambda x: x["text"]), "").alias("groups"))
+    flags = [F.count_if(c).cast("int").alias(n) for c, n in ((F.col("a_new"), "n_a"), (F.col("b_new"), "n_b"), (cut, "n_groups"))]
+    pairs = F.collect_list(F.struct("a_id", "b_id")).alias("pairs")
+    return links.groupBy("key").agg(*flags, F.count("*").cast("int").alias("n_links"), F.array_join(F.transform(pieces, lambda x: x["text"]), "").alias("groups"), pairs)
+
+
+def pair_counts(pairs: DataFrame) -> DataFrame:
+    """(a_id, b_id, times, best) of rows (a_id, b_id, n): how often a pair of ids is linked, a row counted ``n`` times, and
+    whether no other A id is linked with the B id more often."""
+    told = pairs.groupBy("a_id", "b_id").agg(F.sum("n").alias("times"))
+    most = told.groupBy("b_id").agg(F.max("times").alias("most"))
+    return told.join(most, "b_id").select("a_id", "b_id", "times", (F.col("times") == F.col("most")).alias("best"))
 
 
 def align_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", a_file: str = A_FILE, b_file: str = B_FILE, block: int = BLOCK, as_digest: bool = False) -> DataFrame:
@@ -178,8 +186,7 @@ def align_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         spark.sparkContext.addFile(path)  # about two megabytes, once for each executor
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(parts, (slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block)
+    blocks = (slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block + 1
     dealt = slim.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,11 +221,15 @@ def align_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     release(spark)
     lists = held.groupBy("seg").agg(F.sum("n").alias("n")).mapInArrow(encoded, "seg string, n long, a_ids array<int>, a_lens array<int>, b_ids array<int>, b_lens array<int>")
     tokens = written(lists.withColumn("key", F.monotonically_increasing_id()))
-    links = written(align(tokens))
+    aligned = written(by_key(align(tokens)).join(tokens.select("key", "seg", "n"), "key"))
+    discard(tokens)
     release(spark)
-    pairs = written(pair_counts(links, tokens.select("key", "n")))
-    sums = links.select("key", "a_id", "b_id").join(pairs, ["a_id", "b_id"]).groupBy("key").agg(F.count_if("best").alias("n_best"), F.sum("times").alias("count_sum"))
-    values = written(tokens.select("key", "seg").join(group_texts(links), "key").join(sums, "key").drop("key"))
+    pairs = written(pair_counts(aligned.select("n", F.inline("pairs"))))
+    known = F.broadcast(pairs) if pairs.count() <= SMALL else pairs
+    each = aligned.select("key", F.inline("pairs")).join(known, ["a_id", "b_id"])
+    sums = each.groupBy("key").agg(F.count_if("best").cast("int").alias("n_best"), F.sum("times").alias("count_sum"))
+    values = written(aligned.drop("pairs", "n").join(sums, "key").drop("key"))
+    discard(aligned)
     release(spark)
     of_blocks = held.select("block", "seg").join(values, "seg")
 

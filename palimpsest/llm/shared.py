@@ -36,6 +36,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Deletes a table that ``written`` made and nothing will read again."""
+    jvm = table.sparkSession.sparkContext._jvm
+    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files and checkpoints that nothing refers to any more. Its cleaner waits for the
     driver's garbage collection, for which a driver that only plans has little cause; here that is done between steps,

@@ -66,6 +66,7 @@ ODD = [
 
 def test_odd_texts_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(A, "HELD", 40)
+    monkeypatch.setattr(A, "SMALL", 10)  # pairs are joined by a shuffle
     rows = list(enumerate(ODD)) + [(None, "a b"), (3, "a b"), (3, "a b"), (99, ODD[14])]
     same(spark, rows, block=200)
 
@@ -80,7 +81,7 @@ def test_random_texts_cut_alike():
     both, rng = A.pair(A.A_FILE, A.B_FILE), random.Random(7)
     assert both.cuts
     for _ in range(3000):
-        text = "".join(rng.choice(["a", "The", "é", "  ", " ", "\n", "\n\n", "\t", ".", "'s", "12", "日", "👍", " ", " ", "ing", "\r", "\x1c", "-", "_"]) for _ in range(rng.randint(1, 12)))
+        text = "".join(rng.choice(["a", "The", "é", "  ", " ", "\n", "\n\n", "\t", ".", "...", ",", "*x", "'s", "12", "日", "👍", " ", " ", "ing", "\r", "\x1c", "-", "_"]) for _ in range(rng.randint(1, 12)))
         found = both.segments(text)
         if both.exact(f" {text}", both.a.encode(f" {text}", add_special_tokens=False).ids, both.b.encode(text)):
             ids = both.encode(found)
@@ -95,8 +96,10 @@ def test_links_of_given_tokens(spark):
     rows = [(1, [5, 6, 7], [2, 3, 1], [8, 9], [4, 2]), (2, [1], [3], [2, 2, 2], [1, 1, 1]), (3, [], [], [], []), (4, None, None, None, None)]
     links = A.align(spark.createDataFrame(rows, "key long, a_ids array<int>, a_lens array<int>, b_ids array<int>, b_lens array<int>"))
     assert sorted((r.key, r.grp, r.start, r.a_id, r.b_id) for r in links.collect()) == [(1, 0, 0, 5, 8), (1, 0, 2, 6, 8), (1, 0, 4, 6, 9), (1, 0, 5, 7, 9), (2, 0, 0, 1, 2), (2, 0, 1, 1, 2), (2, 0, 2, 1, 2)]
-    assert {r.key: r.groups for r in A.group_texts(links).collect()} == {1: "5,6,7|8,9", 2: "1|2,2,2"}
-    counts = A.pair_counts(links, spark.createDataFrame([(1, 2), (2, 5)], "key long, n long")).collect()
+    rows = {r.key: r for r in A.by_key(links).collect()}
+    assert {k: (r.n_a, r.n_b, r.n_groups, r.n_links, r.groups) for k, r in rows.items()} == {1: (3, 2, 1, 4, "5,6,7|8,9"), 2: (1, 3, 1, 3, "1|2,2,2")}
+    weighted = [(p.a_id, p.b_id, {1: 2, 2: 5}[k]) for k, r in rows.items() for p in r.pairs]
+    counts = A.pair_counts(spark.createDataFrame(weighted, "a_id int, b_id int, n long")).collect()
     assert {(r.a_id, r.b_id): (r.times, r.best) for r in counts} == {(5, 8): (2, True), (6, 8): (2, True), (6, 9): (2, True), (7, 9): (2, True), (1, 2): (15, True)}
 
 
