@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -67,7 +68,9 @@ def bm25(docs: DataFrame, key: str, text: str, query: str, k1: float = 1.2, b: f
     Two scans, one for the counts of documents and one for the scores: each yields a document's length and its counts of
     the few query terms as columns, so postings of other terms are never made. The counts are one row, joined back.
     """
-    words = sorted(set(w for w in query.lower().split() if w))
+    words = sorted(set(re.findall("[a-z0-9]+", query.lower())))
+    if not words:
+        return docs.where("false").select(key, F.lit(0.0).alias("score"))
     low = F.lower(F.col(text))
     count = lambda w: F.regexp_count(low, F.lit(f"(?<![a-z0-9]){w}(?![a-z0-9])")).cast("long")
     listed = docs.select(F.col(key), F.regexp_count(low, F.lit("[a-z0-9]+")).cast("long").alias("len"), *[count(w).alias(f"tf{i}") for i, w in enumerate(words)])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,3 +27,10 @@ def session(app: str = "palimpsest", master: str | None = None, **conf: str) ->
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the supplied parquet tables, read through Spark whatever store ``sf_dir`` names."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for stored tables where driver and executors both see it: below the session's checkpoint folder, or
+    below the warehouse where none is set."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
