@@ -34,6 +34,7 @@ B_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 BLOCK = 32 << 20  # bytes of text whose segments are looked up together
 HELD = 300_000  # segments that a task counts, or remembers as exact, before it sends or forgets them
 BATCH = 2_000  # segments encoded at once
+WAVES = 4  # passes in which blocks are looked up, so that only the segments of a part of them are on disk at a time
 SMALL = 1 << 20  # pairs of ids of at most so many rows are broadcast; larger tables are joined by a shuffle
 
 #: A segment ends before a space or line feed that stands behind a letter, digit or ASCII sign, and before a stop that
@@ -231,8 +232,6 @@ def align_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     values = written(aligned.drop("pairs", "n").join(sums, "key").drop("key"))
     discard(aligned)
     release(spark)
-    of_blocks = held.select("block", "seg").join(values, "seg")
-
     def told(texts: pa.Table, own: pa.Table) -> pa.Table:
         both = pair(_local(a_file), _local(b_file))
         at = {s: k for k, s in enumerate(own.column("seg").to_pylist())}
@@ -252,7 +251,16 @@ def align_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     name = "groups_sha256" if as_digest else "groups"
     schema = f"doc_id {kind}, {', '.join(f'{c} long' for c in NUMBERS)}, {name} string"
-    return dealt.groupBy("block").cogroup(of_blocks.groupBy("block")).applyInArrow(told, schema)
+    done = None
+    for k in range(min(WAVES, blocks)):
+        own = lambda df: df.where(F.col("block") % WAVES == k)  # noqa: B023, E731  used at once
+        of_blocks = own(held.select("block", "seg")).join(values, "seg")
+        part = written(own(dealt).groupBy("block").cogroup(of_blocks.groupBy("block")).applyInArrow(told, schema))
+        done = part if done is None else done.unionByName(part)
+        release(spark)
+    discard(held)
+    discard(values)
+    return done
 
 
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
