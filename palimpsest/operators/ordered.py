@@ -17,18 +17,19 @@ def positions(rows: DataFrame, bucket: str, order: Sequence[str], name: str = "p
     return rows.withColumn("__i", inside).join(before, bucket).withColumn(name, (F.col("__i") + F.col("__before")).cast("long")).drop("__i", "__before")
 
 
-def near(roots: DataFrame, others: DataFrame, pos: str, before: int, after: int, width: int | None = None) -> DataFrame:
-    """Pairs of a root and another row whose position lies from ``before`` places ahead of it up to ``after`` behind.
+def near(roots: DataFrame, others: DataFrame, pos: str, before: int, after: int, width: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Pairs of a root and another row, of equal ``by``, whose position lies from ``before`` places ahead of it up to
+    ``after`` behind.
 
     A band join as an equality join: positions are cut into blocks of the band's width, and a root looks into the
     blocks that its band touches. Positions are unique, so a block has a bounded number of rows whatever the data.
     """
     width = width or before + after + 1
     low, high = F.floor((F.col(pos) - before) / width), F.floor((F.col(pos) + after) / width)
-    a = roots.select(*[F.col(c).alias(f"root_{c}") for c in roots.columns], F.explode(F.sequence(low.cast("long"), high.cast("long"))).alias("__block"))
+    a = roots.select(*[F.col(c).alias(f"root_{c}") for c in roots.columns], *by, F.explode(F.sequence(low.cast("long"), high.cast("long"))).alias("__block"))
     b = others.withColumn("__block", F.floor(F.col(pos) / width).cast("long"))
     gap = F.col(pos) - F.col(f"root_{pos}")
-    return a.join(b, "__block").where((gap >= -before) & (gap <= after) & (gap != 0)).drop("__block")
+    return a.join(b, ["__block", *by]).where((gap >= -before) & (gap <= after) & (gap != 0)).drop("__block")
 
 
 def later_counts(rows: DataFrame, group: str, time: str, root: str, child: str, bucket: str) -> DataFrame:
@@ -44,6 +45,22 @@ def later_counts(rows: DataFrame, group: str, time: str, root: str, child: str,
     return marks.withColumn("__in", own).join(beyond, [group, bucket]).where(root).withColumn("n_later", (F.col("__in") + F.col("__beyond")).cast("long")).drop("__c", "__in", "__beyond")
 
 
+def latest_before(rows: DataFrame, marks: DataFrame, group: str, time: str, value: str, span: int, name: str) -> DataFrame:
+    """Each row with the greatest ``value`` of the marks of its group whose time is less than the row's, null without one.
+
+    Times are whole numbers. As in ``later_counts``, maxima of buckets of ``span`` are carried on from bucket to bucket, and
+    inside one bucket a window looks back, so no task holds a group.
+    """
+    both = rows.withColumn("__v", F.lit(None).cast(marks.schema[value].dataType)).withColumn("__row", F.lit(True))
+    added = marks.select(F.col(group), F.col(time), F.col(value).alias("__v"), F.lit(False).alias("__row"))
+    both = both.unionByName(added, allowMissingColumns=True).withColumn("__b", F.floor(F.col(time) / span))
+    upto = Window.partitionBy(group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.groupBy(group, "__b").agg(F.max("__v").alias("__m")).select(group, "__b", F.max("__m").over(upto).alias("__before"))
+    inside = F.max("__v").over(Window.partitionBy(group, "__b").orderBy(time).rangeBetween(Window.unboundedPreceding, -1))
+    told = both.withColumn("__in", inside).where("__row").join(carried, [group, "__b"])
+    return told.withColumn(name, F.greatest("__in", "__before")).drop("__v", "__row", "__b", "__in", "__before")
+
+
 def stitch(lines: DataFrame, group: Sequence[str], order: Sequence[str], text: str, is_head: str, sep: str = " ") -> DataFrame:
     """Records of a head line and the lines up to the next one; lines before the first head are record 0."""
     record = F.sum(F.when(F.expr(is_head), 1).otherwise(0)).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))

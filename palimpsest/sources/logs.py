@@ -226,7 +226,7 @@ def actionable(rows: DataFrame, worst: int = 3, top: int = 50) -> DataFrame:
     in order of appearance. ``top`` is the report's length."""
     root = F.coalesce(F.col("is_root"), F.lit(False))
     kept = chosen(rows, worst=worst, without_children=True)
-    return kept.orderBy("priority", root.desc(), "record").limit(top)
+    return kept.orderBy("priority", root.desc(), "record", *(["file"] if "file" in rows.columns else [])).limit(top)
 
 
 def with_mod(rows: DataFrame, mods: DataFrame, path: str = "script_file") -> DataFrame:
