@@ -45,13 +45,6 @@ def state_totals(spark: SparkSession, sf: str) -> DataFrame:
     return R.state_totals(_state(spark, sf), "folder", "load_order")
 
 
-@query("SELECT * FROM (VALUES ('b.txt', 1, 'unclosed block'), ('c.txt', 0, 'not parsed'), ('d.txt', 2, 'stray }')) AS t (relpath, n_errors, first_error)")
-def unresolvable_files(spark: SparkSession, sf: str) -> DataFrame:
-    files = spark.createDataFrame([("a", "a.txt"), ("b", "b.txt"), ("c", "c.txt"), ("d", "d.txt")], "digest string, relpath string")
-    texts = spark.createDataFrame([("a", "x = 1"), ("b", "x = { y = 1"), ("c", None), ("d", "}\n}\n")], "digest string, text string")
-    return R.unresolvable(files, script.nodes(texts)).drop("digest")
-
-
 @query(f"{DEFS} SELECT load_order, file, line, price, row_number() OVER (ORDER BY {DOWN}) = 1 AS is_winner FROM def WHERE name = 7")
 def key_trace(spark: SparkSession, sf: str) -> DataFrame:
     return R.trace(_defs(spark, sf), "name", 7, ["load_order", *TIES]).select("load_order", "file", "line", "price", "is_winner")
@@ -188,12 +181,6 @@ def parse_stats(spark: SparkSession, sf: str) -> DataFrame:
     return T.tree_stats(rows, script.nodes(rows))
 
 
-@query("SELECT * FROM (VALUES ('x', 1, 6, 'stray }'), ('x', 2, 8, 'stray }'), ('y', 1, 0, 'operator = without key')) AS t (digest, line, start_off, error)")
-def parse_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([("x", "a = 1 }\n}\n}"), ("y", "= 2")], "digest string, text string")
-    return script.diagnostics(script.nodes(rows), most=2)
-
-
 @query("SELECT p_partkey AS digest, 4 + p_size % 3 AS n_nodes, 'p.list.[]' AS first_value FROM part")
 def json_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Node tables written as JSON and read back."""
@@ -209,13 +196,6 @@ def formatted(spark: SparkSession, sf: str) -> DataFrame:
     return script.printed(script.nodes(rows), indent="  ", sort_keys=True, blank_lines=True)
 
 
-@query("SELECT * FROM (VALUES ('/etc/x.txt', 'PATH_ABSOLUTE', 'error', NULL), ('common/../x.txt', 'PATH_TRAVERSAL', 'error', NULL), ('src/x.txt', 'PATH_TOPLEVEL', 'error', NULL), ('common/a_patched.txt', 'NAME_STYLE', 'warning', NULL), ('events/e.txt', 'EMPTY_CONTENT', 'error', NULL), ('events/b.txt', 'PARSE_ERROR', 'error', 1)) AS t (path, code, level, line)")
-def bundle_validation(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([("/etc/x.txt", "a = 1"), ("common/../x.txt", "a = 1"), ("src/x.txt", "a = 1"), ("common/a_patched.txt", "a = 1"), ("events/e.txt", "  "), ("events/b.txt", "a = { b"), ("events/ok.txt", "a = 1")], "path string, content string")
-    tree = script.nodes(rows.selectExpr("path AS path_of_file", "content"), "path_of_file", "content")
-    return P.validated_bundle(rows, tree)
-
-
 @query("SELECT p_partkey, CASE p_size % 12 WHEN 0 THEN 'On Actions' WHEN 11 THEN 'Traditions' WHEN 1 THEN 'Events' WHEN 2 THEN 'Common' WHEN 3 THEN 'Common' WHEN 4 THEN 'Common' WHEN 7 THEN 'Common' WHEN 8 THEN 'Common' END AS type, lower(CASE WHEN p_size % 7 = 2 THEN CASE WHEN p_size % 12 = 6 THEN 'localization' ELSE 'skip' END WHEN p_size % 7 IN (4, 6) OR p_size % 12 IN (5, 6, 9) THEN 'skip' WHEN p_size % 12 = 10 THEN 'lookups' ELSE 'script' END) AS file_type FROM part")
 def content_types(spark: SparkSession, sf: str) -> DataFrame:
     registry = {"common": "Common", "common/on_action": "On Actions", "common/culture/traditions": "Traditions", "events": "Events"}

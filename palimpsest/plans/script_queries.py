@@ -9,9 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.functions import rules
 from palimpsest.operators import names as N
-from palimpsest.operators import resolve as R
 from palimpsest.plans.registry import query
 from palimpsest.sources import lookups as L
 from palimpsest.sources import script
@@ -31,10 +29,6 @@ def _tree(rows: DataFrame, number: str, block: str) -> DataFrame:
     return script.nodes(_files(rows, number, F.expr(block)))
 
 
-def _texts(spark: SparkSession, *texts: str) -> DataFrame:
-    return spark.createDataFrame([(f"f{i}", t) for i, t in enumerate(texts)], "digest string, text string")
-
-
 # --- lookups ---------------------------------------------------------------------------------------
 
 
@@ -109,34 +103,6 @@ def lookup_titles(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- symbols, references, trees ----------------------------------------------------------------------
 
-EVENT = """namespace = test_event
-@local = 5
-test_event.0001 = {
-	type = character_event
-	trigger = { has_trait = brave NOT = { has_trait = ambitious } }
-	immediate = { trigger_event = test_event.0002 has_culture = $CULTURE$ run_scripted_effect = $EFFECT$ add_trait = "" }
-	option = { limit = { culture = norse } faith = { x = y } }
-}
-x = 5
-12 = { }
-"""
-RELIGION = "christian = { faiths = { catholic = { a = 1 } orthodox = { } b = { } } doctrine = d1 }\nempty_religion = { faiths = 3 }"
-TITLE = "e_rome = { color = { 1 2 3 } k_italy = { d_latium = { c_roma = { b_roma = { } } } 7 = { c_lost = { } } } }"
-
-
-@query("""SELECT * FROM (VALUES ('events/a.txt', 'test_event.0001', 'event', 3, NULL), ('events/a.txt', 'namespace', 'none', 0, 'x'), ('common/religion/religions/r.txt', 'christian', 'religion', 1, NULL), ('common/religion/religions/r.txt', 'empty_religion', 'religion', 2, NULL),
-  ('common/religion/religions/r.txt', 'catholic', 'faith', 1, NULL), ('common/religion/religions/r.txt', 'orthodox', 'faith', 1, NULL), ('common/landed_titles/t.txt', 'e_rome', 'title', 1, NULL), ('common/landed_titles/t.txt', 'color', 'title', 1, NULL), ('common/landed_titles/t.txt', 'k_italy', 'title', 1, NULL),
-  ('common/landed_titles/t.txt', 'd_latium', 'title', 1, NULL), ('common/landed_titles/t.txt', 'c_roma', 'title', 1, NULL), ('common/landed_titles/t.txt', 'b_roma', 'title', 1, NULL)) AS t (relpath, name, symbol_type, line, signature) WHERE name <> 'namespace'""")
-def symbol_extraction(spark: SparkSession, sf: str) -> DataFrame:
-    """Definitions of a fixture: an event file (one symbol), a religion with faiths, nested titles."""
-    files = spark.createDataFrame([("f0", "base", "events/a.txt"), ("f1", "base", "common/religion/religions/r.txt"), ("f2", "base", "common/landed_titles/t.txt")], "digest string, source string, relpath string")
-    return script.symbols(script.nodes(_texts(spark, EVENT, RELIGION, TITLE)), files).select("relpath", "name", "symbol_type", "line", "signature")
-
-
-@query("""SELECT * FROM (VALUES ('brave', 'trait', 'trigger', 5), ('ambitious', 'trait', 'trigger', 5), ('test_event.0002', 'event', 'trigger_event', 6), ('$EFFECT$', 'scripted_effect', 'run_scripted_effect', 6), ('norse', 'culture', 'limit', 7)) AS t (name, ref_type, context, line)""")
-def reference_extraction(spark: SparkSession, sf: str) -> DataFrame:
-    return script.references(script.nodes(_texts(spark, EVENT))).select("name", "ref_type", "context", "line")
-
 
 KEYS_SQL = "['has_trait', 'culture', 'trigger_event', 'cb_type', 'has_building', 'lifestyle', 'scripted_trigger']"
 
@@ -156,36 +122,6 @@ def reference_contexts(spark: SparkSession, sf: str) -> DataFrame:
     return refs.select(F.substring("name", 2, 20).cast("long").alias("p_partkey"), last.alias("key"), "name", "ref_type", "context")
 
 
-ON_ACTIONS = (
-    "on_born = { trigger = { is_alive = yes } events = { born.1 born.2 } effect = { gain = 10 } }\non_gone = { trigger = { rules = yes } events = { gone.1 } on_actions = { on_heir } effect = { clear = x } }\non_war = { events = { war.1 war.2 } }",
-    "on_born = { trigger = { is_adult = yes } events = { b.1 b.2 b.3 } random_events = { 100 = b.9 50 = b.8 } effect = { gain = 20 } }\non_gone = { events = { b.7 } on_actions = { b_special } }\non_b_only = { events = { b.6 } first_valid = { b.5 } }",
-    "on_born = { events = { c.1 } effect = { gain = 30 } }\non_war = { events = { c.2 c.3 } effect = { loss = 1 } }\non_c_only = { trigger = { t = c } events = { c.4 } fallback = { c_next } }",
-)
-
-
-@query("""SELECT * FROM (VALUES ('on_born', 'events', 'born.1,born.2,b.1,b.2,b.3,c.1', 6, 3, 2, false), ('on_born', 'random_events', '100=b.9,50=b.8', 2, 1, 1, false), ('on_born', 'trigger', 'is_adult=yes', 2, 2, 1, true), ('on_born', 'effect', 'gain=30', 3, 3, 2, true),
-  ('on_gone', 'trigger', 'rules=yes', 1, 1, 0, false), ('on_gone', 'events', 'gone.1,b.7', 2, 2, 1, false), ('on_gone', 'on_actions', 'on_heir,b_special', 2, 2, 1, false), ('on_gone', 'effect', 'clear=x', 1, 1, 0, false), ('on_war', 'events', 'war.1,war.2,c.2,c.3', 4, 2, 2, false),
-  ('on_war', 'effect', 'loss=1', 1, 1, 2, false), ('on_b_only', 'events', 'b.6', 1, 1, 1, false), ('on_b_only', 'first_valid', 'b.5', 1, 1, 1, false), ('on_c_only', 'trigger', 't=c', 1, 1, 2, false), ('on_c_only', 'events', 'c.4', 1, 1, 2, false), ('on_c_only', 'fallback', 'c_next', 1, 1, 2, false))
-  AS t (container, slot, merged, n_items, n_sources, winner, conflict)""")
-def container_slots(spark: SparkSession, sf: str) -> DataFrame:
-    """Containers of three sources merged over all ten slots; a weighted item keeps its weight."""
-    items = script.slots(script.nodes(_texts(spark, *ON_ACTIONS)), (*rules.APPENDED_SLOTS, *rules.SINGLE_SLOTS))
-    return R.merge_containers(items.withColumn("load_order", F.substring("digest", 2, 9).cast("int")), "container", ["load_order", "pos"], "item", "slot", rules.APPENDED_SLOTS)
-
-
-TRADITIONS = ("homes = { cost = 1 adv = 4 }\nwarriors = { cost = 2 }\nsailors = { cost = 3 }", "homes = { cost = 5 adv = 6 }\nnew_one = { cost = 9 }", "homes = { cost = 7 defender_advantage = 8 }\nwarriors = { prowess = 1 }")
-
-
-@query("SELECT * FROM (VALUES ('homes', 2, 2, 'cost=7,defender_advantage=8'), ('warriors', 2, 1, 'prowess=1'), ('sailors', 0, 0, 'cost=3'), ('new_one', 1, 0, 'cost=9')) AS t (name, load_order, overridden_count, text)")
-def override_fixture(spark: SparkSession, sf: str) -> DataFrame:
-    """The last of three sources wins a name, and its block comes along."""
-    tree = script.nodes(_texts(spark, *TRADITIONS))
-    files = spark.createDataFrame([(f"f{i}", i, f"common/culture/traditions/{i}.txt") for i in range(3)], "digest string, source int, relpath string")
-    won = R.winners(script.symbols(tree, files), ["name"], ["source", "line", "node_id"], ["digest"])
-    inner = tree.where("depth = 1").groupBy("digest", F.col("top_id").alias("node_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.concat_ws("=", "key", "value").alias("s")))), lambda x: x["s"]), ",").alias("text"))
-    return won.join(inner, ["digest", "node_id"]).select("name", F.col("source").alias("load_order"), "overridden_count", "text")
-
-
 @query("SELECT p_partkey AS name, sum(l)::BIGINT AS n_nodes, 6 + p_size % 3 AS want FROM (SELECT p_partkey, p_size, unnest([6 + p_size % 3]) AS l FROM part) GROUP BY p_partkey, p_size")
 def node_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Nodes of every part's block: the block, an assignment, a list of two to four values, a block with a value."""
@@ -221,13 +157,6 @@ def diff_summary(spark: SparkSession, sf: str) -> DataFrame:
     return change_summary(script.diff(*_two(spark, sf), keep=("digest",)), "digest").where("section <> 'changes'").drop("detail")
 
 
-@query("SELECT * FROM (VALUES ('a', 'same', 1, 3), ('b', 'changed', 2, 1), ('c', 'removed', 3, NULL), ('d', 'changed', 5, 2), ('e', 'added', NULL, 4)) AS t (name, change_type, old_line, new_line)")
-def file_diff(spark: SparkSession, sf: str) -> DataFrame:
-    """Top-level keys of two texts: moved text is the same, of a repeated key the last counts."""
-    old, new = "a = { x = 1 y = { 2 3 } }\nb = { x > 1 }\nc = 5\nd = 1\nd = 2", "b = { x < 1 }\nd = 1\na = { x = 1 y = { 2 3 } }\ne = { }"
-    return script.top_changes(script.nodes(_texts(spark, old)), script.nodes(_texts(spark, new)))
-
-
 @query("SELECT p_partkey AS digest, 'p = {' || chr(10) || chr(9) || 'size >= ' || p_size || chr(10) || chr(9) || 'name = \"' || p_name || '\"' || chr(10) || chr(9) || 'tags = {' || chr(10) || chr(9) || chr(9) || 'a' || chr(10) || chr(9) || chr(9) || 'b' || chr(10) || chr(9) || '}' || chr(10) || '}' AS text FROM part")
 def reprinted(spark: SparkSession, sf: str) -> DataFrame:
     """Texts in one line, parsed and printed with tabs."""
@@ -247,27 +176,3 @@ def tree_search(spark: SparkSession, sf: str) -> DataFrame:
     return N.values_in_tree(tree, "BOLT").unionByName(N.at_path(tree, "p_7.size")).select("path", "value")
 
 
-@query("SELECT * FROM (VALUES ('duplicate_key', 'a.x', 2), ('empty_block', 'b', 1), ('deprecated', 'c.old', 1), ('missing', 'b', 1), ('missing', 'c', 1)) AS t (rule, path, n)")
-def lint_tree(spark: SparkSession, sf: str) -> DataFrame:
-    """Lint rules over the node table: repeated keys, empty blocks, deprecated keys, blocks without a required key."""
-    from palimpsest.operators.lint import deprecated, duplicate_keys, empty_blocks, missing_keys
-
-    tree = script.nodes(_texts(spark, "a = { x = 1 need = y x = 2 }\nb = { }\nc = { old = 1 }"))
-    found = duplicate_keys(tree).unionByName(empty_blocks(tree)).unionByName(deprecated(tree, ["old"])).unionByName(missing_keys(tree, ["need"]))
-    return found.select("rule", "path", "n")
-
-
-@query("SELECT * FROM (VALUES ('make_peace', 'calls', 'gain_fame'), ('gain_fame', 'uses', 'brave'), ('gain_fame', 'calls', 'gain_fame')) AS t (source, relation, target)")
-def reference_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Edges from definitions to the definitions they use as values or call as keys."""
-    from palimpsest.operators.lint import edges
-
-    return edges(script.nodes(_texts(spark, "gain_fame = { add = brave gain_fame = yes }\nmake_peace = { gain_fame = yes other = 1 }\nbrave = { x = 1 }")))
-
-
-@query("SELECT * FROM (VALUES ('trigger', 'age', 2), ('trigger', 'is_alive', 1), ('effect', 'gain', 2)) AS t (context, key, n_files)")
-def learned_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """Keys seen inside triggers and inside effects, by how many files use them."""
-    from palimpsest.operators.lint import keys_by_context
-
-    return keys_by_context(script.nodes(_texts(spark, "a = { trigger = { age > 1 is_alive = yes } effect = { gain = 1 gain = 2 } }", "b = { trigger = { age > 2 } effect = { gain = 2 } }")), ("trigger", "effect"))

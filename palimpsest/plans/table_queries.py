@@ -260,19 +260,6 @@ def route_tables(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", rules.envelope(p).alias("envelope"), rules.report_domain(p).alias("report_domain"), rules.report_type(p).alias("file_type"), rules.prefix_route(p, router, "rest").alias("by_prefix"))
 
 
-@query("SELECT * FROM (VALUES ('event', 'ns', 'event:ns.x'), ('event', '', 'event:x'), ('defines', 'N', 'defines:N.x'), ('maa_type', 'ns', 'maa:x'), ('localization', NULL, 'loc:x'), ('casus_belli', NULL, 'cb:x'), ('trait', 'ns', 'trait:x')) AS t (domain, namespace, unit_key)")
-def unit_keys(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([("event", "ns"), ("event", ""), ("defines", "N"), ("maa_type", "ns"), ("localization", None), ("casus_belli", None), ("trait", "ns")], "domain string, namespace string")
-    return rows.select("*", rules.unit_key(F.col("domain"), F.lit("x"), F.col("namespace")).alias("unit_key"))
-
-
-@query("SELECT * FROM (VALUES ('utf-8-sig', 'é'), ('utf-16-le', 'a'), ('utf-16-be', 'a'), ('binary', NULL), ('utf-8', 'é'), ('latin-1', 'é'), ('utf-8', '')) AS t (encoding, text)")
-def sniffed_encodings(spark: SparkSession, sf: str) -> DataFrame:
-    raw = [b"\xef\xbb\xbf\xc3\xa9", b"\xff\xfea\0", b"\xfe\xff\0a", b"a\0b", b"\xc3\xa9", b"\xe9", b""]
-    rows = spark.createDataFrame([(bytearray(r),) for r in raw], "content binary")
-    return rows.select(S.encoding(F.col("content")).alias("encoding"), S.decoded(F.col("content")).alias("text"))
-
-
 @query("""SELECT c_custkey AS relpath, 3::BIGINT AS line, 'english' AS language, 'key.' || c_custkey AS loc_key, (c_custkey % 4)::INT AS version, 'Hi [Get' || c_nationkey || '] $NAME$ costs $5 @gold! "' || c_name || '"' AS value, 'Get' || c_nationkey AS scripted, 'NAME' AS variables, 'gold' AS icons FROM customer
   UNION ALL SELECT c_custkey, 4, 'english', 'plain_' || c_custkey, 0, '', '', '', '' FROM customer""")
 def localization_entries(spark: SparkSession, sf: str) -> DataFrame:
@@ -321,11 +308,6 @@ def kind_counts(spark: SparkSession, sf: str) -> DataFrame:
     return T.counts_by(table(spark, sf, "events"), "event_type")
 
 
-@query("SELECT 'moved' AS name, 2 AS load_order UNION ALL SELECT * FROM (VALUES ('a', 0), ('b', 1), ('c', 3), ('d', 4)) AS t (name, load_order)")
-def reordered_sources(spark: SparkSession, sf: str) -> DataFrame:
-    return S.reordered(spark.createDataFrame([("a", 1), ("moved", 2), ("b", 5), ("c", 7), ("d", 9)], "name string, load_order int"), "moved", 2)
-
-
 # --- logs --------------------------------------------------------------------------------------------
 
 LOG = """concat('[', lpad(event_id % 24, 2, '0'), ':10:0', event_id % 10, '][', if(event_type = 'view', 'W', 'E'), '][', if(event_id % 3 = 0, 'jomini_script_system.cpp', 'gui/pdx_gui.cpp'), ':', event_id % 50, ']: ',
@@ -357,13 +339,6 @@ def log_filters(spark: SparkSession, sf: str) -> DataFrame:
     return G.chosen(rows, "gui_warning", 4, "3", level="E").select("event_id", "priority").unionByName(G.with_text(rows, "GUI/1", ["script_file"]).select("event_id", F.lit(-1).alias("priority")))
 
 
-@query("SELECT * FROM (VALUES ('system_init', 5, 'System initialization', 1), ('gpu_info', 5, 'GPU/graphics information', 1), ('dlc_info', 5, 'DLC loading information', 2), ('mod_info', 5, 'Mod loading information', 1), ('network_info', 5, 'Network/online services', 0), ('settings_info', 5, 'Settings loading', 1), ('define_warning', 4, 'Missing defines (usually harmless)', 1), ('unknown', 5, NULL, 1)) AS t (category, priority, about, n)")
-def debug_categories(spark: SparkSession, sf: str) -> DataFrame:
-    said = ["Log system initialized", "Selected adapter: x", "DLC: a", "DLC: b", "Mod: c", "loading settings", "Define N|K not specified", "hello"]
-    rows = spark.createDataFrame([(s,) for s in said], "text string").select(rules.log_category(F.col("text"), rules.DEBUG_LOG_CATEGORIES)["category"].alias("category"))
-    return G.category_counts(rows, rules.DEBUG_LOG_CATEGORIES)
-
-
 @query("SELECT category, priority, event_id % 3 AS k, count(*) AS n FROM events JOIN (VALUES (0, 'decision_error', 3), (1, 'culture_error', 3), (2, 'portrait_error', 5)) AS c (m, category, priority) ON event_id % 3 = m GROUP BY ALL")
 def game_log_categories(spark: SparkSession, sf: str) -> DataFrame:
     text = F.expr("CASE event_id % 3 WHEN 0 THEN '[decision_type.cpp:1] x' WHEN 1 THEN '[Culture_Template.cpp:2] y' ELSE 'bad PORTRAIT' END")
@@ -376,20 +351,6 @@ def log_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return G.statistics(table(spark, sf, "events").withColumn("category", F.expr("if(event_id % 3 = 0, 'a', 'b')")), ["category", "event_type"])
 
 
-@query("SELECT * FROM (VALUES (3, 'dlc', 'North'), (4, 'dlc', 'South'), (7, 'mods_enabled', 'Alpha'), (10, 'mods_disabled', 'Beta')) AS t (line, section, item)")
-def debug_sections(spark: SparkSession, sf: str) -> DataFrame:
-    said = ["start", "DLC:", "  North", "South", "", "Enabled mods:", "Alpha", "  ", "Disabled mods:", "Beta"]
-    return G.debug_lists(spark.createDataFrame([("f", i + 1, s) for i, s in enumerate(said)], "file string, line int, text string")).drop("file")
-
-
-@query("SELECT * FROM (VALUES ('1.12', 'EXCEPTION_ACCESS_VIOLATION', '0x00FF', 'frame a|frame b', 'x: y'), ('unknown', 'unknown', 'unknown', '', NULL)) AS t (game_version, exception_type, exception_address, stack, note)")
-def crash_parts(spark: SparkSession, sf: str) -> DataFrame:
-    text = "Application: g\r\nVersion: 1.12\nUnhandled Exception C0000005 (EXCEPTION_ACCESS_VIOLATION) at address 0x00FF here\n\nStack Trace:\n frame a\n\n frame b\nApplication: end\n"
-    rows = spark.createDataFrame([(text, "when: now\nnote : x\nnote: x: y\n"), ("nothing", "none")], "text string, meta string")
-    parts = rows.select(*G.exception_parts(F.col("text")), F.try_element_at(G.meta_pairs(F.col("meta")), F.lit("note")).alias("note"))
-    return parts.withColumn("stack", F.array_join("stack", "|"))
-
-
 @query("SELECT 'log_' || (event_id % 8) AS file, event_id * 2 AS line FROM events WHERE event_id * 2 BETWEEN 100 AND 140 UNION ALL SELECT 'log_' || (event_id % 8), event_id * 2 + 1 FROM events WHERE event_id * 2 + 1 BETWEEN 100 AND 140")
 def log_window(spark: SparkSession, sf: str) -> DataFrame:
     return G.window_of_lines(_log(spark, sf), 100, 140).select("file", "line")
