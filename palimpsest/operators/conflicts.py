@@ -83,3 +83,17 @@ def conflicts_by_policy(defs: DataFrame, key: Sequence[str], source: str, order:
     rule = policy(F.col("first_path"))
     found = told.select(*key, "n_sources", rule.alias("policy"), F.when(rule == "fios", F.col("first")).otherwise(F.col("last")).alias("winner"), "has_patch")
     return found if with_patches else found.where("NOT has_patch")
+
+
+def enriched(rows: DataFrame, known: DataFrame, key: Sequence[str]) -> DataFrame:
+    """All rows with what is known of their key, nulls where nothing is. A null key knows nothing; a key known twice gives
+    its row twice."""
+    return rows.join(known, list(key), "left")
+
+
+def all_names(*tables: DataFrame) -> DataFrame:
+    """The rows that any of several tables with equal columns holds, each once."""
+    every = tables[0]
+    for t in tables[1:]:
+        every = every.unionByName(t)
+    return every.distinct()

@@ -134,3 +134,10 @@ def grep_raw(lines: DataFrame, query: str, is_regex: bool = False, path: str = "
     if pattern is not None:
         lines = lines.where(F.col(path).ilike(pattern))
     return lines.where(F.col(text).rlike(f"(?i){query}") if is_regex else F.lower(text).contains(query.lower()))
+
+
+def with_tags(rows: DataFrame, tags: str, wanted: Sequence[str], text: str | None = None, part: str = "") -> DataFrame:
+    """Rows whose array ``tags`` holds every wanted tag, and whose ``text``, if given, holds ``part`` whatever the case."""
+    for t in wanted:
+        rows = rows.where(F.array_contains(tags, t))
+    return rows if text is None else rows.where(F.lower(text).contains(part.lower()))

@@ -81,12 +81,12 @@ def conflicts_by_policy(spark: SparkSession, sf: str) -> DataFrame:
     return C.conflicts_by_policy(defs, ["name"], "cvid", "load_order", "relpath", "mod")
 
 
-@query("SELECT l_orderkey, l_partkey, count(o_orderkey) AS n_files, any_value(o_custkey) AS cust FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey AND o_orderstatus = 'F' WHERE l_suppkey < 3 GROUP BY ALL")
+@query("SELECT l_orderkey, l_partkey, count(o_orderkey) AS n_files, any_value(o_custkey) AS cust FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey AND o_orderstatus = 'F' GROUP BY ALL")
 def left_enrichment(spark: SparkSession, sf: str) -> DataFrame:
     """References with what is known of their file, if anything."""
-    refs = table(spark, sf, "lineitem").where("l_suppkey < 3").select("l_orderkey", "l_partkey")
+    refs = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
     known = table(spark, sf, "orders").where("o_orderstatus = 'F'").selectExpr("o_orderkey AS l_orderkey", "o_orderkey", "o_custkey")
-    return refs.join(known, "l_orderkey", "left").groupBy("l_orderkey", "l_partkey").agg(F.count("o_orderkey").alias("n_files"), F.max("o_custkey").alias("cust"))
+    return C.enriched(refs, known, ["l_orderkey"]).groupBy("l_orderkey", "l_partkey").agg(F.count("o_orderkey").alias("n_files"), F.max("o_custkey").alias("cust"))
 
 
 @query("SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1) ORDER BY n_chars, doc_id LIMIT 40")
@@ -96,10 +96,11 @@ def small_first_work(spark: SparkSession, sf: str) -> DataFrame:
     return C.without(docs, table(spark, sf, "labels").where("quality = 1"), ["doc_id"]).orderBy("n_chars", "doc_id").limit(40)
 
 
-@query("SELECT DISTINCT l_partkey AS name FROM lineitem WHERE l_suppkey = 1 UNION SELECT p_partkey FROM part WHERE p_size = 3")
+@query("SELECT l_partkey AS name FROM lineitem UNION SELECT p_partkey FROM part UNION SELECT s_suppkey + 1000000 FROM supplier")
 def union_of_names(spark: SparkSession, sf: str) -> DataFrame:
-    a = table(spark, sf, "lineitem").where("l_suppkey = 1").selectExpr("l_partkey AS name")
-    return a.union(table(spark, sf, "part").where("p_size = 3").selectExpr("p_partkey AS name")).distinct()
+    """All names that any of several tables knows, each once."""
+    t = lambda n, c: table(spark, sf, n).selectExpr(f"{c} AS name")
+    return C.all_names(t("lineitem", "l_partkey"), t("part", "p_partkey"), t("supplier", "s_suppkey + 1000000"))
 
 
 # --- search ------------------------------------------------------------------------------------------
@@ -135,18 +136,18 @@ def raw_grep(spark: SparkSession, sf: str) -> DataFrame:
 def tag_search(spark: SparkSession, sf: str) -> DataFrame:
     """Entries of an index by a tag and a text."""
     rows = table(spark, sf, "events").withColumn("tags", F.split("event_type", "_"))
-    return rows.where(F.array_contains("tags", "error") & F.lower("props").contains('"k": 4')).select("event_id")
+    return S.with_tags(rows, "tags", ["error"], "props", '"K": 4').select("event_id")
 
 
 # --- status ------------------------------------------------------------------------------------------
 
 
 @query("""SELECT 'ast' AS stage, count(*) AS n, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels)) AS n_done, round(100.0 * count(*) FILTER (doc_id IN (SELECT doc_id FROM labels)) / count(*)::DOUBLE, 1) AS pct FROM documents
-  UNION ALL SELECT 'symbols', count(*), count(*) FILTER (o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey = 1)), round(100.0 * count(*) FILTER (o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey = 1)) / count(*)::DOUBLE, 1) FROM orders UNION ALL SELECT 'none', 0, 0, 100.0""")
+  UNION ALL SELECT 'symbols', count(*), count(*) FILTER (o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')), round(100.0 * count(*) FILTER (o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')) / count(*)::DOUBLE, 1) FROM orders UNION ALL SELECT 'none', 0, 0, 100.0""")
 def build_status(spark: SparkSession, sf: str) -> DataFrame:
     t = lambda n: table(spark, sf, n)
     keys = t("orders").selectExpr("o_orderkey AS k")
-    return T.build_status({"ast": (t("documents"), t("labels"), ["doc_id"]), "symbols": (keys, t("lineitem").where("l_suppkey = 1").selectExpr("l_orderkey AS k"), ["k"]), "none": (keys.where("false"), keys, ["k"])})
+    return T.build_status({"ast": (t("documents"), t("labels"), ["doc_id"]), "symbols": (keys, t("lineitem").where("l_returnflag = 'R'").selectExpr("l_orderkey AS k"), ["k"]), "none": (keys.where("false"), keys, ["k"])})
 
 
 @query("SELECT 1 AS priority, 'cleanup' AS phase, 'purge_deleted' AS action, count(*) AS n FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 5, 'cleanup', 'remove_orphans', (SELECT count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)) + (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))")

@@ -130,13 +130,13 @@ def confirm_absent(spark: SparkSession, sf: str) -> DataFrame:
     return N.confirm_absent(_symbols(spark, sf), ["cold_widget", "cold_thing", "zzz_none"], similar=1000)
 
 
-@query("SELECT o_orderkey AS ref, count(p_partkey) AS n_definitions, CASE WHEN count(p_partkey) > 0 THEN 'resolved' WHEN o_custkey % 50 < 10 AND o_custkey % 50 < (SELECT max(p_size) FROM part) THEN 'other_kind' ELSE 'missing' END AS status FROM orders LEFT JOIN part ON p_partkey = o_custkey % 50 AND p_type = CASE WHEN o_orderkey % 2 = 0 THEN p_type ELSE 'no such kind' END WHERE o_custkey % 50 < 10 GROUP BY o_orderkey, o_custkey")
+@query("SELECT o_orderkey AS ref, (p_partkey IS NOT NULL AND o_orderkey % 2 = 0)::BIGINT AS n_definitions, CASE WHEN p_partkey IS NULL THEN 'missing' WHEN o_orderkey % 2 = 0 THEN 'resolved' ELSE 'other_kind' END AS status FROM orders LEFT JOIN part ON p_partkey = o_custkey * 2")
 def validate_references(spark: SparkSession, sf: str) -> DataFrame:
-    """References to parts by their true kind, or by one that no part has."""
+    """References to parts by their true kind, by one that no part has, and to parts that do not exist."""
     symbols = table(spark, sf, "part").selectExpr("cast(p_partkey AS string) AS name", "p_type AS symbol_type")
     kinds = table(spark, sf, "part").selectExpr("p_partkey", "p_type")
-    refs = table(spark, sf, "orders").where("o_custkey % 50 < 10").selectExpr("o_orderkey AS ref", "o_custkey % 50 AS p_partkey").join(kinds, "p_partkey")
-    told = refs.selectExpr("ref", "cast(p_partkey AS string) AS name", "if(ref % 2 = 0, p_type, 'no such kind') AS ref_type")
+    refs = table(spark, sf, "orders").selectExpr("o_orderkey AS ref", "o_custkey * 2 AS p_partkey").join(kinds, "p_partkey", "left")
+    told = refs.selectExpr("ref", "cast(p_partkey AS string) AS name", "if(ref % 2 = 0, coalesce(p_type, 'SMALL'), 'no such kind') AS ref_type")
     return N.validated(told, symbols).select("ref", "n_definitions", "status")
 
 
