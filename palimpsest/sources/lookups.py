@@ -129,6 +129,23 @@ def titles(tree: DataFrame, key: str = "digest") -> DataFrame:
     return own.join(below, [key, "node_id"], "left").join(colors, [key, "node_id"], "left").select(key, "title_key", "tier", "liege", "capital", "color", "line")
 
 
+def title_history(tree: DataFrame, key: str = "digest") -> DataFrame:
+    """What dated blocks of titles say, a row for each date: title_key, date (YYYY.M.D), holder, liege, government, line. Of a
+    repeated key in a block the first value counts, and a title's dated blocks of one date are rows of their own."""
+    dated = F.get("ancestors", F.lit(1))
+    is_date = (F.size(F.split(dated, "[.]")) == 3) & _only_digits(F.replace(dated, F.lit("."), F.lit("")))
+    told = tree.where((F.col("depth") == 2) & (F.col("node_type") == "assignment") & is_date & ~F.col("path").endswith("]"))
+    value = lambda n: F.max(F.when(F.col("key") == n, F.col("value"))).alias(n)
+    rows = told.groupBy(key, F.col("top_id").alias("block"), "parent_id").agg(F.first(dated).alias("date"), *[value(n) for n in ("holder", "liege", "government")], F.min("line").alias("line"))
+    ranked = F.col("key").rlike("^[ekdcb]_")
+    return blocks(tree, key, ranked).drop("line").join(rows, [key, "block"]).select(key, F.col("name_of_block").alias("title_key"), "date", "holder", "liege", "government", "line")
+
+
+def fresh(tree: DataFrame, done: DataFrame, key: str = "digest") -> DataFrame:
+    """The nodes of contents from which nothing has been extracted yet: ``done`` has the keys of the others."""
+    return tree.join(done.select(key).distinct(), key, "left_anti")
+
+
 def overlaid(old: DataFrame, new: DataFrame, on: Sequence[str], update: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Rows of both tables, one for each key: a new row's nulls do not undo what an old row says (``update``), and columns
     in ``keep`` stay as the first row had them. Keys must be unique on each side; null keys never meet."""

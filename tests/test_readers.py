@@ -93,3 +93,14 @@ def test_enumeration_resumes_and_definitions(spark, tmp_path):
     assert [r.relpath for r in files.enumerated(spark, f"{tmp_path}/root", resume_after="a/x.txt").collect()] == ["a/y.txt", "b.txt"]
     (tmp_path / "d.csv").write_text("0;0;0;0;x;\n1;42;3;128;VESTFIRDIR;x\nid;r;g;b;n\n")
     assert [tuple(r) for r in files.definitions_csv(spark, f"{tmp_path}/d.csv").collect()] == [(1, 42, 3, 128, "VESTFIRDIR")]
+
+
+def test_provenance(spark, tmp_path):
+    import json
+
+    from palimpsest.sinks.export import provenance
+
+    won = spark.createDataFrame([("common/traits", "brave", "mod_b", "b.txt", 4), ("common/traits", "shy", "base", None, 9)], "folder string, name string, source string, file string, line int")
+    provenance(won, str(tmp_path / "p"), "folder", "name", ["source", "file", "line"])
+    got = [json.loads(line) for f in (tmp_path / "p").glob("part-*") for line in f.read_text().splitlines()]
+    assert sorted((g["name"], g["origin"]["source"], g["origin"].get("file"), g["origin"]["line"]) for g in got) == [("brave", "mod_b", "b.txt", 4), ("shy", "base", None, 9)]
