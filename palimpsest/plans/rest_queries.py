@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import rules
 from palimpsest.operators import conflicts as C
 from palimpsest.operators import index as I
+from palimpsest.operators import stored as ST
 from palimpsest.operators import units as U
 from palimpsest.plans.index_queries import bm25_sql
 from palimpsest.plans.registry import query
@@ -70,3 +73,37 @@ def title_history(spark: SparkSession, sf: str) -> DataFrame:
       1100 + s_suppkey % 90, '.12.', s_suppkey % 28 + 1, ' = { holder = 0', if(s_suppkey % 3 = 0, ' government = republic', ''), ' }\n name = x\n}') AS text"""
     found = L.title_history(script.nodes(table(spark, sf, "supplier").selectExpr("s_suppkey AS digest", text)))
     return found.select("title_key", "date", "holder", "liege", "government", F.col("line").cast("int").alias("line"))
+
+
+def _stored(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Documents as files of contents with their trees, symbols and versions, in tables by digest."""
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf, "documents").select("doc_id", "source", F.sha2(text, 256).alias("digest"), F.split(text, " ")[0].alias("word"))
+    labels = table(spark, sf, "labels").select("doc_id")
+    tag = uuid.uuid4().hex[:12]
+    parts = {
+        "contents": docs.groupBy("digest").agg(F.count("*").alias("n_files")),
+        "trees": docs.join(labels, "doc_id", "left_semi").select("digest").distinct(),
+        "symbols": docs.where("word <> ''").groupBy("digest").agg(F.min("word").alias("name")),
+        "files": docs.select("digest", "doc_id", F.col("source").alias("cvid")),
+    }
+    return {name: ST.store(df, f"{name}_{tag}", ["digest"]) for name, df in parts.items()}
+
+
+STORED = """WITH d AS (SELECT doc_id, source, sha256(coalesce(text, '')) AS digest, string_split(coalesce(text, ''), ' ')[1] AS word FROM documents),
+  t AS (SELECT DISTINCT digest FROM d WHERE doc_id IN (SELECT doc_id FROM labels))"""
+
+
+@query(f"{STORED}, s AS (SELECT digest, min(word) AS name FROM d WHERE word <> '' GROUP BY 1) SELECT s.name, d.doc_id, 'version ' || d.source AS version FROM s JOIN t USING (digest) JOIN d USING (digest) WHERE d.source IS NOT NULL")
+def stored_content_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Symbols of parsed contents with the files that hold them and their versions, joined bucket by bucket."""
+    s = _stored(spark, sf)
+    versions = table(spark, sf, "documents").select(F.col("source").alias("cvid")).where("cvid IS NOT NULL").distinct().withColumn("version", F.concat(F.lit("version "), "cvid"))
+    return ST.defined_in(s["symbols"], s["trees"], s["files"], versions).select("name", "doc_id", "version")
+
+
+@query(f"{STORED} SELECT digest, count(*) AS n_files FROM d WHERE digest NOT IN (SELECT digest FROM t) GROUP BY 1")
+def stored_unparsed(spark: SparkSession, sf: str) -> DataFrame:
+    """Contents without a tree, told bucket by bucket."""
+    s = _stored(spark, sf)
+    return ST.unparsed(s["contents"], s["trees"])
