@@ -12,6 +12,7 @@ from palimpsest.operators import conflicts as C
 from palimpsest.operators import index as I
 from palimpsest.operators import stored as ST
 from palimpsest.operators import units as U
+from palimpsest.operators.list_diff import list_changes
 from palimpsest.plans.index_queries import bm25_sql
 from palimpsest.plans.registry import query
 from palimpsest.plans.script_queries import _tree
@@ -107,3 +108,15 @@ def stored_unparsed(spark: SparkSession, sf: str) -> DataFrame:
     """Contents without a tree, told bucket by bucket."""
     s = _stored(spark, sf)
     return ST.unparsed(s["contents"], s["trees"])
+
+
+@query("""SELECT p_partkey AS digest, 'p.list' AS path, '[]' AS name, 'added' AS change_type, NULL AS old_value, 'first' AS new_value, NULL AS old_pos, 0 AS new_pos FROM part WHERE p_size % 2 = 0
+  UNION ALL SELECT p_partkey, 'p.list', '[]', 'removed', 'b', NULL, 1, NULL FROM part WHERE p_size % 3 = 0 UNION ALL SELECT p_partkey, 'p.list', '[]', 'modified', p_size::VARCHAR, 'z' || p_size, 3, 3 + (p_size % 2 = 0)::INT - (p_size % 3 = 0)::INT FROM part WHERE p_size % 5 = 0
+  UNION ALL SELECT p_partkey, 'p', 'mod', 'added', NULL, 'one', NULL, 0 FROM part WHERE p_size % 7 = 0 UNION ALL SELECT p_partkey, 'p', 'x', 'modified', '1', '2', 2, 2 + (p_size % 7 = 0)::INT FROM part WHERE p_size % 11 = 0""")
+def list_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """Changes of every part's lists and repeated keys, aligned: an insertion shifts nothing."""
+    rows = table(spark, sf, "part")
+    old = rows.selectExpr("p_partkey AS digest", "concat('p = { mod = a mod = b x = 1 list = { a b c ', p_size, ' a } }') AS text")
+    new = rows.selectExpr("p_partkey AS digest", "concat('p = { ', if(p_size % 7 = 0, 'mod = one ', ''), 'mod = a mod = b x = ', if(p_size % 11 = 0, 2, 1), ' list = { ', if(p_size % 2 = 0, 'first ', ''), 'a ', if(p_size % 3 = 0, '', 'b '), 'c ', if(p_size % 5 = 0, 'z', ''), p_size, ' a } }') AS text")
+    found = list_changes(script.nodes(old), script.nodes(new))
+    return found.withColumns({c: F.col(c).cast("int") for c in ("old_pos", "new_pos")})
