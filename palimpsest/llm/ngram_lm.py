@@ -126,7 +126,7 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         raise ValueError("buckets is a power of two")
     kind = docs.schema[id_col].dataType.simpleString()
     shift = np.uint64(hash_bits - (B - 1).bit_length())
-    edges = np.arange(1, B, dtype=np.uint64) << shift
+    edges = np.concatenate((np.zeros(1, np.uint64), np.arange(1, B, dtype=np.uint64) << shift, np.full(1, 2**64 - 1, np.uint64)))
     top = np.uint64(hash_bits - (PASSES - 1).bit_length())
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +176,7 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     at = _runs(every)
                     count, every = np.diff(np.append(at, len(every))), every[at]
                     own = np.arange(k * B // PASSES, (k + 1) * B // PASSES)
-                    cut = np.searchsorted(every, np.concatenate(([0], edges, [2**64 - 1])).astype(np.uint64)[[*own, own[-1] + 1]])
+                    cut = np.searchsorted(every, edges[[*own, own[-1] + 1]])
                     cut[-1] = len(every)
                     made = [(pack_sorted(every[x:y]), pack_counts(count[x:y])) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist())]
                     yield pa.RecordBatch.from_arrays(
