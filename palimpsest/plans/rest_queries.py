@@ -15,11 +15,12 @@ from palimpsest.operators import units as U
 from palimpsest.operators.list_diff import list_changes
 from palimpsest.plans.index_queries import bm25_sql
 from palimpsest.plans.registry import query
-from palimpsest.plans.script_queries import _tree
+from palimpsest.plans.script_queries import _files, _tree
 from palimpsest.plans.table_queries import UNITS, _contributions
 from palimpsest.session import shared_folder, table
 from palimpsest.sources import lookups as L
 from palimpsest.sources import script
+from palimpsest.sources.long_script import long_nodes
 
 
 @query(f"{UNITS} SELECT v.unit_key, c.file_id, c.node_id, v.top AS winner_order, count(*) AS n FROM v JOIN c ON v.unit_key = c.unit_key WHERE c.source = 's7' AND c.load_order < v.top GROUP BY ALL")
@@ -120,3 +121,15 @@ def list_diff(spark: SparkSession, sf: str) -> DataFrame:
     new = rows.selectExpr("p_partkey AS digest", "concat('p = { ', if(p_size % 7 = 0, 'mod = one ', ''), 'mod = a mod = b x = ', if(p_size % 11 = 0, 2, 1), ' list = { ', if(p_size % 2 = 0, 'first ', ''), 'a ', if(p_size % 3 = 0, '', 'b '), 'c ', if(p_size % 5 = 0, 'z', ''), p_size, ' a } }') AS text")
     found = list_changes(script.nodes(old), script.nodes(new))
     return found.withColumns({c: F.col(c).cast("int") for c in ("old_pos", "new_pos")})
+
+
+@query("""WITH s AS (SELECT 'file_' || p_partkey % 64 AS digest, p_partkey AS k, p_size AS z, row_number() OVER (PARTITION BY p_partkey % 64 ORDER BY p_partkey) - 1 AS i FROM part),
+  c AS (SELECT *, sum(6 + z % 3) OVER (PARTITION BY digest ORDER BY i) - (6 + z % 3) AS before FROM s)
+  SELECT digest, 'p_' || k AS path, 2 * i AS pos, 2 * i + 1 AS line, before + 1 AS node_id FROM c UNION ALL SELECT digest, 'r' || CASE WHEN i > 0 THEN '[' || i || ']' ELSE '' END, 2 * i + 1, 2 * i + 2, before + 6 + z % 3 FROM c""")
+def long_script(spark: SparkSession, sf: str) -> DataFrame:
+    """Top-level nodes of long files, each parsed in pieces: places, lines, ids and numbers of repeated keys go on from
+    piece to piece."""
+    files = _files(table(spark, sf, "part"), "p_partkey", F.expr("concat('p_', p_partkey, ' = { a = \"} {\" list = { 1 2', repeat(' 3', p_size % 3), ' } } # {\\nr = ', p_size)"))
+    tree = long_nodes(files, size=300)
+    top = tree.where("depth = 0")
+    return top.select("digest", "path", *[F.col(c).cast("long").alias(c) for c in ("pos", "line", "node_id")])
