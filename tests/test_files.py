@@ -59,6 +59,26 @@ def test_stream_ingests_once(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/store/work").where("node_type = 'block'").count() == 3
 
 
+def test_digests_are_merged_as_batches_come(spark, tmp_path):
+    assert ingest.runs(13) == [(0, 8), (8, 12), (12, 13)] and ingest.runs(0) == []
+    root = tmp_path / "src/events"
+    root.mkdir(parents=True)
+    run = lambda: ingest.ingest(ingest.file_stream(spark, str(tmp_path / "src"), 1), f"{tmp_path}/store", f"{tmp_path}/ckpt").awaitTermination()
+    for i in range(11):
+        (root / f"e{i % 9}_{i}.txt").write_bytes(b"x = %d" % (i % 7))
+    run()
+    stored = spark.read.parquet(f"{tmp_path}/store/contents")
+    assert stored.count() == stored.select("digest").distinct().count() == 7
+    # What the next batch reads: three folders of a file each, in which the digests of all eleven batches are.
+    folders = [f"{tmp_path}/store/digests/run={a}-{b}" for a, b in ingest.runs(11)]
+    known = spark.read.parquet(*folders)
+    assert len(folders) == 3 and len(known.inputFiles()) <= 3 and known.count() == 7
+    changed = spark.read.parquet(f"{tmp_path}/store/files/batch=3").withColumn("size", F.lit(99).cast("long"))
+    changed.write.parquet(f"{tmp_path}/store/files/batch=11")  # a file that came again
+    now = {r.relpath: (r.size, r.batch) for r in ingest.files_now(spark, f"{tmp_path}/store").collect()}
+    assert len(now) == 11 and now[changed.first().relpath] == (99, 11)
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("f", "a", "x = 1", "base"), ("g", "b", "y = 2", None)], "folder string, name string, text string, source string")
     for fmt in ("json", "csv", "markdown"):
