@@ -161,6 +161,9 @@ MERGE_CONFIDENCE = {
 #: Prefixes of unit keys that differ from the domain's name.
 UNIT_PREFIXES = {"character_interaction": "interaction", "localization": "loc", "maa_type": "maa", "casus_belli": "cb"}
 MATCH_TYPES = ("exact", "prefix", "stem", "suffix", "contains", "suffix_tokens", "flex_underscore")
+#: Domains of files that the report always calls risky, and the texts of a file's reasons.
+HOT_DOMAINS = ("on_action", "events", "gui", "interface")
+FILE_REASONS = {"hot": "hotspot_domain", "many": "_candidates", "size": "large_size_delta", "ids": "has_id_conflicts", "many_ids": "many_id_conflicts_inside"}
 # End of fixed values.
 
 
@@ -342,10 +345,10 @@ def file_risk(report_domain_name: Column, candidates: Column, size_delta: Column
 def file_reasons(report_domain_name: Column, candidates: Column, size_delta: Column, inner_conflicts: Column) -> Column:
     return F.concat_ws(
         "; ",
-        F.when(report_domain_name.isin("on_action", "events", "gui", "interface"), "hotspot_domain"),
-        F.when(candidates > 2, F.concat(candidates.cast("string"), F.lit("_candidates"))),
-        F.when(size_delta > 0.5, "large_size_delta"),
-        F.when(inner_conflicts > 5, "many_id_conflicts_inside").when(inner_conflicts > 0, "has_id_conflicts"),
+        F.when(report_domain_name.isin(*HOT_DOMAINS), FILE_REASONS["hot"]),
+        F.when(candidates > 2, F.concat(candidates.cast("string"), F.lit(FILE_REASONS["many"]))),
+        F.when(size_delta > 0.5, FILE_REASONS["size"]),
+        F.when(inner_conflicts > 5, FILE_REASONS["many_ids"]).when(inner_conflicts > 0, FILE_REASONS["ids"]),
     )
 
 

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from palimpsest.functions import rules
 from palimpsest.operators.ordered import sections, stitch
 
+# Extensions of files that log lines name, and what crash folders' names begin with.
 EXTENSIONS = ("yml", "txt", "gui", "gfx", "mod")
+CRASH_PREFIX = "ck3_"
+# End of fixed values.
 _digits = lambda x: (F.length(x) > 0) & (F.translate(x, "0123456789", "") == "")
 
 
@@ -154,7 +157,7 @@ def debug_lists(lines: DataFrame, headings: Sequence[tuple[str, str]] = DEBUG_SE
 # --- crash folders ---------------------------------------------------------------------------------
 
 
-def crashes(spark: SparkSession, root: str, prefix: str = "ck3_") -> DataFrame:
+def crashes(spark: SparkSession, root: str, prefix: str = CRASH_PREFIX) -> DataFrame:
     """Crash folders ``<prefix>YYYYMMDD_HHMMSS`` below ``root``: crash_id, at, game_version, exception_type, address, the
     first 20 frames of the stack (a feature of the report), and the key: value pairs of meta.yml."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
