@@ -104,7 +104,10 @@ def read_back(examples: DataFrame) -> DataFrame:
     """Digest of each conversation from its formatted examples alone.
 
     An example with the most turns holds the whole conversation; the replies, in order of target, hold the trainable
-    texts. Returns conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+    texts. Null ids are one conversation; a conversation without a trainable turn has loss_chars 0 and the digest of
+    nothing; equal examples must not repeat; an empty table gives none; other columns stay behind.
+
+    Returns conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
     """
     last = F.max("target").over(Window.partitionBy("conv_id"))
     slim = examples.select(

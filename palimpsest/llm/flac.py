@@ -513,7 +513,8 @@ def decode_media(media: DataFrame, *, block: int = PCM_BLOCK) -> DataFrame:
 
 
 def pcm_blocks(decoded: DataFrame) -> DataFrame:
-    """A row for each PCM block: doc_id, block_no, sample_offset, n_samples, pcm."""
+    """A row for each PCM block: doc_id, block_no, sample_offset, n_samples, pcm. Streams without a block (null, broken or of
+    no samples) and an empty table give no rows; equal rows give equal rows."""
     return decoded.select("doc_id", F.posexplode("blocks").alias("block_no", "b")).select("doc_id", F.col("block_no").cast("long").alias("block_no"), "b.sample_offset", "b.n_samples", "b.pcm")
 
 
