@@ -61,16 +61,35 @@ def latest_before(rows: DataFrame, marks: DataFrame, group: str, time: str, valu
     return told.withColumn(name, F.greatest("__in", "__before")).drop("__v", "__row", "__b", "__in", "__before")
 
 
-def stitch(lines: DataFrame, group: Sequence[str], order: Sequence[str], text: str, is_head: str, sep: str = " ") -> DataFrame:
-    """Records of a head line and the lines up to the next one; lines before the first head are record 0."""
-    record = F.sum(F.when(F.expr(is_head), 1).otherwise(0)).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    numbered = lines.withColumn("record", record.cast("long"))
+def stitch(lines: DataFrame, group: Sequence[str], order: Sequence[str], text: str, is_head: str, sep: str = " ", span: int | None = None) -> DataFrame:
+    """Records of a head line and the lines up to the next one; lines before the first head are record 0.
+
+    ``span``: the first of ``order`` is a whole number, and heads are counted in blocks of so many of them, sums of blocks
+    carried on, so that no task holds a group (which is then not null); without it a task does.
+    """
+    head = F.when(F.expr(is_head), 1).otherwise(0)
+    upto = lambda *by: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if span is None:
+        numbered = lines.withColumn("record", F.sum(head).over(upto(*group)).cast("long"))
+    else:
+        blocks = lines.withColumn("__b", F.floor(F.col(order[0]) / span))
+        earlier = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+        before = blocks.groupBy(*group, "__b").agg(F.sum(head).alias("__n")).select(*group, "__b", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+        inside = blocks.withColumn("__in", F.sum(head).over(upto(*group, "__b"))).join(before, [*group, "__b"])
+        numbered = inside.withColumn("record", (F.col("__in") + F.col("__before")).cast("long")).drop("__in", "__before", "__b")
     entry = F.struct(*order, F.col(text).alias("__text"))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["__text"]), sep)
     return numbered.groupBy(*group, "record").agg(joined.alias("message"), F.count("*").alias("n_lines"))
 
 
-def sections(lines: DataFrame, group: Sequence[str], order: Sequence[str], marker: str, name: str = "section") -> DataFrame:
-    """Each line's section: the last marker (a nullable column) at or before it."""
-    upto = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return lines.withColumn(name, F.last(marker, ignorenulls=True).over(upto))
+def sections(lines: DataFrame, group: Sequence[str], order: Sequence[str], marker: str, name: str = "section", span: int | None = None) -> DataFrame:
+    """Each line's section: the last marker (a nullable column) at or before it. ``span`` as in ``stitch``."""
+    upto = lambda *by: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if span is None:
+        return lines.withColumn(name, F.last(marker, ignorenulls=True).over(upto(*group)))
+    blocks = lines.withColumn("__b", F.floor(F.col(order[0]) / span))
+    last = F.max(F.when(F.col(marker).isNotNull(), F.struct(*order, F.col(marker).alias("__m"))))["__m"].alias("__m")
+    earlier = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    before = blocks.groupBy(*group, "__b").agg(last).select(*group, "__b", F.last("__m", ignorenulls=True).over(earlier).alias("__before"))
+    inside = blocks.withColumn("__in", F.last(marker, ignorenulls=True).over(upto(*group, "__b"))).join(before, [*group, "__b"])
+    return inside.withColumn(name, F.coalesce("__in", "__before")).drop("__in", "__before", "__b")

@@ -14,6 +14,7 @@ from palimpsest.operators.ordered import sections, stitch
 EXTENSIONS = ("yml", "txt", "gui", "gfx", "mod")
 CRASH_PREFIX = "ck3_"
 # End of fixed values.
+BLOCK = 4096  # lines of a log that one task counts
 _digits = lambda x: (F.length(x) > 0) & (F.translate(x, "0123456789", "") == "")
 
 
@@ -78,7 +79,7 @@ def entries(lines: DataFrame, categories: Sequence[tuple] = rules.LOG_CATEGORIES
     it names, mod id, category, priority, signature, message. The category is told by head line and source alone."""
     is_head, _ = head_parts(F.col("text"))
     marked = lines.withColumn("is_head", is_head)
-    whole = stitch(marked, ["file"], ["line"], "text", "is_head", "\n").where("record > 0")
+    whole = stitch(marked, ["file"], ["line"], "text", "is_head", "\n", BLOCK).where("record > 0")
     _, part = head_parts(F.substring_index("message", "\n", 1))
     clock = F.split(part["time"], ":")
     unit = lambda i: F.get(clock, F.lit(i)).try_cast("int")
@@ -150,7 +151,7 @@ def debug_lists(lines: DataFrame, headings: Sequence[tuple[str, str]] = DEBUG_SE
     empty line have no item, and lines before the first heading none at all."""
     text = F.trim("text")
     mark = rules.first_of([(text == f"{h}:", F.lit(name)) for h, name in headings], F.lit(None).cast("string"))
-    told = sections(lines.withColumn("mark", mark), ["file"], ["line"], "mark")
+    told = sections(lines.withColumn("mark", mark), ["file"], ["line"], "mark", span=BLOCK)
     return told.where("section IS NOT NULL AND mark IS NULL").select("file", "line", "section", F.trim("text").alias("item")).where("item <> ''")
 
 
