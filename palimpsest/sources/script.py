@@ -128,7 +128,12 @@ BATCH = 20_000  # rows sent at once
 
 
 def nodes(contents: DataFrame, key: str = "digest", text: str = "text") -> DataFrame:
-    """The node table of distinct contents. Null text has no nodes; an empty one has its root."""
+    """The node table of distinct contents. Null text has no nodes; an empty one has its root.
+
+    Contents are dealt to tasks by key first: texts are made from, or stored in, few and well compressed files, and parsing
+    costs far more than reading them. For the same reason Spark's guess at the table's size is far too low, so that a join
+    with it is told not to broadcast it.
+    """
     names = [c.split()[0] for c in NODE.split(", ")]
     kinds = [pa.int32() if c.endswith(" int") else pa.list_(pa.string()) if c.endswith(">") else pa.string() for c in NODE.split(", ")]
 
@@ -142,11 +147,11 @@ def nodes(contents: DataFrame, key: str = "digest", text: str = "text") -> DataF
 
         for b in batches:
             key_kind = b.column(0).type
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if t is None:
+            for k, t in zip(b.column(0), b.column(1)):  # one text at a time, as each may be long
+                if not t.is_valid:
                     continue
-                found = nodes_of(t)
-                while some := list(islice(found, BATCH)):  # a long text leaves in pieces
+                found, k = nodes_of(t.as_py()), k.as_py()
+                while some := list(islice(found, BATCH - len(held))):  # a long text leaves in pieces
                     held += some
                     owner += [k] * len(some)
                     if len(held) >= BATCH:
@@ -156,7 +161,8 @@ def nodes(contents: DataFrame, key: str = "digest", text: str = "text") -> DataF
             yield out(held, owner)
 
     key_type = contents.schema[key].dataType.simpleString()
-    return contents.select(key, text).mapInArrow(run, f"{key} {key_type}, {NODE}")
+    parts = int(contents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return contents.select(key, text).repartition(parts, key).mapInArrow(run, f"{key} {key_type}, {NODE}").hint("shuffle_merge")
 
 
 def symbols(tree: DataFrame, files: DataFrame, key: str = "digest") -> DataFrame:
@@ -258,6 +264,30 @@ def top_changes(base: DataFrame, other: DataFrame, within: str | None = None) ->
     return both.select("name", change.alias("change_type"), "old_line", "new_line")
 
 
+def _laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text of each row of (key, nodes with their lines): a block's values, assignments by key, blocks in their order."""
+    for b in batches:
+        texts = []
+        for row in b.column(1):
+            inside: dict[int, list] = {}
+            for n in row.as_py():
+                inside.setdefault(n["parent_id"], []).append((n["kind"], n["by"], n["node_id"], n["line"], n["last"]))
+            todo: list = sorted(inside.get(0, ()), reverse=True)
+            lines = []
+            while todo:
+                n = todo.pop()
+                if isinstance(n, str):
+                    lines.append(n)
+                    continue
+                if n[3] is not None:
+                    lines.append(n[3])
+                if n[4] is not None:
+                    todo.append(n[4])
+                    todo += sorted(inside.get(n[2], ()), reverse=True)
+            texts.append("\n".join(lines))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=[b.schema.names[0], "text"])
+
+
 def printed(tree: DataFrame, key: str = "digest", indent: str = "\t", sort_keys: bool = False, blank_lines: bool = False) -> DataFrame:
     """Script text of each content, one line a node, indented by depth. A content is one file, so its lines fit a row.
 
@@ -273,22 +303,15 @@ def printed(tree: DataFrame, key: str = "digest", indent: str = "\t", sort_keys:
     gap = F.lit("\n") if blank_lines else F.lit("")
     lead = F.when((F.col("depth") == 0) & (F.col("pos") > 0), gap).otherwise(F.lit(""))
     if sort_keys:
-        # A line's place is the path of ranks of the nodes around it; a closing brace comes after all that it closes.
-        rank = F.struct(F.when(F.col("node_type") == "value", 0).when(F.col("node_type") == "assignment", 1).otherwise(2).alias("kind"), F.when(F.col("node_type") == "assignment", F.col("key")).otherwise("").alias("by"), F.col("node_id").alias("i"))
-        own = rows.select(key, "node_id", "parent_id", "depth", rank.alias("rank"))
-        place = own.where("depth = 0").select(key, "node_id", F.array(F.struct(F.lit(2).alias("kind"), F.lit("").alias("by"), F.col("node_id").alias("i"))).alias("place"))
-        level, every = place, place
-        for d in range(1, 33):  # the format nests a handful of levels; each is one join
-            step = own.where(F.col("depth") == d)
-            if step.isEmpty():
-                break
-            level = step.join(level.select(key, F.col("node_id").alias("parent_id"), "place"), [key, "parent_id"]).select(key, "node_id", F.array_append("place", F.col("rank")).alias("place"))
-            every = every.unionByName(level)
-        last = F.struct(F.lit(3).alias("kind"), F.lit("").alias("by"), F.lit(0).alias("i"))
-        at, closing = F.col("place"), F.array_append("place", last)
-        rows = rows.join(every, [key, "node_id"])
-    else:
-        at, closing = F.struct(F.col("start_off").alias("at"), F.col("node_id").alias("i")), F.struct(F.col("end_off").alias("at"), (-F.col("node_id")).alias("i"))
+        # Every node's own line goes to its content's row once, and the row is laid out from there: no join for each level.
+        # Top-level entries stay in their order.
+        is_value, is_set = (F.col("depth") > 0) & (F.col("node_type") == "value"), (F.col("depth") > 0) & (F.col("node_type") == "assignment")
+        rank = F.when(is_value, 0).when(is_set, 1).otherwise(2).alias("kind"), F.when(is_set, F.col("key")).otherwise("").alias("by")
+        own = F.concat(lead, tabs, F.when(is_block, opener).otherwise(head)).alias("line")
+        held = rows.select(key, F.struct("node_id", "parent_id", *rank, own, F.when(is_block, F.concat(tabs, F.lit("}"))).alias("last")).alias("n"))
+        kind_of_key = tree.schema[key].dataType.simpleString()
+        return held.groupBy(key).agg(F.collect_list("n").alias("n")).mapInArrow(_laid_out, f"{key} {kind_of_key}, text string")
+    at, closing = F.struct(F.col("start_off").alias("at"), F.col("node_id").alias("i")), F.struct(F.col("end_off").alias("at"), (-F.col("node_id")).alias("i"))
     line = lambda place, text: F.struct(place.alias("at"), text.alias("s"))
     both = F.array(line(at, F.concat(lead, tabs, opener)), line(closing, F.concat(tabs, F.lit("}"))))
     lines = rows.select(key, F.explode(F.when(is_block, both).otherwise(F.array(line(at, F.concat(lead, tabs, head))))).alias("l"))

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from palimpsest.operators.resolve import merge_containers, trace, winners
 from palimpsest.sources import script
 
@@ -65,3 +67,22 @@ def test_symbols_references_and_winners(spark):
 def test_changes(spark):
     changes = script.diff(tree(spark, "a = 1 b = 2 c = { d > 3 }"), tree(spark, "a = 1 b = 5 c = { d < 3 } e = 4")).collect()
     assert sorted((r.path, r.change_type) for r in changes) == [("b", "modified"), ("c.d", "modified"), ("e", "added")]
+
+
+def test_nodes_spread_and_joins_do_not_broadcast_them(spark):
+    rows = spark.range(0, 400, 1, 1).selectExpr("id AS digest", "concat('p_', id, ' = { b = 2 c = { a = 1 } }') AS text")
+    tree = script.nodes(rows)
+    assert tree.select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made = script.slots(tree, ("c",))
+    assert "BroadcastHashJoin" not in made._jdf.queryExecution().sparkPlan().toString()
+    assert made.count() == 400
+
+
+def test_printed_parses_once_and_at_any_depth(spark):
+    deep = "a = { " * 40 + "x = 1" + " }" * 40
+    rows = spark.createDataFrame([("d", deep), ("e", "k = { z = { } y = 2 v b = 1 } q = 1")], "digest string, text string")
+    made = script.printed(script.nodes(rows), indent=" ", sort_keys=True)
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+    texts = dict(made.collect())
+    assert texts["e"] == "k = {\n v\n b = 1\n y = 2\n z = {\n }\n}\nq = 1"
+    assert "x = 1" in texts["d"] and texts["d"].count("}") == 40
