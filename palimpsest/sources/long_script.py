@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from palimpsest.sources.script import NODE, nodes, nodes_of
 
 RANGE = 1 << 20  # characters read, and about as many parsed, by one task
+SENT = 256  # ranges sent at once
 STATES = CODE, COMMENT, STRING = 0, 1, 2
 MARK = re.compile(r'[{}"#\n]')
 COLUMNS = [c.split()[0] for c in NODE.split(", ")]
@@ -84,51 +85,72 @@ def long_nodes(contents: DataFrame, key: str = "digest", text: str = "text", siz
     # In a string without escapes a quote ends it, and @[ can hold anything.
     simple = (F.length("text") > size) & ~F.col("text").contains("\\") & ~F.col("text").contains("@[")
     long = slim.where(simple)
-    n = F.ceil(F.length("text") / size).cast("int")
-    part = F.substring("text", (F.col("no") * size + 1).cast("int"), F.lit(size))
-    ranges = long.select("digest", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("no")).select("digest", "no", part.alias("part"))
-    spread = ranges.repartition("digest", "no")
+    parts = int(contents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        like = [("digest", pa.string()), ("no", pa.int32()), ("part", pa.string())]
+        for b in batches:
+            for d, t in zip(b.column(0), b.column(1)):  # one text at a time, gone through once
+                d, t = d.as_py(), t.as_py()
+                for at in range(0, len(t), size * SENT):
+                    yield _arrow([(d, k // size, t[k : k + size]) for k in range(at, min(at + size * SENT, len(t)), size)], like)
+
+    spread = long.mapInArrow(ranged, "digest string, no int, part string").repartition(parts, "digest", "no")
 
     def effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        like = [("digest", pa.string()), ("no", pa.int32()), ("to", pa.list_(pa.int32())), ("closes", pa.list_(pa.int32())), ("opens", pa.list_(pa.int32())), ("feeds", pa.int64())]
+        like = [("digest", pa.string()), ("no", pa.int32()), ("to", pa.list_(pa.int32())), ("closes", pa.list_(pa.int32())), ("opens", pa.list_(pa.int32())), ("feeds", pa.int64()), ("length", pa.int64())]
         for b in batches:
             rows = []
             for d, no, t in zip(*(b.column(i).to_pylist() for i in range(3))):
                 all_of = [effect(t, s) for s in STATES]
-                rows.append((d, no, *map(list, zip(*all_of)), t.count("\n")))
+                rows.append((d, no, *map(list, zip(*all_of)), t.count("\n"), len(t)))
             yield _arrow(rows, like)
 
-    told = spread.mapInArrow(effects, "digest string, no int, to array<int>, closes array<int>, opens array<int>, feeds long")
-    # A text has few ranges: they are gone through in order inside one row.
-    in_order = told.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("no", "to", "closes", "opens", "feeds"))).alias("all"))
-    start = F.struct(F.lit(CODE).alias("state"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("feeds"), F.array().cast("array<struct<no:int,state:int,depth:int,feeds:bigint>>").alias("seen"))
+    told = spread.mapInArrow(effects, "digest string, no int, to array<int>, closes array<int>, opens array<int>, feeds long, length long")
 
-    def go_on(acc, r):
-        s = acc["state"]
-        depth = F.greatest(acc["depth"] - F.get(r["closes"], s), F.lit(0)) + F.get(r["opens"], s)
-        here = F.struct(r["no"].alias("no"), s.alias("state"), acc["depth"].alias("depth"), acc["feeds"].alias("feeds"))
-        return F.struct(F.get(r["to"], s).alias("state"), depth.alias("depth"), (acc["feeds"] + r["feeds"]).alias("feeds"), F.concat(acc["seen"], F.array(here)).alias("seen"))
+    def gone_through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        like = [("digest", pa.string()), ("no", pa.int32()), ("state", pa.int32()), ("depth", pa.int32()), ("feeds", pa.int64()), ("length", pa.int64()), ("to", pa.int32())]
+        now = None
+        for b in batches:
+            rows = []
+            for d, no, to, closes, opens, feeds, length in zip(*(b.column(i).to_pylist() for i in range(7))):
+                if d != now:
+                    now, s, depth, lines, chars = d, CODE, 0, 0, 0
+                rows.append((d, no, s, depth, lines, chars + length, to[s]))
+                depth, lines, chars, s = max(depth - closes[s], 0) + opens[s], lines + feeds, chars + length, to[s]
+            yield _arrow(rows, like)
 
-    begun = in_order.withColumn("end", F.aggregate("all", start, go_on)).select("digest", F.col("end.state").alias("last"), F.explode("end.seen").alias("b")).select("digest", "last", "b.*")
-    begun = begun.where(F.col("last") != STRING).drop("last")
+    # What ranges do, without their texts, is gone through in order, a row at a time.
+    in_order = told.repartition(parts, "digest").sortWithinPartitions("digest", "no")
+    begun = in_order.mapInArrow(gone_through, "digest string, no int, state int, depth int, feeds long, length long, to int")
+    ended = begun.groupBy("digest").agg(F.max(F.struct("no", "to", "length")).alias("e")).where(F.col("e.to") != STRING).select("digest", F.col("e.length").alias("whole"))
 
     def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        like = [("digest", pa.string()), ("cut", pa.int64()), ("line", pa.int64())]
+        like = [("digest", pa.string()), ("no", pa.int32()), ("cut", pa.int64()), ("line", pa.int64())]
         for b in batches:
             rows = []
             for d, no, t, state, depth, feeds in zip(*(b.column(i).to_pylist() for i in range(6))):
                 found = ends(t, state, depth)
                 if found:  # the last one of a range: pieces are about as long as ranges
-                    rows.append((d, no * size + found[-1], feeds + t.count("\n", 0, found[-1])))
+                    rows.append((d, no, no * size + found[-1], feeds + t.count("\n", 0, found[-1])))
             yield _arrow(rows, like)
 
-    cut = spread.join(begun, ["digest", "no"]).select("digest", "no", "part", "state", "depth", "feeds").mapInArrow(cuts, "digest string, cut long, line long")
-    cut = begun.select("digest").distinct().select("digest", F.lit(0).cast("long").alias("cut"), F.lit(0).cast("long").alias("line")).unionByName(cut)
-    following = F.lead("cut").over(Window.partitionBy("digest").orderBy("cut"))
-    piece = F.row_number().over(Window.partitionBy("digest").orderBy("cut")) - 1
-    places = cut.distinct().withColumn("to", following).withColumn("piece", piece)
-    whole = F.length("text").cast("long")
-    texts = long.join(places, "digest").select("digest", "piece", "cut", "line", whole.alias("whole"), F.substring("text", (F.col("cut") + 1).cast("int"), (F.coalesce("to", whole) - F.col("cut")).cast("int")).alias("text"))
+    at_range = spread.join(begun.hint("shuffle_merge"), ["digest", "no"]).select("digest", "no", "part", "state", "depth", "feeds")
+    cut = at_range.mapInArrow(cuts, "digest string, no int, cut long, line long").hint("shuffle_merge").join(ended, "digest")
+    first = ended.select("digest", F.lit(-1).alias("no"), F.lit(0).cast("long").alias("cut"), F.lit(0).cast("long").alias("line"), "whole")
+    piece = F.row_number().over(Window.partitionBy("digest").orderBy("no")) - 1
+    places = first.unionByName(cut).withColumn("piece", piece)
+    # A range's text up to its cut ends the piece before, and the rest of it begins the next or goes on with the last.
+    so_far = Window.partitionBy("digest").orderBy("no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marks = begun.select("digest", "no").join(ended.hint("shuffle_merge"), "digest").join(cut.select("digest", "no", "cut").hint("shuffle_merge"), ["digest", "no"], "left")
+    marks = marks.select("digest", "no", "cut", F.count("cut").over(so_far).cast("int").alias("piece"))
+    whole_parts = spread.join(marks.hint("shuffle_merge"), ["digest", "no"])
+    here = (F.col("cut") - F.col("no").cast("long") * size).cast("int")
+    fragment = lambda piece, text: F.struct(piece.alias("piece"), text.alias("text"))
+    both = F.array(fragment(F.col("piece") - 1, F.substring("part", F.lit(1), here)), fragment(F.col("piece"), F.substring("part", here + 1, F.lit(size))))
+    fragments = whole_parts.select("digest", "no", F.explode(F.when(F.col("cut").isNull(), F.array(fragment(F.col("piece"), F.col("part")))).otherwise(both)).alias("f")).select("digest", "no", "f.*")
+    joined = fragments.groupBy("digest", "piece").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("no", "text"))), lambda x: x["text"]), "").alias("text"))
+    texts = joined.join(places.hint("shuffle_merge"), ["digest", "piece"]).select("digest", "piece", "cut", "line", "whole", "text")
 
     kinds = {"int": pa.int32(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
     like = [(c.split()[0], kinds[c.split()[1]]) for c in NODE.split(", ")]
@@ -160,7 +182,7 @@ def long_nodes(contents: DataFrame, key: str = "digest", text: str = "text", siz
     again = Window.partitionBy("digest", "top_name").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     named = made.where("depth = 0 AND top_name IS NOT NULL").groupBy("digest", "top_name", "piece").agg(F.count("*").alias("n"))
     named = named.select("digest", "top_name", "piece", F.coalesce(F.sum("n").over(again), F.lit(0)).cast("int").alias("__nth"))
-    told = made.join(sums, ["digest", "piece"]).join(named, ["digest", "top_name", "piece"], "left")
+    told = made.hint("shuffle_merge").join(sums, ["digest", "piece"]).join(named, ["digest", "top_name", "piece"], "left")
     moved = lambda c: F.when(F.col(c) > 0, F.col(c) + F.col("__ids")).otherwise(F.col(c))
     index = lambda c: F.when(c > 0, F.concat(F.lit("["), c.cast("string"), F.lit("]"))).otherwise(F.lit(""))
     prefix = F.length(F.concat("top_name", index(F.col("nth"))))
@@ -169,6 +191,6 @@ def long_nodes(contents: DataFrame, key: str = "digest", text: str = "text", siz
     new = {"node_id": moved("node_id"), "parent_id": moved("parent_id"), "top_id": moved("top_id"), "pos": pos, "path": path}
     pieces = told.select("digest", *[new.get(c, F.col(c)).alias(c) for c in COLUMNS])
 
-    rest = slim.join(begun.select("digest").distinct(), "digest", "left_anti")
+    rest = slim.join(ended.select("digest"), "digest", "left_anti")
     out = nodes(rest).unionByName(pieces)
     return out if key == "digest" else out.withColumnRenamed("digest", key)

@@ -46,3 +46,15 @@ def test_effects_compose():
             depth = rng.randint(0, 5)
             one = L.effect(text, state)
             assert one[0] == t and max(max(depth - c, 0) + o - d, 0) + p == max(depth - one[1], 0) + one[2]
+
+
+def test_work_grows_with_the_text_not_with_its_square(spark):
+    import time
+
+    n = 60_000
+    text = "\n".join(f"p_{i} = {{ a = {i} }}" for i in range(n))
+    df = spark.createDataFrame([("long", text)], "digest string, text string")
+    began = time.monotonic()
+    top = L.long_nodes(df, size=40).where("depth = 0").selectExpr("count(*)", "max(pos)", "max(line)").first()
+    assert tuple(top) == (n, n - 1, n)
+    assert time.monotonic() - began < 60
