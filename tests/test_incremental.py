@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.operators import incremental as N
 
@@ -56,3 +57,15 @@ def test_untouched_keys_are_not_shuffled(spark, tmp_path):
     kept = plan.split("Union")[1]
     assert kept.index("LeftAnti") < kept.index("Exchange")  # the kept rows come straight from their scan
     assert now.state.count() == 2000 - 40
+
+
+def test_large_change_sets_start_from_what_the_last_one_stored(spark, monkeypatch):
+    monkeypatch.setattr(N, "SMALL", 0)
+    rows = spark.range(400).selectExpr("concat('k', id % 90) AS name", "cast(id % 3 AS int) AS load_order", "concat('f', id % 40) AS file", "cast(id AS int) AS line", "cast(id AS int) AS value")
+    now = N.resolved(rows, KEY, ORDER)
+    for step in range(3):
+        now = N.change(now, rows.where(f"line % 11 = {step}").withColumn("file", F.concat(F.lit("n"), "file")), rows.where(f"line % 7 = {step}").select("file"), KEY, ORDER, ["file"])
+    plan = now.state._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan  # before: every change set was computed again in the next
+    full = N.resolved(now.defs, KEY, ORDER).state
+    assert sorted(map(tuple, now.state.collect())) == sorted(map(tuple, full.collect()))
