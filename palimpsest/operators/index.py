@@ -1,8 +1,8 @@
 """Stored indexes: postings of words with their places, and trigrams of names, as sorted Parquet tables.
 
-Rows are range-partitioned and sorted by term and key, below one folder for each of ``BUCKETS`` buckets of terms. A query
-names its terms' buckets, so Spark lists and opens those folders only, and the terms are pushed down to row groups. The
-postings of a term that every text holds are spread over as many files as any other rows.
+Rows are below one folder for each of ``BUCKETS`` buckets of terms, where keys deal them to files that are sorted by term
+and key. A query names its terms' buckets, so Spark lists and opens those folders only, and the terms are pushed down to
+row groups. The postings of a term that every text holds are spread over all files of its bucket.
 
 An index grows by segments. A segment is a batch's postings, and the keys that the batch replaces or removes; older
 segments are never rewritten, and a query leaves out what a later segment took back. ``merge`` makes one segment of all.
@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ from palimpsest.operators.search import grep_files, patterns
 
 WORD = "[a-z0-9]+"
 BUCKETS = 64
+SENT = 20_000  # postings sent at once
 
 
 def _bucket(term: Column) -> Column:
@@ -29,8 +31,10 @@ def _bucket(term: Column) -> Column:
 
 
 def _sorted_by(rows: DataFrame, term: str, path: str) -> None:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = F.pmod(F.xxhash64("key"), F.lit(-(-4 * parts // BUCKETS)))  # about four shares a task in all
     placed = rows.withColumn("bucket", _bucket(F.col(term)))
-    placed.repartitionByRange("bucket", term, "key").sortWithinPartitions("bucket", term, "key").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    placed.repartition(parts, "bucket", share).sortWithinPartitions("bucket", term, "key").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def _of_terms(rows: DataFrame, term: str, wanted: Sequence[str]) -> DataFrame:
@@ -42,10 +46,30 @@ def _of_terms(rows: DataFrame, term: str, wanted: Sequence[str]) -> DataFrame:
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(term, key, len, tf, places): each word of each text with its places from 0, and the text's number of words."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), F.lit(0))
-    rows = docs.select(F.col(key).alias("key"), words.alias("w")).select("key", F.size("w").cast("long").alias("len"), F.posexplode("w").alias("place", "term"))
-    return rows.groupBy("term", "key").agg(F.first("len").alias("len"), F.count("*").alias("tf"), F.sort_array(F.collect_list("place")).alias("places"))
+    """(term, key, len, tf, places): each word of each text with its places from 0, and the text's number of words. Keys are
+    unique: a text's words meet in its own row, and nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: tuple[list, ...] = ([], [], [], [], [])
+            for k, t in zip(b.column(0), b.column(1)):
+                words = re.findall(WORD, t.as_py())
+                places: dict[str, list[int]] = {}
+                for i, w in enumerate(words):
+                    places.setdefault(w, []).append(i)
+                for c, of in zip(rows, (places, [k.as_py()] * len(places), [len(words)] * len(places), map(len, places.values()), places.values())):
+                    c.extend(of)
+                if len(rows[0]) >= SENT:
+                    yield out(rows, b.column(0).type)
+                    rows = ([], [], [], [], [])
+            yield out(rows, b.column(0).type)
+
+    def out(rows: tuple[list, ...], kind: pa.DataType) -> pa.RecordBatch:
+        kinds = pa.string(), kind, pa.int64(), pa.int64(), pa.list_(pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], names=["term", "key", "len", "tf", "places"])
+
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    return docs.select(F.col(key).alias("key"), low.alias("text")).mapInArrow(run, f"term string, key {docs.schema[key].dataType.simpleString()}, len long, tf long, places array<int>")
 
 
 def _live(rows: DataFrame, gone: DataFrame) -> DataFrame:
@@ -63,7 +87,9 @@ def add_segment(docs: DataFrame, key: str, text: str, root: str, segment: int, r
     """
     spark = docs.sparkSession
     at = lambda table: f"{root}/{table}/segment={segment}"
-    _sorted_by(postings(docs, key, text), "term", at("postings"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = docs.select(key, text).repartition(parts, key)  # few and well compressed files make many postings
+    _sorted_by(postings(dealt, key, text), "term", at("postings"))
     n_words = F.regexp_count(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD)).cast("long")
     docs.select(F.col(key).alias("key"), n_words.alias("len")).write.mode("overwrite").parquet(at("texts"))
     texts = spark.read.parquet(at("texts"))

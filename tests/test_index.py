@@ -82,3 +82,10 @@ def test_like_and_grep(spark, texts, tmp_path):
         assert sorted((r.id, r.text, r.n_occurrences) for r in I.grep(texts, "id", "text", terms, str(tmp_path)).collect()) == want, terms
     candidates = I._holders(spark, str(tmp_path), ["rar", "are"], ["key"]).count()
     assert candidates == 1  # of 403 texts one is read and checked
+
+
+def test_postings_need_no_shuffle(spark):
+    docs = spark.createDataFrame([(1, "B a, b É a"), (2, None), (3, "c")], "k long, t string")
+    made = I.postings(docs, "k", "t")
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()  # before: every word of every text
+    assert sorted(map(tuple, made.collect())) == [("a", 1, 4, 2, [1, 3]), ("b", 1, 4, 2, [0, 2]), ("c", 3, 1, 1, [0])]
