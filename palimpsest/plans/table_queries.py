@@ -16,7 +16,7 @@ from palimpsest.operators import tables as B
 from palimpsest.operators import units as U
 from palimpsest.plans.queries import DEFS, EXPECTED, PATH_SQL
 from palimpsest.plans.registry import query
-from palimpsest.session import table
+from palimpsest.session import shared_folder, table
 from palimpsest.sources import files as S
 from palimpsest.sources import logs as G
 
@@ -70,7 +70,9 @@ def unit_candidates(spark: SparkSession, sf: str) -> DataFrame:
   SELECT 'risk' AS what, risk AS value, count(*) AS n FROM d GROUP BY risk UNION ALL SELECT 'domain', domain, count(*) FROM d GROUP BY domain UNION ALL SELECT 'status', status, count(*) FROM d GROUP BY status UNION ALL SELECT 'all', NULL, count(*) FROM d""")
 def unit_histogram(spark: SparkSession, sf: str) -> DataFrame:
     """Units by risk, domain and the state of their latest resolution."""
-    units = U.conflict_units(_contributions(spark, sf), base_order=0)
+    path = shared_folder(spark, "units")  # read three times, made once
+    U.conflict_units(_contributions(spark, sf), base_order=0).select("conflict_id", "domain", "risk").write.parquet(path)
+    units = spark.read.parquet(path)
     first = units.where("domain IN ('event', 'gui')").select("conflict_id", F.lit("deferred").alias("status"), F.lit(1).alias("decided_at"))
     later = units.where("domain = 'event'").select("conflict_id", F.lit("resolved").alias("status"), F.lit(2).alias("decided_at"))
     return U.histogram(U.with_resolutions(units, first.unionByName(later)))
