@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.session import dealt
+
 
 def conflicts(defs: DataFrame, key: Sequence[str], source: str, sep: str = ",") -> DataFrame:
     """Keys that more than one source defines: number of sources and definitions, the winning (highest) source, and the
@@ -87,7 +89,8 @@ def conflicts_by_policy(defs: DataFrame, key: Sequence[str], source: str, order:
 
 def enriched(rows: DataFrame, known: DataFrame, key: Sequence[str]) -> DataFrame:
     """All rows with what is known of their key, nulls where nothing is. A null key knows nothing; a key known twice gives
-    its row twice."""
+    its row twice. Both are counted first and dealt to as many tasks as that takes, so give stored tables."""
+    rows, known = dealt(key, rows, known)
     return rows.join(known, list(key), "left")
 
 
