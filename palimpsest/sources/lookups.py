@@ -1,7 +1,7 @@
 """Typed tables read from the node table of script text: people, places, names, traits, events, decisions.
 
-Each table is one grouped pass over the nodes below the blocks that define its rows: children are reduced by block before
-the block's own row is joined, so nothing is gathered and every plan stays inside the JVM. Of a repeated key the first
+Each table is one grouped pass over the blocks that define its rows and the nodes below them, so that texts are parsed once,
+nothing is gathered and every plan stays inside the JVM. Of a repeated key the first
 value counts. Contents without such blocks give no rows; a key that is missing gives null.
 """
 
@@ -34,18 +34,22 @@ def blocks(tree: DataFrame, key: str, keep: Column) -> DataFrame:
     return tree.where((F.col("depth") == 0) & (F.col("node_type") == "block") & keep).select(key, F.col("node_id").alias("block"), F.col("key").alias("name_of_block"), "line")
 
 
-def fields(tree: DataFrame, key: str, names: Sequence[str], lists: Sequence[str] = ()) -> DataFrame:
-    """By block: the first value of each name among its direct children, and all values of each of ``lists``, in order."""
-    own = tree.where((F.col("depth") == 1) & (F.col("node_type") == "assignment") & F.col("key").isin(*names, *lists))
-    # A path ends in [i] from a key's second occurrence on.
-    first = ~F.col("path").endswith("]")
-    values = [F.max(F.when((F.col("key") == n) & first, F.col("value"))).alias(n) for n in names]
-    every = [F.transform(F.sort_array(F.collect_list(F.when(F.col("key") == n, F.struct("pos", "value")))), lambda x: x["value"]).alias(n) for n in lists]
-    return own.groupBy(key, F.col("top_id").alias("block")).agg(*values, *every)
-
-
 def _defined(tree: DataFrame, key: str, keep: Column, names: Sequence[str], lists: Sequence[str] = ()) -> DataFrame:
-    return blocks(tree, key, keep).join(fields(tree, key, names, lists), [key, "block"], "left")
+    """The blocks of ``blocks`` with the first value of each name among their direct children, and all values of each of
+    ``lists``, in order."""
+    is_block = (F.col("depth") == 0) & (F.col("node_type") == "block") & keep
+    is_field = (F.col("depth") == 1) & (F.col("node_type") == "assignment") & F.col("key").isin(*names, *lists)
+    # A path ends in [i] from a key's second occurrence on.
+    first = is_field & ~F.col("path").endswith("]")
+    # Only what is asked is sent, and the rows are dealt by block before they are reduced: maxima of strings are taken in
+    # sorted rows, which would else be all nodes of a task's texts.
+    asked = [F.when(is_block, F.col("key")).alias("name_of_block"), F.when(is_block, F.col("line")).alias("line")]
+    asked += [F.when((F.col("key") == n) & first, F.col("value")).alias(n) for n in names]
+    asked += [F.when(is_field & (F.col("key") == n), F.struct("pos", "value")).alias(n) for n in lists]
+    rows = tree.where(is_block | is_field).select(key, F.col("top_id").alias("block"), *asked).repartition(key, "block")
+    every = [F.transform(F.sort_array(F.collect_list(n)), lambda x: x["value"]).alias(n) for n in lists]
+    own = [F.max(n).alias(n) for n in ("name_of_block", "line", *names)]
+    return rows.groupBy(key, "block").agg(*own, *every).where("name_of_block IS NOT NULL")
 
 
 def characters(tree: DataFrame, key: str = "digest") -> DataFrame:

@@ -7,8 +7,8 @@ leaves as soon as its node closes. All that follows (symbols, references, paths,
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from itertools import islice
+from collections.abc import Iterable, Iterator
+from itertools import chain, groupby, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -39,13 +39,45 @@ def value_type(text: str, group: str) -> str:
     return "number" if NUMBER.match(text) else "identifier"
 
 
-def nodes_of(text: str) -> Iterator[list]:
+def tokens(parts: Iterable[str]) -> Iterator[tuple[str, str, int, int, int]]:
+    """Tokens of a text that comes in parts: group, token, start, end, line. A token that the next part may prolong, or make
+    another one (a quote, @[), waits for it, so the tokens are those of the whole text; no more of it is held."""
+    held, base, line, need = "", 0, 1, 0
+    source = iter(parts)
+    part = next(source, None)
+    while part is not None:
+        held, part = held + part, next(source, None)
+        if part is not None and len(held) < need:
+            continue
+        line_at, rest = 0, len(held)
+        for m in TOKEN.finditer(held):
+            group = m.lastgroup
+            if part is not None and (m.end() == len(held) or group == "bad" or group == "atom" and held.startswith("@[", m.start(group))):
+                rest = m.start()
+                break
+            if group is None:
+                break
+            token = m.group(group)
+            at = m.end() - len(token)
+            line += held.count("\n", line_at, at)
+            line_at = at
+            yield group, token, base + at, base + m.end(), line
+        if rest > line_at:
+            line += held.count("\n", line_at, rest)
+        held, base = held[rest:], base + rest
+        need = 2 * len(held)  # what waits long is not looked at again for each part
+
+
+def nodes_of(text: str | Iterable[str], size: int | None = None) -> Iterator[list]:
     """Rows in the order of ``NODE``; ``top_id`` is the top-level node that a node is in, ``ancestors`` the keys of the
-    blocks around it, outermost first. A stray or missing brace, or an unclosed string, gives an error row; parsing goes on."""
-    line_at, line, last = 0, 1, (None, "", 0, 0)  # the key waiting for its operator: (text, group, start, line)
+    blocks around it, outermost first. A stray or missing brace, or an unclosed string, gives an error row; parsing goes on.
+    A text may come in parts, with its ``size`` in characters."""
+    parts = [text] if isinstance(text, str) else text
+    size = len(text) if isinstance(text, str) else size
+    line = 1
     stack: list[list] = [[0, "", -1, {}, 0, None, []]]  # node id, path, depth, times each key was seen, children, row, keys
     rows, op, waiting, at = 1, None, None, 0
-    yield [0, None, -1, 0, "root", None, None, None, None, 1, 0, len(text), "", None, None, []]
+    yield [0, None, -1, 0, "root", None, None, None, None, 1, 0, size, "", None, None, []]
 
     def place(key: str | None) -> tuple[int, int, int, str]:
         top = stack[-1]
@@ -65,14 +97,7 @@ def nodes_of(text: str) -> Iterator[list]:
     def error(what: str) -> list:
         return [rows, stack[-1][0], stack[-1][2] + 1, -1, "error", None, None, None, None, line, at, at, stack[-1][1], what, *within()]
 
-    for m in TOKEN.finditer(text):
-        group = m.lastgroup
-        if group is None:
-            break
-        token = m.group(group)
-        at = m.end() - len(token)
-        line += text.count("\n", line_at, at)
-        line_at = at
+    for group, token, at, end, line in tokens(parts):
         if group == "bad":
             yield error("unclosed string")
             rows += 1
@@ -100,7 +125,7 @@ def nodes_of(text: str) -> Iterator[list]:
                 rows += 1
             else:
                 done = stack.pop()[5]
-                done[11] = m.end()
+                done[11] = end
                 yield done
         else:
             now = (token, group, at, line)
@@ -108,7 +133,7 @@ def nodes_of(text: str) -> Iterator[list]:
                 key = waiting[0].strip('"')
                 parent, depth, pos, path = place(key)
                 value = token[1:-1] if group == "string" else token
-                yield [rows, parent, depth, pos, "assignment", key, op, value, value_type(token, group), waiting[3], waiting[2], m.end(), path, None, *within()]
+                yield [rows, parent, depth, pos, "assignment", key, op, value, value_type(token, group), waiting[3], waiting[2], end, path, None, *within()]
                 rows, waiting, op = rows + 1, None, None
             else:
                 if waiting is not None:
@@ -120,18 +145,20 @@ def nodes_of(text: str) -> Iterator[list]:
         rows += 1
     while len(stack) > 1:
         done = stack.pop()[5]
-        done[11], done[13] = len(text), "unclosed block"
+        done[11], done[13] = size, "unclosed block"
         yield done
 
 
 BATCH = 20_000  # rows sent at once
+PART = 1 << 20  # characters of a text sent to a parser at once
 
 
 def nodes(contents: DataFrame, key: str = "digest", text: str = "text") -> DataFrame:
     """The node table of distinct contents. Null text has no nodes; an empty one has its root.
 
     Contents are dealt to tasks by key first: texts are made from, or stored in, few and well compressed files, and parsing
-    costs far more than reading them. For the same reason Spark's guess at the table's size is far too low, so that a join
+    costs far more than reading them. A text is sent to its parser in parts, so that a long one is never held there; what
+    grows with it is the set of its top-level keys. For the same reason Spark's guess at the table's size is far too low, so that a join
     with it is told not to broadcast it.
     """
     names = [c.split()[0] for c in NODE.split(", ")]
@@ -145,24 +172,34 @@ def nodes(contents: DataFrame, key: str = "digest", text: str = "text") -> DataF
         def out(rows: list[list], keys: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(keys, key_kind), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=[key, *names])
 
-        for b in batches:
-            key_kind = b.column(0).type
-            for k, t in zip(b.column(0), b.column(1)):  # one text at a time, as each may be long
-                if not t.is_valid:
-                    continue
-                found, k = nodes_of(t.as_py()), k.as_py()
-                while some := list(islice(found, BATCH - len(held))):  # a long text leaves in pieces
-                    held += some
-                    owner += [k] * len(some)
-                    if len(held) >= BATCH:
-                        yield out(held, owner)
-                        held, owner = [], []
+        def parts_of() -> Iterator[tuple]:
+            nonlocal key_kind
+            count = 0
+            for b in batches:
+                key_kind = b.column(0).type
+                for k, no, size, part in zip(*(b.column(i) for i in range(4))):  # one part at a time
+                    count += no.as_py() == 0
+                    yield count, k, size, part
+
+        for _, rows in groupby(parts_of(), key=lambda r: r[0]):  # a text's parts follow each other
+            first = next(rows)
+            k, size = first[1].as_py(), first[2].as_py()
+            found = nodes_of((r[3].as_py() for r in chain((first,), rows)), size)
+            while some := list(islice(found, BATCH - len(held))):  # a long text leaves in pieces
+                held += some
+                owner += [k] * len(some)
+                if len(held) >= BATCH:
+                    yield out(held, owner)
+                    held, owner = [], []
         if held:
             yield out(held, owner)
 
     key_type = contents.schema[key].dataType.simpleString()
     parts = int(contents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return contents.select(key, text).repartition(parts, key).mapInArrow(run, f"{key} {key_type}, {NODE}").hint("shuffle_merge")
+    last = F.greatest(F.lit(0), F.floor((F.length(text) - 1) / PART).cast("int"))
+    sent = contents.select(key, text).repartition(parts, key).withColumn("__no", F.explode(F.when(F.col(text).isNotNull(), F.sequence(F.lit(0), last))))
+    sent = sent.select(key, "__no", F.length(text).alias("__size"), F.substring(text, F.col("__no") * PART + 1, F.lit(PART)).alias("__part"))
+    return sent.mapInArrow(run, f"{key} {key_type}, {NODE}").hint("shuffle_merge")
 
 
 def symbols(tree: DataFrame, files: DataFrame, key: str = "digest") -> DataFrame:

@@ -86,3 +86,36 @@ def test_printed_parses_once_and_at_any_depth(spark):
     texts = dict(made.collect())
     assert texts["e"] == "k = {\n v\n b = 1\n y = 2\n z = {\n }\n}\nq = 1"
     assert "x = 1" in texts["d"] and texts["d"].count("}") == 40
+
+
+def test_a_text_in_parts_has_the_nodes_of_the_whole():
+    import random
+
+    rng = random.Random(5)
+    pieces = ['a', 'b.1', ' ', '\n', '=', '<=', '?=', '!', '?', '{', '}', '"', '"x y"', '\\', '\\"', '#', '# c "\n', '@', '@[', ']', '@[ a + 1 ]', ';', ',', 'yes', '$P$', '﻿', 'é']
+    for _ in range(400):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(60)))
+        n = rng.randrange(1, 9)
+        assert list(script.nodes_of((text[i : i + n] for i in range(0, len(text), n)), len(text))) == list(script.nodes_of(text)), (n, text)
+
+
+def test_a_long_text_is_not_held():
+    asked = []
+
+    def parts():
+        for i in range(300):
+            asked.append(i)
+            yield f"k{i} = {{ v = {i} }}\n"
+
+    size = sum(len(f"k{i} = {{ v = {i} }}\n") for i in range(300))
+    found = script.nodes_of(parts(), size)
+    assert [next(found)[4] for _ in range(5)][0] == "root" and len(asked) < 8  # before: the whole text
+    assert sum(1 for r in found if r[4] == "assignment") == 298
+
+
+def test_parts_reach_their_texts(spark, monkeypatch):
+    texts = [("a", "x = { y = 1 }\n" * 9), ("b", ""), ("c", None), ("d", 'é = "é\n' * 3 + '"'), ("e", "} # }")]
+    monkeypatch.setattr(script, "PART", 5)
+    got = sorted(tuple(r) for r in script.nodes(spark.createDataFrame(texts, "digest string, text string")).collect())
+    assert [g[:2] for g in got] == sorted((k, r[0]) for k, t in texts if t is not None for r in script.nodes_of(t))
+    assert {str(g[1:]) for g in got} == {str(tuple(r)) for k, t in texts if t is not None for r in script.nodes_of(t)}
