@@ -77,3 +77,14 @@ def test_latest_before(spark):
     marks = [(rng.choice("xy"), rng.randrange(100), rng.randrange(1000)) for _ in range(30)]
     got = latest_before(spark.createDataFrame(rows, "g string, t long, i long"), spark.createDataFrame(marks, "g string, t long, v long"), "g", "t", "v", 7, "v")
     assert {r.i: r.v for r in got.collect()} == {i: max((v for h, u, v in marks if h == g and u < t), default=None) for g, t, i in rows}
+
+
+def test_pairs_are_reduced_where_they_meet(spark, monkeypatch):
+    """Marks of many records are dealt to tasks by their number, and pairs are not sorted by root to be told its number."""
+    rows = log(4)
+    df = spark.createDataFrame(rows, COLUMNS).repartition(3).cache()
+    monkeypatch.setattr(K, "MARKED", 50)
+    told = K.marked(df)
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert ", 8)" in plan and "root_record" not in "".join(x for x in plan.splitlines() if "SortMergeJoin [file" in x)  # before: 4, and a join by root_record
+    assert {(r.file, r.record): (r.is_root, r.is_child, r.cascade_group) for r in told.collect()} == brute(rows)[1]
