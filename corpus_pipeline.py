@@ -15,7 +15,7 @@ from palimpsest.llm.decontaminate import decontaminate
 from palimpsest.llm.jaccard import near_duplicates
 from palimpsest.llm.langid import UNDECIDED, fit, identify
 from palimpsest.llm.mixing import mix_sources
-from palimpsest.llm.shared import cut, row_key, shared_dir, word_count
+from palimpsest.llm.shared import cut, release, row_key, shared_dir, word_count
 from palimpsest.llm.substring_dedup import remove_repeats
 from palimpsest.session import table
 
@@ -57,6 +57,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     told = near_duplicates(named.select(place.alias("place"), F.col("row.text").alias("text")), id_col="place").where("n_shingles > 0")
     rows = told.groupBy("doc_id", "component_id").agg(F.count("*").alias("n"))
     rows = cut(rows.select(F.col("doc_id.key").alias("key"), (F.col("doc_id") == F.col("component_id")).alias("least"), "n").where("n > 1 OR NOT least"))
+    release(spark)  # what told the copies is done with
     kept = named.join(rows, "key", "left_anti")
     equal = rows.where("least").select("key")
     if not equal.isEmpty():

@@ -428,9 +428,10 @@ def link_classes(docs: DataFrame, sketches: DataFrame, cell: int = CELL) -> Data
             rooted = rooted.withColumn("token", F.when(F.col("blocks") == 1, F.col("token")).otherwise(dealt)).withColumn("part", F.lit(-1))
         pairs = _paired(rooted, how).select("a", "b").distinct()
         more = cut(_screened(pairs, sketches) if how == "some" else pairs)
-        if more.isEmpty():
-            continue
-        links = links.unionByName(cut(_linked(docs, more)))
+        # What hung together before goes on as a link of each class to its root.
+        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b")
+        if not more.isEmpty():
+            links = links.unionByName(cut(_linked(docs, more)))
     return links
 
 
