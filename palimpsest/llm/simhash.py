@@ -150,8 +150,10 @@ def _compared(filed: DataFrame, distance: int) -> DataFrame:
             joined = np.flatnonzero(root != np.arange(len(fp)))
             yield pa.RecordBatch.from_arrays([pa.array(fp[joined]), pa.array(fp[root[joined]])], names=["a", "b"])
 
+    # Dealt by a hash of mask and key, not by them: an earlier join by these would be taken for the dealing, and adaptive
+    # execution may broadcast that join's other side and leave the rows where they are.
     parts = int(filed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return filed.repartition(parts, "mask", "key").sortWithinPartitions("mask", "key").mapInArrow(run, "a long, b long")
+    return filed.repartition(parts, F.xxhash64("mask", "key")).sortWithinPartitions("mask", "key").mapInArrow(run, "a long, b long")
 
 
 def link_fingerprints(fps: DataFrame, *, distance: int = 3, cell: int = CELL) -> DataFrame:

@@ -88,6 +88,27 @@ def test_links_of_dense_fingerprints(spark, distance, cell):
     assert classes(links) == classes((a, b) for a, b in itertools.combinations(prints, 2) if ((a ^ b) % 2**64).bit_count() <= distance)
 
 
+def test_groups_meet_whatever_the_join(spark):
+    """A join planned with a shuffle and run as a broadcast, as in large tables, leaves no group in several tasks."""
+    rng = random.Random(7)
+    centre = rng.getrandbits(64)
+    dense = {centre ^ sum(1 << k for k in rng.sample(range(64), 2)) for _ in range(300)}
+    pairs = [(x, x ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64)) for x in (rng.getrandbits(64) for _ in range(3000))]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(signed(x),) for x in {*dense, *itertools.chain(*pairs)}]
+    rng.shuffle(rows)
+    conf = {"autoBroadcastJoinThreshold": "-1", "adaptive.autoBroadcastJoinThreshold": "10MB", "adaptive.coalescePartitions.enabled": "false"}
+    for k, v in conf.items():
+        spark.conf.set(f"spark.sql.{k}", v)
+    try:
+        links = simhash.link_fingerprints(spark.createDataFrame(rows, "fp long").repartition(4), cell=100).collect()
+    finally:
+        for k in conf:
+            spark.conf.unset(f"spark.sql.{k}")
+    linked = {frozenset(x) for x in links}
+    assert [p for p in pairs if p[0] != p[1] and frozenset(map(signed, p)) not in linked] == []  # before: most are missed
+
+
 def test_odd_tables(spark):
     df = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (7, "a b c d"), (9, None)], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.component_id) for r in simhash.near_duplicates(df).collect()) == [(0, 7), (0, 7), (7, 7), (9, 9)]
