@@ -511,8 +511,8 @@ def script_nodes(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT doc_id, len(regexp_extract_all(regexp_replace(coalesce(text, ''), '[{}\"#=<>!?;`@$,\\s]+', ' ', 'g'), '[^\\s]+'))::BIGINT AS n_items FROM documents WHERE len(regexp_extract_all(regexp_replace(coalesce(text, ''), '[{}\"#=<>!?;`@$,\\s]+', ' ', 'g'), '[^\\s]+')) > 0")
 def script_slot_items(spark: SparkSession, sf: str) -> DataFrame:
     """Items of the events slot of each container, counted from the parsed nodes."""
-    from palimpsest.sources.script import nodes, slots
+    from palimpsest.sources.script import SLOTS, nodes, slots
 
-    tree = nodes(_script(spark, sf).withColumnRenamed("doc_id", "digest").select("digest", "script"), "digest", "script")
+    tree = nodes(_script(spark, sf).withColumnRenamed("doc_id", "digest").select("digest", "script"), "digest", "script", SLOTS)
     return slots(tree, ("events",)).groupBy(F.col("digest").alias("doc_id")).agg(F.count("*").alias("n_items"))
 

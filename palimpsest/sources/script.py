@@ -7,7 +7,7 @@ leaves as soon as its node closes. All that follows (symbols, references, paths,
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain, groupby, islice
 
 import pyarrow as pa
@@ -25,6 +25,9 @@ TOKEN = re.compile(
     re.X,
 )
 NUMBER = re.compile(r"-?\d+(\.\d+)?%?$")
+# Atoms with nothing but separators around and one more atom behind them, so that whatever stands before, all are bare values.
+WORDS = re.compile(r"""(?:[\s;,`\ufeff]++[^\s{}=<>!?"\#;,`@\ufeff]++(?=[\s;,`])){1,1000}(?=[\s;,`\ufeff]++[^\s{}=<>!?"\#;,`@])""")
+WORD = re.compile(r"[^\s;,`\ufeff]+")
 
 
 def value_type(text: str, group: str) -> str:
@@ -32,6 +35,8 @@ def value_type(text: str, group: str) -> str:
         return {"string": "string", "inline": "inline_expression"}[group]
     if text in ("yes", "no"):
         return "bool"
+    if text[:1].isalpha():  # most are
+        return "identifier"
     if text.startswith("@"):
         return "scripted_value"
     if len(text) > 1 and text[0] == text[-1] == "$":
@@ -41,7 +46,8 @@ def value_type(text: str, group: str) -> str:
 
 def tokens(parts: Iterable[str]) -> Iterator[tuple[str, str, int, int, int]]:
     """Tokens of a text that comes in parts: group, token, start, end, line. A token that the next part may prolong, or make
-    another one (a quote, @[), waits for it, so the tokens are those of the whole text; no more of it is held."""
+    another one (a quote, @[), waits for it, so the tokens are those of the whole text; no more of it is held. What
+    ``WORDS`` finds behind an atom comes as one token, with the line that it begins on."""
     held, base, line, need = "", 0, 1, 0
     source = iter(parts)
     part = next(source, None)
@@ -49,19 +55,24 @@ def tokens(parts: Iterable[str]) -> Iterator[tuple[str, str, int, int, int]]:
         held, part = held + part, next(source, None)
         if part is not None and len(held) < need:
             continue
-        line_at, rest = 0, len(held)
-        for m in TOKEN.finditer(held):
+        line_at, rest, end = 0, len(held), 0
+        while True:
+            m = TOKEN.match(held, end)
             group = m.lastgroup
             if part is not None and (m.end() == len(held) or group == "bad" or group == "atom" and held.startswith("@[", m.start(group))):
                 rest = m.start()
                 break
             if group is None:
                 break
-            token = m.group(group)
-            at = m.end() - len(token)
+            at, end = m.span(m.lastindex)
             line += held.count("\n", line_at, at)
             line_at = at
-            yield group, token, base + at, base + m.end(), line
+            yield group, held[at:end], base + at, base + end, line
+            if group == "atom" and (m := WORDS.match(held, end)):
+                at, end = m.span()
+                line += held.count("\n", line_at, at)
+                line_at = at
+                yield "words", m[0], base + at, base + end, line
         if rest > line_at:
             line += held.count("\n", line_at, rest)
         held, base = held[rest:], base + rest
@@ -91,14 +102,44 @@ def nodes_of(text: str | Iterable[str], size: int | None = None) -> Iterator[lis
         return [stack[1][0] if len(stack) > 1 else rows, stack[-1][6]]
 
     def bare(w: tuple) -> list:
-        parent, depth, pos, path = place(None)
-        return [rows, parent, depth, pos, "value", None, None, w[0][1:-1] if w[1] == "string" else w[0], value_type(*w[:2]), w[3], w[2], w[2] + len(w[0]), path, None, *within()]
+        # The most frequent node by far, so what ``place`` and ``within`` do is written out.
+        token, group, at, line = w
+        top = stack[-1]
+        parent, prefix, depth, seen, pos, _, keys = top
+        top[4] = pos + 1
+        n = seen["[]"] = seen.get("[]", -1) + 1
+        path = f"{prefix}.[]" if prefix else "[]"
+        return [rows, parent, depth + 1, pos, "value", None, None, token[1:-1] if group == "string" else token, value_type(token, group), line, at, at + len(token), f"{path}[{n}]" if n else path, None, stack[1][0] if len(stack) > 1 else rows, keys]
 
     def error(what: str) -> list:
         return [rows, stack[-1][0], stack[-1][2] + 1, -1, "error", None, None, None, None, line, at, at, stack[-1][1], what, *within()]
 
+    def words(text: str, at: int, line: int) -> list[list]:
+        """Rows of bare values, as ``bare`` makes them one by one."""
+        top = stack[-1]
+        parent, prefix, depth, seen, pos, _, keys = top
+        path = f"{prefix}.[]" if prefix else "[]"
+        n, upper, feeds, done = seen.get("[]", -1) + 1, stack[1][0] if len(stack) > 1 else None, "\n" in text, 0
+        made = []
+        for i, m in enumerate(WORD.finditer(text)):
+            w, start = m[0], m.start()
+            if feeds:
+                line += text.count("\n", done, start)
+                done = start
+            kind = "identifier" if w[0].isalpha() and w != "yes" and w != "no" else value_type(w, "atom")
+            made.append([rows + i, parent, depth + 1, pos + i, "value", None, None, w, kind, line, at + start, at + start + len(w), f"{path}[{n + i}]" if n + i else path, None, rows + i if upper is None else upper, keys])
+        top[4], seen["[]"] = pos + len(made), n + len(made) - 1
+        return made
+
     for group, token, at, end, line in tokens(parts):
-        if group == "bad":
+        if group == "words":
+            if waiting is not None:
+                yield bare(waiting)
+                rows, waiting = rows + 1, None
+            made = words(token, at, line)
+            yield from made
+            rows += len(made)
+        elif group == "bad":
             yield error("unclosed string")
             rows += 1
         elif group == "op":
@@ -153,16 +194,28 @@ BATCH = 20_000  # rows sent at once
 PART = 1 << 20  # characters of a text sent to a parser at once
 
 
-def nodes(contents: DataFrame, key: str = "digest", text: str = "text") -> DataFrame:
-    """The node table of distinct contents. Null text has no nodes; an empty one has its root.
+def nodes(contents: DataFrame, key: str = "digest", text: str = "text", columns: Sequence[str] | None = None) -> DataFrame:
+    """The node table of distinct contents. Null text has no nodes; an empty one has its root. ``columns``: the only ones of
+    ``NODE`` that are sent on; what a node costs is mostly its columns' way from Python to Spark.
 
     Contents are dealt to tasks by key first: texts are made from, or stored in, few and well compressed files, and parsing
     costs far more than reading them. A text is sent to its parser in parts, so that a long one is never held there; what
     grows with it is the set of its top-level keys. For the same reason Spark's guess at the table's size is far too low, so that a join
     with it is told not to broadcast it.
     """
-    names = [c.split()[0] for c in NODE.split(", ")]
-    kinds = [pa.int32() if c.endswith(" int") else pa.list_(pa.string()) if c.endswith(">") else pa.string() for c in NODE.split(", ")]
+    every = NODE.split(", ")
+    wanted = [c for c in every if columns is None or c.split()[0] in columns]
+    places, names = [every.index(c) for c in wanted], [c.split()[0] for c in wanted]
+    kinds = [pa.int32() if c.endswith(" int") else pa.list_(pa.string()) if c.endswith(">") else pa.string() for c in wanted]
+
+    def column(rows: list[list], i: int, kind: pa.DataType) -> pa.Array:
+        values = [r[i] for r in rows]
+        if not pa.types.is_list(kind):
+            return pa.array(values, kind)
+        # Nodes of a block hold the same list, which is converted once.
+        same = {id(v): v for v in values}
+        at = {k: n for n, k in enumerate(same)}
+        return pa.array(same.values(), kind).take(pa.array([at[id(v)] for v in values], pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = []
@@ -170,7 +223,7 @@ def nodes(contents: DataFrame, key: str = "digest", text: str = "text") -> DataF
         key_kind = None
 
         def out(rows: list[list], keys: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys, key_kind), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=[key, *names])
+            return pa.RecordBatch.from_arrays([pa.array(keys, key_kind), *(column(rows, i, t) for i, t in zip(places, kinds))], names=[key, *names])
 
         def parts_of() -> Iterator[tuple]:
             nonlocal key_kind
@@ -199,7 +252,7 @@ def nodes(contents: DataFrame, key: str = "digest", text: str = "text") -> DataF
     last = F.greatest(F.lit(0), F.floor((F.length(text) - 1) / PART).cast("int"))
     sent = contents.select(key, text).repartition(parts, key).withColumn("__no", F.explode(F.when(F.col(text).isNotNull(), F.sequence(F.lit(0), last))))
     sent = sent.select(key, "__no", F.length(text).alias("__size"), F.substring(text, F.col("__no") * PART + 1, F.lit(PART)).alias("__part"))
-    return sent.mapInArrow(run, f"{key} {key_type}, {NODE}").hint("shuffle_merge")
+    return sent.mapInArrow(run, f"{key} {key_type}, {', '.join(wanted)}").hint("shuffle_merge")
 
 
 def symbols(tree: DataFrame, files: DataFrame, key: str = "digest") -> DataFrame:
@@ -254,14 +307,19 @@ def references(tree: DataFrame, key: str = "digest") -> DataFrame:
     return used.select(key, F.col("value").alias("name"), mapped(REFERENCES | SCRIPTS, F.col("key"), None).alias("ref_type"), nearest.alias("context"), "line", "path", "top_id")
 
 
+SLOTS = ("depth", "pos", "node_type", "key", "op", "value", "ancestors")  # columns that ``slots`` reads
+
+
 def slots(tree: DataFrame, names: tuple[str, ...], key: str = "digest") -> DataFrame:
     """Items of the named slots of each top-level container: container, slot, pos, item. An item with an operator, such as
-    a weight, keeps it (100=name); a slot that is no block is its own item."""
-    top = tree.where("depth = 0 AND node_type = 'block'").select(key, "top_id", F.col("key").alias("container"))
+    a weight, keeps it (100=name); a slot that is no block is its own item. A node names its container itself, so nothing
+    is joined; what is inside an unnamed list has none."""
     text = F.when(F.col("node_type") == "assignment", F.concat("key", "op", "value")).otherwise(F.coalesce("value", "key"))
-    inside = tree.where((F.col("depth") == 2) & F.get("ancestors", F.lit(1)).isin(*names)).select(key, "top_id", F.get("ancestors", F.lit(1)).alias("slot"), "pos", text.alias("item"))
-    alone = tree.where((F.col("depth") == 1) & (F.col("node_type") == "assignment") & F.col("key").isin(*names)).select(key, "top_id", F.col("key").alias("slot"), "pos", F.col("value").alias("item"))
-    return inside.unionByName(alone).join(top, [key, "top_id"]).select(key, "container", "slot", "pos", "item")
+    slot = F.get("ancestors", F.lit(1))
+    inside = (F.col("depth") == 2) & slot.isin(*names)
+    alone = (F.col("depth") == 1) & (F.col("node_type") == "assignment") & F.col("key").isin(*names)
+    own = tree.where(inside | alone).select(key, F.get("ancestors", F.lit(0)).alias("container"), F.when(inside, slot).otherwise(F.col("key")).alias("slot"), "pos", F.when(inside, text).otherwise(F.col("value")).alias("item"))
+    return own.where("container IS NOT NULL")
 
 
 def diff(base: DataFrame, other: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -374,4 +432,4 @@ def from_json(rows: DataFrame, key: str = "digest") -> DataFrame:
     return rows.select(key, F.inline(F.from_json("json", f"array<struct<{', '.join(':'.join(c.split(' ', 1)) for c in NODE.split(', '))}>>")))
 
 
-__all__ = ["CONTEXTS", "NODE", "REFERENCES", "SCRIPTS", "as_json", "diagnostics", "diff", "from_json", "nodes", "nodes_of", "printed", "references", "slots", "symbols", "top_changes"]
+__all__ = ["CONTEXTS", "NODE", "REFERENCES", "SCRIPTS", "SLOTS", "as_json", "diagnostics", "diff", "from_json", "nodes", "nodes_of", "printed", "references", "slots", "symbols", "top_changes"]

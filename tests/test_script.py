@@ -119,3 +119,28 @@ def test_parts_reach_their_texts(spark, monkeypatch):
     got = sorted(tuple(r) for r in script.nodes(spark.createDataFrame(texts, "digest string, text string")).collect())
     assert [g[:2] for g in got] == sorted((k, r[0]) for k, t in texts if t is not None for r in script.nodes_of(t))
     assert {str(g[1:]) for g in got} == {str(tuple(r)) for k, t in texts if t is not None for r in script.nodes_of(t)}
+
+
+def test_runs_of_words_are_single_nodes():
+    """Words that nothing but separators part are read in one step, and give the rows that they gave one by one."""
+    text = "l = { a b;yes\n 3 @c d﻿ e f@g h\n\ni = 1 j k }"
+    rows = [(r[7], r[8], r[9], text[r[10] : r[11]], r[12]) for r in script.nodes_of(text) if r[4] == "value"]
+    words = ["a", "b", "yes", "3", "@c", "d﻿", "e", "f@g", "h", "j", "k"]
+    kinds = ["identifier", "identifier", "bool", "number", "scripted_value", *["identifier"] * 6]
+    lines = [1, 1, 1, 2, 2, 2, 2, 2, 2, 4, 4]
+    assert rows == [(w, k, n, w, f"l.[][{i}]" if i else "l.[]") for i, (w, k, n) in enumerate(zip(words, kinds, lines))]
+    many = " ".join(f"w{i}" for i in range(5000))
+    assert [g for g, *_ in script.tokens([f"l = {{ {many} }}"])] == ["atom", "op", "open", *["atom", "words"] * 5, "atom", "close"]  # before: 5000 atoms
+    assert [r[7] for r in script.nodes_of(f"l = {{ {many} }}") if r[4] == "value"] == many.split()
+
+
+def test_slots_join_nothing(spark):
+    """Only the columns that are asked for leave the parser, and a node names its container itself."""
+    df = spark.createDataFrame([("f0", ONE), ("f1", TWO), ("f2", "{ events = { x } } c = { events = y { z } events = { { q } } }")], "digest string, text string")
+    slim = script.nodes(df, columns=script.SLOTS)
+    assert slim.columns == ["digest", *script.SLOTS]
+    made = script.slots(slim, ("events",))
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # before: a join
+    got = sorted(map(str, made.collect()))
+    assert got == sorted(map(str, script.slots(script.nodes(df), ("events",)).collect())) and len(got) == 6
+    assert {(r.container, r.item) for r in made.where("digest = 'f2'").collect()} == {("c", "y"), ("c", None)}
