@@ -6,6 +6,9 @@ row groups. The postings of a term that every text holds are spread over all fil
 
 An index grows by segments. A segment is a batch's postings, and the keys that the batch replaces or removes; older
 segments are never rewritten, and a query leaves out what a later segment took back. ``merge`` makes one segment of all.
+
+Postings are some four times their texts in a shuffle, so a batch's are none: texts are dealt by key, and what a task makes
+of them is a share already. ``merge`` shuffles them, so many buckets at a time that ``ROUND`` rows are on their way.
 """
 
 from __future__ import annotations
@@ -20,10 +23,16 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.rules import MATCH_TYPES, first_of
 from palimpsest.operators.search import grep_files, patterns
+from palimpsest.session import release
 
 WORD = "[a-z0-9]+"
 BUCKETS = 64
 SENT = 20_000  # postings sent at once
+TEXT = 1 << 26  # characters whose postings a task sorts, some 6 million
+LEAST = 1 << 20  # characters that are worth a task
+SORTED = 4_000_000  # postings that a task of a merge sorts, some 500 MB
+ROUND = 64_000_000  # postings that a merge shuffles at once, some 2 GB
+FEW = 4_000_000  # keys that may be sent to every task
 
 
 def _bucket(term: Column) -> Column:
@@ -32,9 +41,16 @@ def _bucket(term: Column) -> Column:
 
 def _sorted_by(rows: DataFrame, term: str, path: str) -> None:
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    share = F.pmod(F.xxhash64("key"), F.lit(-(-4 * parts // BUCKETS)))  # about four shares a task in all
-    placed = rows.withColumn("bucket", _bucket(F.col(term)))
-    placed.repartition(parts, "bucket", share).sortWithinPartitions("bucket", term, "key").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    _dealt(rows.withColumn("bucket", _bucket(F.col(term))), term, path, parts, BUCKETS)
+
+
+def _dealt(placed: DataFrame, term: str, path: str, parts: int, buckets: int, mode: str = "overwrite") -> None:
+    share = F.pmod(F.xxhash64("key"), F.lit(-(-4 * parts // buckets)))  # about four shares a task in all
+    _stored(placed.repartition(parts, "bucket", share), term, path, mode)
+
+
+def _stored(placed: DataFrame, term: str, path: str, mode: str = "overwrite") -> None:
+    placed.sortWithinPartitions("bucket", term, "key").write.mode(mode).partitionBy("bucket").parquet(path)
 
 
 def _of_terms(rows: DataFrame, term: str, wanted: Sequence[str]) -> DataFrame:
@@ -72,9 +88,10 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("key"), low.alias("text")).mapInArrow(run, f"term string, key {docs.schema[key].dataType.simpleString()}, len long, tf long, places array<int>")
 
 
-def _live(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows that no later segment took back."""
+def _live(rows: DataFrame, gone: DataFrame, few: bool = False) -> DataFrame:
+    """Rows that no later segment took back. ``few``: these were counted and are sent to every task."""
     g = gone.select(F.col("key").alias("__key"), F.col("segment").alias("__at"))
+    g = F.broadcast(g) if few else g
     return rows.join(g, (F.col("key") == F.col("__key")) & (F.col("segment") < F.col("__at")), "left_anti")
 
 
@@ -87,9 +104,13 @@ def add_segment(docs: DataFrame, key: str, text: str, root: str, segment: int, r
     """
     spark = docs.sparkSession
     at = lambda table: f"{root}/{table}/segment={segment}"
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.length(text))).first()[0] or 0
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), size // LEAST + 1)  # a task writes a file a bucket
+    parts = max(parts, -(-size // TEXT))
     dealt = docs.select(key, text).repartition(parts, key)  # few and well compressed files make many postings
-    _sorted_by(postings(dealt, key, text), "term", at("postings"))
+    _stored(postings(dealt, key, text).withColumn("bucket", _bucket(F.col("term"))), "term", at("postings"))
+    del dealt
+    release(spark)
     n_words = F.regexp_count(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD)).cast("long")
     docs.select(F.col(key).alias("key"), n_words.alias("len")).write.mode("overwrite").parquet(at("texts"))
     texts = spark.read.parquet(at("texts"))
@@ -146,8 +167,17 @@ def phrase(spark: SparkSession, root: str, query: str) -> DataFrame:
 def merge(spark: SparkSession, root: str, to: str) -> None:
     """All that counts of an index as one segment of a new one, which searches answer alike."""
     gone = _table(spark, root, "gone")
-    _sorted_by(_live(_table(spark, root, "postings"), gone).drop("segment", "bucket"), "term", f"{to}/postings/segment=0")
-    _live(_table(spark, root, "texts"), gone).drop("segment").write.mode("overwrite").parquet(f"{to}/texts/segment=0")
+    few = gone.count() <= FEW
+    every = _table(spark, root, "postings")
+    rounds = min(BUCKETS, max(1, -(-every.count() // ROUND)))
+    at_once = -(-BUCKETS // rounds)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions")) if rounds == 1 else max(1, ROUND // SORTED)
+    for low in range(0, BUCKETS, at_once):
+        rows = every.where(F.col("bucket").between(low, low + at_once - 1))
+        _dealt(_live(rows, gone, few).drop("segment"), "term", f"{to}/postings/segment=0", parts, at_once, "append" if low else "overwrite")
+        del rows
+        release(spark)
+    _live(_table(spark, root, "texts"), gone, few).drop("segment").write.mode("overwrite").parquet(f"{to}/texts/segment=0")
     gone.where("false").drop("segment").write.mode("overwrite").parquet(f"{to}/gone/segment=0")
     totals = _table(spark, root, "totals").agg(F.sum("texts").alias("texts"), F.sum("words").alias("words"))
     totals.write.mode("overwrite").parquet(f"{to}/totals/segment=0")
